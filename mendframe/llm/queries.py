@@ -5,9 +5,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mendframe.catalog import Catalog, table
-from mendframe.llm import chat, mixing, oracles, sharding
+from mendframe.llm import bpe, chat, mixing, oracles, sharding
 
 SHARDS = 8
+TOKENIZER_FOLDER = "/opt/tokenizers"
+
+
+def tokenizer_path(name: str) -> str:
+    """A vocabulary file: in the installed package, or in TOKENIZER_FOLDER."""
+    try:
+        import public_tokenizers
+    except ImportError:
+        return f"{TOKENIZER_FOLDER}/{name}"
+    return public_tokenizers.path(name)
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,6 +39,10 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     rows = table(spark, sf_dir, "documents").select(
@@ -42,4 +56,5 @@ def register(catalog: Catalog) -> None:
     """Adds the queries of this package to the catalog."""
     catalog.add("op1_mixing", op1_mixing, oracles.MIXING)
     catalog.add("op7_chat", op7_chat, oracles.CHAT)
+    catalog.add("op9_bpe", op9_bpe)
     catalog.add("op10_sharding", op10_sharding)
