@@ -5,9 +5,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mendframe.catalog import Catalog, table
-from mendframe.llm import bpe, chat, mixing, oracles, sharding
+from mendframe.llm import bpe, chat, mixing, oracles, sharding, token_files
+from mendframe.llm.shared import fresh_path
 
 SHARDS = 8
+END_ID = 2
 TOKENIZER_FOLDER = "/opt/tokenizers"
 
 
@@ -39,6 +41,12 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = fresh_path(spark, "tokens")
+    token_files.write_tokens(table(spark, sf_dir, "documents"), folder, tokenizer_path("word_bpe_49k.json"), END_ID)
+    return token_files.token_places(spark, folder)
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
@@ -56,5 +64,6 @@ def register(catalog: Catalog) -> None:
     """Adds the queries of this package to the catalog."""
     catalog.add("op1_mixing", op1_mixing, oracles.MIXING)
     catalog.add("op7_chat", op7_chat, oracles.CHAT)
+    catalog.add("op8_token_files", op8_token_files)
     catalog.add("op9_bpe", op9_bpe)
     catalog.add("op10_sharding", op10_sharding)
