@@ -90,7 +90,8 @@ class PieceEncoder:
             else:
                 words.append(piece)
             ends.append(len(words))
-        piece_ids, word_ends = gather(self.ids, self.starts, self._known(words)) if words else (self.ids[:0], np.zeros(1, np.int64))
+        rows = self._known(words)
+        piece_ids, word_ends = gather(self.ids, self.starts, rows)
         ids, ends_of = gather(piece_ids, word_ends[np.array(ends)], codes)
         starts = ends_of[offsets]
         return np.insert(ids, starts[1:], end_id), starts + np.arange(len(starts))
