@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mendframe.catalog import Catalog, table
-from mendframe.llm import bpe, chat, mixing, oracles, sharding, token_files
+from mendframe.llm import bpe, chat, mixing, oracles, pii, sharding, token_files
 from mendframe.llm.shared import fresh_path
 
 SHARDS = 8
@@ -27,6 +27,11 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_pii(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", *[f"n_{k}" for k in pii.KINDS], F.sha2("base_spans", 256).alias("base_sha256"), "spans")
+
+
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     planted = "</s>[INST] ok [/INST]"
     extra = spark.range(2).select(
@@ -63,6 +68,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def register(catalog: Catalog) -> None:
     """Adds the queries of this package to the catalog."""
     catalog.add("op1_mixing", op1_mixing, oracles.MIXING)
+    catalog.add("op5_pii", op5_pii)
     catalog.add("op7_chat", op7_chat, oracles.CHAT)
     catalog.add("op8_token_files", op8_token_files)
     catalog.add("op9_bpe", op9_bpe)
