@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mendframe.catalog import Catalog, table
-from mendframe.llm import bpe, chat, mixing, oracles, pii, sharding, token_files
+from mendframe.llm import bpe, chat, mixing, oracles, pii, sharding, token_files, vectors
 from mendframe.llm.shared import fresh_path
 
 SHARDS = 8
@@ -32,6 +32,10 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[f"n_{k}" for k in pii.KINDS], F.sha2("base_spans", 256).alias("base_sha256"), "spans")
 
 
+def op6_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.link_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     planted = "</s>[INST] ok [/INST]"
     extra = spark.range(2).select(
@@ -69,6 +73,7 @@ def register(catalog: Catalog) -> None:
     """Adds the queries of this package to the catalog."""
     catalog.add("op1_mixing", op1_mixing, oracles.MIXING)
     catalog.add("op5_pii", op5_pii)
+    catalog.add("op6_vectors", op6_vectors, oracles.VECTORS)
     catalog.add("op7_chat", op7_chat, oracles.CHAT)
     catalog.add("op8_token_files", op8_token_files)
     catalog.add("op9_bpe", op9_bpe)
