@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mendframe.catalog import Catalog, table
-from mendframe.llm import bpe, chat, fingerprints, mixing, ngram_join, oracles, pii, sharding, token_files, vectors
+from mendframe.llm import bpe, chat, fingerprints, language, mixing, ngram_join, oracles, pii, sharding, token_files, vectors
 from mendframe.llm.shared import fresh_path
 
 SHARDS = 8
@@ -35,6 +35,13 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    models = language.fit(language.sample_chunks(docs))
+    rows = docs.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "text")
+    return language.identify(rows, models).select("doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_pii(table(spark, sf_dir, "documents"))
     return found.select("doc_id", *[f"n_{k}" for k in pii.KINDS], F.sha2("base_spans", 256).alias("base_sha256"), "spans")
@@ -82,6 +89,7 @@ def register(catalog: Catalog) -> None:
     catalog.add("op1_mixing", op1_mixing, oracles.MIXING)
     catalog.add("op2_ngram_join", op2_ngram_join)
     catalog.add("op3_fingerprints", op3_fingerprints)
+    catalog.add("op4_language", op4_language)
     catalog.add("op5_pii", op5_pii)
     catalog.add("op6_vectors", op6_vectors, oracles.VECTORS)
     catalog.add("op7_chat", op7_chat, oracles.CHAT)
