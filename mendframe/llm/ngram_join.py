@@ -323,7 +323,10 @@ def ngram_components(docs: DataFrame, percent: int = PERCENT, words: int = WORDS
 
 
 def one_of_each(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
-    """Documents without those that link to one of smaller doc_id, directly or over others; equal rows become one."""
-    kept = ngram_components(docs, percent, words).where("doc_id = component_id").select("doc_id").distinct()
-    own = docs.dropDuplicates(["doc_id"]) if "doc_id" in docs.columns else docs
-    return own.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """Documents without those that link to one of smaller doc_id, directly or over others.
+
+    Equal rows become one; rows without doc_id can't be told apart by it and stay.
+    """
+    named = docs.where("doc_id is not null")
+    kept = ngram_components(named, percent, words).where("doc_id = component_id").select("doc_id").distinct()
+    return named.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(*docs.columns).unionByName(docs.where("doc_id is null"))
