@@ -16,6 +16,7 @@ equal rows are adjacent; an empty table gives an empty folder and an empty resul
 from __future__ import annotations
 
 import json
+import os
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -36,13 +37,15 @@ STRIPE_BYTES = 64 << 20
 ROW_INDEX_STRIDE = 1000
 BLOOM_RATE = 0.01
 SCHEMA = "doc_id bigint, tokens array<int>, block int, place bigint"
-CACHED_WORDS = 1_200_000
+CACHED_WORDS = 600_000
+ENCODED_AT_ONCE = 5_000
 
 
 class PieceEncoder:
     """Encodes distinct words with the library; a store of bounded size keeps their ids between batches."""
 
     def __init__(self, path: str) -> None:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # each core has a worker of its own
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
@@ -66,7 +69,9 @@ class PieceEncoder:
         """Rows of the store for words; the library encodes new ones."""
         new = [w for w in dict.fromkeys(words) if w not in self.rows]
         if new:
-            lists = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+            lists = []  # encodings are large, so a few at a time
+            for i in range(0, len(new), ENCODED_AT_ONCE):
+                lists += [e.ids for e in self.tokenizer.encode_batch_fast(new[i : i + ENCODED_AT_ONCE], add_special_tokens=False)]
             n, lengths = len(self.starts) - 1, np.fromiter(map(len, lists), np.int64, len(lists))
             self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(lists), np.int32, int(lengths.sum()))])
             self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(lengths)])
