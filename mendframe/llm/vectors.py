@@ -25,11 +25,12 @@ from mendframe.llm.components import components
 from mendframe.llm.shared import materialise, small_batches
 
 THRESHOLD = 0.95
-TILE = 2048
+TILE = 4096
 BLOCK = 1024
 PIVOTS = 64
 SLACK = 1e-6
 MOST_TASKS = 2000
+BROADCAST_BYTES = 32 << 20
 
 
 def usable(vector):
@@ -86,6 +87,8 @@ def compare_tiles(left: np.ndarray, right: np.ndarray | None, threshold: float,
     n, m = len(left), len(other)
     codes_l, step_l, len_l, rest_l = quantised(left)
     codes_r, step_r, len_r, rest_r = (codes_l, step_l, len_l, rest_l) if same else quantised(other)
+    floats_l = codes_l.astype(np.float32)
+    floats_r = floats_l if same else codes_r.astype(np.float32)
     counts_l, counts_r = np.zeros(n, np.int64), np.zeros(m, np.int64)
     forest = Forest(n if same else n + m)
     for i in range(0, n, BLOCK):
@@ -93,12 +96,19 @@ def compare_tiles(left: np.ndarray, right: np.ndarray | None, threshold: float,
         for j in range(i if same else 0, m, BLOCK):
             b = slice(j, min(j + BLOCK, m))
             # products of int8 codes are whole numbers below 2^24 for up to 1040 components, so float32 sums are exact
-            dots = (codes_l[a].astype(np.float32) @ codes_r[b].astype(np.float32).T).astype(np.float64) * (step_l[a, None] * step_r[None, b])
-            bound = len_l[a, None] * rest_r[None, b] + rest_l[a, None] * len_r[None, b] + rest_l[a, None] * rest_r[None, b] + SLACK
-            maybe = dots + bound >= threshold
+            dots = floats_l[a] @ floats_r[b].T
+            # no pair of the block can reach the threshold with a product below this
+            most = len_l[a].max() * rest_r[b].max() + rest_l[a].max() * (len_r[b].max() + rest_r[b].max()) + SLACK
+            least = (threshold - most) / (step_l[a].max() * step_r[b].max())
+            at = np.flatnonzero(dots >= least)
+            if not len(at):
+                continue
+            x, y = np.divmod(at, dots.shape[1])
             if same and i == j:
-                maybe &= np.triu(np.ones(maybe.shape, bool), 1)
-            x, y = np.nonzero(maybe)
+                x, y, at = x[x < y], y[x < y], at[x < y]
+            bound = len_l[a][x] * rest_r[b][y] + rest_l[a][x] * (len_r[b][y] + rest_r[b][y]) + SLACK
+            maybe = dots.ravel()[at].astype(np.float64) * (step_l[a][x] * step_r[b][y]) + bound >= threshold
+            x, y = x[maybe], y[maybe]
             if not len(x):
                 continue
             x, y = x + i, y + j
@@ -114,17 +124,18 @@ def compare_tiles(left: np.ndarray, right: np.ndarray | None, threshold: float,
     return counts_l, counts_r, moved, forest.up[moved]
 
 
-def packer(width: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+def packer(width: int, kind: np.dtype) -> Callable[[pd.DataFrame], pd.DataFrame]:
     """Makes one row of a tile's vectors."""
 
     def pack(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("rep")
-        flat = np.frombuffer(b"".join(frame["unit"]), np.float64).reshape(-1, width)
+        raw = np.frombuffer(b"".join(frame["raw"]), kind).reshape(-1, width)
+        flat = unit(raw.astype(np.float64))
         centre = unit(flat.mean(axis=0, keepdims=True) + 1e-12)[0]
         radius = float(np.arccos(np.clip(flat @ centre, -1, 1)).max())
         return pd.DataFrame({
             "tile": [int(frame["cell"].iloc[0]) << 32 | int(frame["piece"].iloc[0])], "centre": [centre.tobytes()], "radius": [radius],
-            "reps": [frame["rep"].to_numpy(np.int64).tobytes()], "weights": [frame["weight"].to_numpy(np.int64).tobytes()], "units": [flat.tobytes()],
+            "reps": [frame["rep"].to_numpy(np.int64).tobytes()], "weights": [frame["weight"].to_numpy(np.int64).tobytes()], "rows": [raw.tobytes()],
         })
 
     return pack
@@ -151,6 +162,7 @@ def link_vectors(rows: DataFrame, threshold: float = THRESHOLD, tile: int = TILE
     """vec_id, n_links, component_id and kept of rows (vec_id, embedding)."""
     spark = rows.sparkSession
     small_batches(spark)
+    kind = np.dtype("f4" if "array<float>" in rows.select("embedding").dtypes[0][1] else "f8")
     vectors = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     fine = vectors.where(usable(F.col("embedding")))
     groups = materialise(fine.groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight")), "vectors")
@@ -163,27 +175,30 @@ def link_vectors(rows: DataFrame, threshold: float = THRESHOLD, tile: int = TILE
 
         def deal(batches: Iterable[pa.RecordBatch], aims=aims, width=width) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                flat = unit(np.asarray(batch.column(0).flatten()).reshape(-1, width))
-                near = np.argmax(flat @ aims.T, axis=1)
-                payload = pa.array([r.tobytes() for r in flat], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(near, pa.int32()), payload], names=["rep", "weight", "cell", "unit"])
+                raw = np.asarray(batch.column(0).flatten()).astype(kind).reshape(-1, width)
+                near = np.argmax(unit(raw.astype(np.float64)) @ aims.T, axis=1)
+                payload = pa.array([r.tobytes() for r in raw], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(near, pa.int32()), payload], names=["rep", "weight", "cell", "raw"])
 
-        dealt = own.mapInArrow(deal, "rep long, weight long, cell int, unit binary")
+        dealt = own.mapInArrow(deal, "rep long, weight long, cell int, raw binary")
         per_cell = {r["cell"]: r["n"] for r in dealt.groupBy("cell").agg(F.count("*").alias("n")).collect()}  # a row a pivot
         splits = F.create_map(*[F.lit(x) for c, k in per_cell.items() for x in (c, -(-k // tile))])
         dealt = dealt.withColumn("piece", F.pmod(F.xxhash64("rep"), F.element_at(splits, F.col("cell"))))
 
-        tiles = materialise(dealt.groupBy("cell", "piece").applyInPandas(packer(width), "tile long, centre binary, radius double, reps binary, weights binary, units binary"), "tiles")
-        caps = tiles.select("tile", "centre", "radius").orderBy("tile").collect()  # one row for each 2048 vectors or so
+        tiles = materialise(dealt.groupBy("cell", "piece").applyInPandas(packer(width, kind), "tile long, centre binary, radius double, reps binary, weights binary, rows binary"), "tiles")
+        caps = tiles.select("tile", "centre", "radius").orderBy("tile").collect()  # one row for each 4096 vectors or so
         near = near_tiles(spark, caps, threshold)
-        ends = [tiles.select(F.col("tile").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in ("reps", "weights", "units")]) for s in ("left", "right")]
-        joined = near.join(ends[0], "left").join(ends[1], "right").repartition(max(1, min(len(caps) * (len(caps) + 1) // 2, MOST_TASKS)), "left", "right")
+        ends = [tiles.select(F.col("tile").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in ("reps", "weights", "rows")]) for s in ("left", "right")]
+        near = near.repartition(max(1, min(len(caps) * (len(caps) + 1) // 2, MOST_TASKS)), "left", "right")
+        if n * (width * kind.itemsize + 16) <= BROADCAST_BYTES:
+            ends = [F.broadcast(e) for e in ends]
+        joined = near.join(ends[0], "left").join(ends[1], "right")
 
         def compare(batches: Iterable[pa.RecordBatch], width=width) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for r in batch.to_pylist():
                     same = r["left"] == r["right"]
-                    left, right = (np.frombuffer(r[f"{s}_units"], np.float64).reshape(-1, width) for s in ("left", "right"))
+                    left, right = (unit(np.frombuffer(r[f"{s}_rows"], kind).reshape(-1, width).astype(np.float64)) for s in ("left", "right"))
                     reps = [np.frombuffer(r[f"{s}_reps"], np.int64) for s in ("left", "right")]
                     weights = tuple(np.frombuffer(r[f"{s}_weights"], np.int64) for s in ("left", "right"))
                     counts_l, counts_r, a, b = compare_tiles(left, None if same else right, threshold, weights)
