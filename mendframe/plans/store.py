@@ -1,0 +1,77 @@
+"""The evidence store: Parquet tables of runs, files, signatures, candidates, attempts and outputs, a folder each.
+
+Appends are idempotent where a key says so: rows whose key is already there, or twice among the new ones, are left out.
+Files lie in partitions by run_id. Tables may gain nullable columns: readers merge schemas.
+"""
+from __future__ import annotations
+
+import json
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+KEYS = {"candidates": ["run_id", "doc_id", "dedupe_key"], "files": ["run_id", "doc_id"]}
+REPORT_COLUMNS = ["path", "strategy", "family", "priority", "phase", "decoder", "ok", "width", "height", "mode", "decoded_format", "duration_ms", "frame_count", "score", "error"]
+
+
+class Store:
+    """Tables under a root that driver and executors share."""
+
+    def __init__(self, spark: SparkSession, root: str) -> None:
+        self.spark, self.root = spark, root.rstrip("/")
+
+    def path(self, name: str) -> str:
+        return f"{self.root}/{name}"
+
+    def exists(self, name: str) -> bool:
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name))
+        return folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(folder)
+
+    def read(self, name: str) -> DataFrame:
+        return self.spark.read.option("mergeSchema", "true").parquet(self.path(name))
+
+    def append(self, name: str, rows: DataFrame) -> None:
+        key = KEYS.get(name)
+        if key:
+            rows = rows.dropDuplicates(key)
+            if self.exists(name):
+                rows = rows.join(self.read(name).select(*key).distinct(), key, "left_anti")
+        rows.write.mode("append").partitionBy("run_id").parquet(self.path(name))
+
+    def start_run(self, command: str, engine: str, config: dict | None = None) -> int:
+        """Appends a run and returns its id, one more than the latest."""
+        run_id = (self.latest_run() or 0) + 1
+        row = self.spark.range(1).select(
+            F.lit(run_id).cast("long").alias("run_id"), F.lit(command).alias("command"), F.lit(engine).alias("engine_name"),
+            F.lit(json.dumps(config or {}, sort_keys=True)).alias("config_json"), F.current_timestamp().alias("created_at"),
+        )
+        row.write.mode("append").partitionBy("run_id").parquet(self.path("runs"))
+        return run_id
+
+    def latest_run(self) -> int | None:
+        if not self.exists("runs"):
+            return None
+        return self.read("runs").agg(F.max("run_id").cast("long")).first()[0]
+
+    def of_run(self, name: str, run_id: int | None = None) -> DataFrame:
+        """A table's rows of a run, the latest if none is named; a run that isn't there is an error."""
+        wanted = run_id or self.latest_run()
+        if wanted is None or not self.read("runs").where(F.col("run_id") == wanted).limit(1).count():
+            raise ValueError(f"run {wanted} not found")
+        return self.read(name).where(F.col("run_id") == wanted)
+
+
+def write_attempts_csv(rows: DataFrame, folder: str) -> None:
+    """The attempt report with a header; columns that rows lack are empty."""
+    own = rows.select(*[F.col(c) if c in rows.columns else F.lit(None).cast("string").alias(c) for c in REPORT_COLUMNS])
+    own.write.mode("overwrite").option("header", "true").csv(folder)
+
+
+def write_json(rows: DataFrame, folder: str) -> None:
+    rows.write.mode("overwrite").json(folder)
+
+
+def write_blobs(blobs: DataFrame, folder: str) -> None:
+    """Contents by their SHA-256, partitioned by its first two digits; equal contents are stored once."""
+    named = blobs.withColumn("sha256", F.sha2("content", 256)).dropDuplicates(["sha256"])
+    named.select("sha256", "content", F.substring("sha256", 1, 2).alias("shard")).write.mode("append").partitionBy("shard").parquet(folder)
