@@ -12,6 +12,7 @@ from mendframe.functions import kinds as K
 from mendframe.operators import candidates, classify, legacy, rebuild, scoring, signatures
 from mendframe.plans import oracles as O
 from mendframe.plans import report
+from mendframe.plans.evidence import Evidence, payload_rows
 from mendframe.sources import corpus
 
 Build = Callable[[DataFrame], DataFrame]
@@ -22,12 +23,11 @@ def on_blobs(build: Build) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def on_classified(build: Build) -> Callable[[SparkSession, str], DataFrame]:
-    return on_blobs(lambda blobs: build(classify.classified(blobs)))
+    return on_evidence(lambda e: build(e.classified()))
 
 
-def with_payloads(plans: DataFrame, blobs: DataFrame) -> DataFrame:
-    joined = plans.join(blobs.select("doc_id", "content"), "doc_id")
-    return joined.withColumn("payload_sha256", F.sha2(candidates.payload(F.col("content")), 256)).select(*PLAN, "payload_sha256")
+def on_evidence(build: Callable[[Evidence], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: build(Evidence(spark, sf_dir))
 
 
 PLAN = ["doc_id", "ord", "family", "strategy", "priority", "kind", "start", "end", "prepend", "append"]
@@ -35,21 +35,6 @@ PLAN_SQL = ", ".join(f'"{c}"' for c in PLAN)
 CLASS = ["doc_id", "path", "family", "label", "confidence"]
 
 
-def native_plans(classified: DataFrame) -> DataFrame:
-    """Plans of all lanes that need positions only, but for the widest fan-out."""
-    jpeg = candidates.jpeg(classified, candidates.jpeg_whole, candidates.jpeg_soi, candidates.jpeg_hints)
-    return candidates.generic(classified).unionByName(candidates.video(classified)).unionByName(jpeg)
-
-
-def attempts(classified: DataFrame) -> DataFrame:
-    return scoring.pseudo_probe(native_plans(classified), classified)
-
-
-def outputs(classified: DataFrame) -> DataFrame:
-    files = classified.select("doc_id", "path", "family", "label")
-    return scoring.outcomes(files, scoring.winners(attempts(classified)))
-
-
 def hits_of(kind: str) -> Build:
     return lambda blobs: signatures.hit_rows(signatures.records(blobs)).where(F.col("family") == kind)
 
@@ -71,15 +56,15 @@ def previous_marker(blobs: DataFrame) -> DataFrame:
     return found.select("doc_id", F.col("p").alias("sos"), F.array_max(F.filter("marker", lambda m: m <= F.col("p"))).alias("marker"))
 
 
-def deduped(classified: DataFrame) -> DataFrame:
+def deduped(evidence: Evidence) -> DataFrame:
     """Plans offered twice; only one of each key is kept."""
-    plans = native_plans(classified)
+    plans = evidence.plans()
     return plans.unionByName(plans).withColumn("key", candidates.plan_key()).dropDuplicates(["doc_id", "key"]).groupBy("doc_id").agg(F.count("*").alias("plans"))
 
 
-def shared_payloads(classified: DataFrame) -> DataFrame:
+def shared_payloads(evidence: Evidence) -> DataFrame:
     """Distinct payloads and how many plans of how many files give each: equal payloads need one probe only."""
-    rows = with_payloads(candidates.generic(classified).unionByName(candidates.video(classified)), classified)
+    rows = payload_rows(evidence.plans().where("family <> 'jpeg'"), evidence.blobs(), ["doc_id"])
     return rows.groupBy("payload_sha256").agg(F.count("*").alias("plans"), F.count_distinct("doc_id").alias("files"))
 
 
@@ -127,7 +112,7 @@ def register(catalog: Catalog) -> None:
     add("signature_summary", on_blobs(summary_rows), O.query("SELECT doc_id, family, count(*) AS n FROM hits GROUP BY ALL", O.HITS))
     for kind in ("anywhere_kind", "byte0_kind"):
         add(kind, on_blobs(lambda b, k=kind: signatures.records(b).select("doc_id", k)), O.query(f"SELECT doc_id, {kind} FROM records", O.HITS, O.RECORDS))
-    add("classify", on_classified(lambda c: c.select(*CLASS)), O.query(f"SELECT {', '.join(CLASS)} FROM classified", *O.ALL))
+    add("classify", on_blobs(lambda b: classify.classified(b).select(*CLASS)), O.query(f"SELECT {', '.join(CLASS)} FROM classified", *O.ALL))
     add("jpeg_evidence", on_classified(lambda c: c.select("doc_id", F.round("jpeg_evidence", 6).alias("jpeg_evidence"))), O.query("SELECT doc_id, round(jpeg_evidence, 6) AS jpeg_evidence FROM classified", *O.ALL))
     add("evidence", on_classified(lambda c: classify.evidence(c).select("doc_id", F.size("evidence.signature_hits").alias("hits"), F.size(F.map_keys("evidence.signature_summary")).alias("families"), F.col("evidence.markers.soi_count").alias("soi_count"))),
         O.query("SELECT c.doc_id, least(32, count(h.family)) AS hits, count(DISTINCT h.family) AS families, any_value(soi_count) AS soi_count FROM classified c LEFT JOIN hits h USING (doc_id) GROUP BY c.doc_id", *O.ALL))
@@ -145,21 +130,21 @@ def register(catalog: Catalog) -> None:
         f"SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY -n, i) AS place, name AS kind, n AS hits FROM hit JOIN places USING (name) JOIN ({chosen}) c USING (doc_id) WHERE NOT list_contains(string_split(kinds, ','), name)", policy, ranks))
 
     for name, build, sql in (("generic", candidates.generic, O.GENERIC), ("video", candidates.video, O.VIDEOS)):
-        add(f"candidates_{name}", on_classified(lambda c, f=build: with_payloads(f(c), c)), O.query(O.payload_hash(), *O.ALL, O.OFFSETS, O.SYNCS, sql))
+        add(f"candidates_{name}", on_evidence(lambda e, f=build: payload_rows(f(e.with_content()), e.blobs(), PLAN)), O.query(O.payload_hash(), *O.ALL, O.OFFSETS, O.SYNCS, sql))
     for kind in ("png", "gif", "bmp", "tiff", "webp"):
-        add(f"candidates_{kind}_legacy", on_blobs(lambda b, k=kind: with_payloads(candidates.legacy(b, k), b)), O.legacy(kind))
+        add(f"candidates_{kind}_legacy", on_blobs(lambda b, k=kind: payload_rows(candidates.legacy(b, k), b, PLAN)), O.legacy(kind))
     add("candidates_jpeg_legacy", on_blobs(lambda b: candidates.legacy(b, "jpeg").select(*PLAN)))
     for name, lane, sql in (("whole", candidates.jpeg_whole, O.WHOLE), ("soi_eoi", candidates.jpeg_soi, O.FROM_SOI), ("synthetic_soi", candidates.jpeg_synthetic_soi, O.FROM_MARK), ("hints", candidates.jpeg_hints, O.HINTS)):
-        add(f"candidates_jpeg_{name}", on_classified(lambda c, f=lane: candidates.jpeg(c, f).select(*PLAN)), O.query(f"SELECT {PLAN_SQL} FROM plans", *O.ALL, O.ANCHORS, O.ranked(sql)))
-    add("candidates_jpeg_rebuild", on_classified(rebuild.rebuild_plans))
+        add(f"candidates_jpeg_{name}", on_evidence(lambda e, f=lane: candidates.jpeg(e.with_content(), f).select(*PLAN)), O.query(f"SELECT {PLAN_SQL} FROM plans", *O.ALL, O.ANCHORS, O.ranked(sql)))
+    add("candidates_jpeg_rebuild", on_evidence(lambda e: rebuild.rebuild_plans(e.with_content())))
     add("nearest_segment", on_blobs(nearest_marker), O.query(
         "SELECT s.doc_id, s.p AS sos, row_number() OVER (PARTITION BY s.doc_id, s.p ORDER BY abs(m.p - s.p), m.p) AS nth, m.p AS marker FROM (SELECT doc_id, unnest(pos) AS p FROM mk WHERE name = 'sos') s "
         "JOIN (SELECT doc_id, unnest(pos) AS p FROM mk WHERE name = 'marker') m USING (doc_id) QUALIFY nth <= 2", O.positions({"sos": [K.SOS], "marker": [K.DQT, K.DHT, *K.SOF]}, "mk")))
     add("previous_marker", on_blobs(previous_marker), O.query(
         "SELECT s.doc_id, s.p AS sos, m.p AS marker FROM (SELECT doc_id, unnest(pos) AS p FROM mk WHERE name = 'sos') s ASOF LEFT JOIN (SELECT doc_id, unnest(pos) AS p FROM mk WHERE name = 'marker') m ON s.doc_id = m.doc_id AND s.p >= m.p",
         O.positions({"sos": [K.SOS], "marker": [K.SOI, K.APP0, K.APP1, K.DQT, K.DHT, *K.SOF]}, "mk")))
-    add("candidate_dedupe", on_classified(deduped), O.query("SELECT doc_id, count(*) AS plans FROM plans GROUP BY doc_id", *O.RUN))
-    add("shared_payloads", on_classified(shared_payloads), O.query(
+    add("candidate_dedupe", on_evidence(deduped), O.query("SELECT doc_id, count(*) AS plans FROM plans GROUP BY doc_id", *O.RUN))
+    add("shared_payloads", on_evidence(shared_payloads), O.query(
         f"SELECT payload_sha256, count(*) AS plans, count(DISTINCT doc_id) AS files FROM ({O.payload_hash('generic')} UNION ALL {O.payload_hash('video')}) GROUP BY ALL", *O.RUN))
 
     add("byte_entropy", on_blobs(lambda b: b.select("doc_id", F.round(B.entropy(F.col("content")), 6).alias("entropy"))), O.query(
@@ -167,39 +152,38 @@ def register(catalog: Catalog) -> None:
     add("compact_error", errors, r"SELECT doc_id, CASE WHEN length(j) > 400 THEN substr(j, 1, 397) || '...' ELSE j END AS error FROM (SELECT doc_id, array_to_string((list_filter(list_transform(string_split(replace(coalesce(text, ''), chr(13), chr(10)), chr(10)), lambda s: regexp_replace(s, '^\s+|\s+$', '', 'g')), lambda s: s <> ''))[1:4], ' | ') AS j FROM documents)")
     score = 'SELECT doc_id, ord, strategy, ok, round(score, 4) AS score FROM attempts WHERE class_family {} IN ' + O.VIDEO
     for name, is_video in (("score_image", False), ("score_video", True)):
-        add(name, on_classified(lambda c, v=is_video: attempts(c).where(F.col("class_family").isin(K.VIDEO_KINDS) == F.lit(v)).select("doc_id", "ord", "strategy", "ok", F.round("score", 4).alias("score"))), O.query(score.format("" if is_video else "NOT"), *O.RUN))
+        add(name, on_evidence(lambda e, v=is_video: e.attempts().where(F.col("class_family").isin(K.VIDEO_KINDS) == F.lit(v)).select("doc_id", "ord", "strategy", "ok", F.round("score", 4).alias("score"))), O.query(score.format("" if is_video else "NOT"), *O.RUN))
     picked = ["doc_id", "ord", "strategy", "width", "height"]
-    add("winner", on_classified(lambda c: scoring.winners(attempts(c)).select(*picked, F.round("score", 4).alias("score"))), O.query(f"SELECT {', '.join(picked)}, round(score, 4) AS score FROM won", *O.RUN))
-    add("winner_legacy", on_classified(lambda c: scoring.largest(attempts(c)).select(*picked)), O.query(f"SELECT {', '.join(picked)} FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY width * height DESC, ord) AS r FROM attempts WHERE ok) WHERE r = 1", *O.RUN))
-    add("probe_fallback", on_classified(lambda c: scoring.fallback(attempts(c)).select("doc_id", "ord", "strategy")), O.query(
+    add("winner", on_evidence(lambda e: scoring.winners(e.attempts()).select(*picked, F.round("score", 4).alias("score"))), O.query(f"SELECT {', '.join(picked)}, round(score, 4) AS score FROM won", *O.RUN))
+    add("winner_legacy", on_evidence(lambda e: scoring.largest(e.attempts()).select(*picked)), O.query(f"SELECT {', '.join(picked)} FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY width * height DESC, ord) AS r FROM attempts WHERE ok) WHERE r = 1", *O.RUN))
+    add("probe_fallback", on_evidence(lambda e: scoring.fallback(e.attempts()).select("doc_id", "ord", "strategy")), O.query(
         f"SELECT doc_id, ord, strategy FROM attempts WHERE class_family NOT IN {O.VIDEO} AND ord <= 12 AND doc_id NOT IN (SELECT doc_id FROM attempts WHERE ok)", *O.RUN))
-    add("final_attempts", on_classified(lambda c: scoring.final_attempts(scoring.winners(attempts(c))).select("doc_id", "ord", "phase")), O.query("SELECT doc_id, ord, phase || '_final' AS phase FROM won", *O.RUN))
-    add("persisted_scores", on_classified(lambda c: attempts(c).select("doc_id", "ord", F.round(scoring.persisted_score(F.col("score")), 4).alias("score"))), O.query("SELECT doc_id, ord, round(CASE WHEN score = 0 THEN '-Infinity'::DOUBLE ELSE score END, 4) AS score FROM attempts", *O.RUN))
+    add("final_attempts", on_evidence(lambda e: scoring.final_attempts(scoring.winners(e.attempts())).select("doc_id", "ord", "phase")), O.query("SELECT doc_id, ord, phase || '_final' AS phase FROM won", *O.RUN))
+    add("persisted_scores", on_evidence(lambda e: e.attempts().select("doc_id", "ord", F.round(scoring.persisted_score(F.col("score")), 4).alias("score"))), O.query("SELECT doc_id, ord, round(CASE WHEN score = 0 THEN '-Infinity'::DOUBLE ELSE score END, 4) AS score FROM attempts", *O.RUN))
     add("engine_gate", on_classified(lambda c: scoring.gate(c, "jpeg-v1")), O.query("SELECT doc_id, 'no_engine_for_family:' || family AS error FROM classified WHERE family <> 'jpeg'", *O.ALL))
     images = "(" + ", ".join(f"'{k}'" for k in K.IMAGE_KINDS) + ")"
     add("output_targets", on_classified(lambda c: c.select("doc_id", scoring.output_kind(F.col("declared_kind"), F.col("byte0_kind"), F.col("family")).alias("output_kind"), scoring.output_path(F.col("path"), F.col("family")).alias("output_path"))), O.query(
         f"SELECT doc_id, CASE WHEN declared_kind IN {images} THEN declared_kind WHEN byte0_kind IN {images} THEN byte0_kind WHEN family IN {images} THEN family ELSE 'png' END AS output_kind, "
         f"CASE WHEN family IN {O.VIDEO} THEN regexp_replace(path, '\\.[^./]*$', '') || CASE family WHEN 'mpegts' THEN '.ts' WHEN 'mpegps' THEN '.mpg' ELSE '.mkv' END ELSE path END AS output_path FROM classified", *O.ALL))
 
-    add("summary_totals", on_classified(lambda c: report.totals(c, outputs(c))), O.query("SELECT count(*) AS total_files, sum(success)::BIGINT AS recovered, greatest(0, count(*) - sum(success))::BIGINT AS failed FROM outputs", *O.RUN))
+    add("summary_totals", on_evidence(lambda e: report.totals(e.classified(), e.outputs())), O.query("SELECT count(*) AS total_files, sum(success)::BIGINT AS recovered, greatest(0, count(*) - sum(success))::BIGINT AS failed FROM outputs", *O.RUN))
     by = "SELECT coalesce({0}, 'none') AS key, count(*) AS n FROM {1} GROUP BY ALL"
     for name, key in (("by_classification", "label"), ("by_family", "family"), ("by_anywhere_kind", "anywhere_kind"), ("by_declared_kind", "declared_kind")):
         add(name, on_classified(lambda c, k=key: report.by(c, k)), O.query(by.format(key, "classified"), *O.ALL))
     for name, key in (("by_decoder", "decoder"), ("by_strategy", "strategy")):
-        add(name, on_classified(lambda c, k=key: report.by(outputs(c), k, "success = 1")), O.query(by.format(key, "outputs WHERE success = 1"), *O.RUN))
+        add(name, on_evidence(lambda e, k=key: report.by(e.outputs(), k, "success = 1")), O.query(by.format(key, "outputs WHERE success = 1"), *O.RUN))
     kind_of = F.when(F.col("family").isin(K.VIDEO_KINDS), "video").otherwise("image")
-    add("by_output_type", on_classified(lambda c: report.by(outputs(c), kind_of, "success = 1")), O.query(by.format(f"CASE WHEN family IN {O.VIDEO} THEN 'video' ELSE 'image' END", "outputs WHERE success = 1"), *O.RUN))
-    add("top_errors", on_classified(lambda c: ranked_errors(outputs(c))), O.query(by.format("error", "outputs WHERE success = 0") + " ORDER BY n DESC, key LIMIT 30", *O.RUN))
+    add("by_output_type", on_evidence(lambda e: report.by(e.outputs(), kind_of, "success = 1")), O.query(by.format(f"CASE WHEN family IN {O.VIDEO} THEN 'video' ELSE 'image' END", "outputs WHERE success = 1"), *O.RUN))
+    add("top_errors", on_evidence(lambda e: ranked_errors(e.outputs())), O.query(by.format("error", "outputs WHERE success = 0") + " ORDER BY n DESC, key LIMIT 30", *O.RUN))
     add("one_pass_counts", on_classified(one_pass_counts), O.query("SELECT label, family, anywhere_kind, count(*) AS n FROM classified GROUP BY GROUPING SETS ((label), (family), (anywhere_kind))", *O.ALL))
     shown = ["path", "ord", "strategy", "family", "priority", "phase", "decoder", "ok", "width", "height", "duration_ms", "frame_count", "score", "error"]
-    add("attempts_report", on_classified(lambda c: (lambda a: report.attempt_rows(a, c, a).withColumn("score", F.round("score", 4)))(attempts(c))), O.query(
+    add("attempts_report", on_evidence(lambda e: (lambda a: report.attempt_rows(a, e.classified(), a).withColumn("score", F.round("score", 4)))(e.attempts())), O.query(
         f"SELECT {', '.join('a.ok::INT AS ok' if s == 'ok' else 'c.path' if s == 'path' else 'round(a.score, 4) AS score' if s == 'score' else 'a.' + s for s in shown)} FROM attempts a JOIN classified c ON c.doc_id = a.doc_id", *O.RUN))
-    failed = lambda c: outputs(c).select("doc_id", "success", "error").join(c.select("doc_id", *counts), "doc_id")
     state = "f AS (SELECT o.doc_id, success, error, m.* EXCLUDE (doc_id) FROM outputs o JOIN marked m ON m.doc_id = o.doc_id WHERE success = 0)"
-    add("recommendations", on_classified(lambda c: legacy.recommendations(failed(c))), O.query(
+    add("recommendations", on_evidence(lambda e: legacy.recommendations(e.failed(*counts))), O.query(
         "SELECT count(*) AS failed, count_if(soi_count = 0 AND internal_marker_count > 0) AS without_soi, count_if(soi_count > 0 AND eoi_count = 0) AS without_eoi, count_if(sos_count > 0 AND dht_count = 0) AS without_dht, "
         "count_if(error = 'no_candidate_succeeded') AS no_candidate, count_if(error = 'no_candidate_succeeded') > count(*) * 0.7 AS more_lanes FROM f", *O.RUN, state))
-    add("next_ideas", on_classified(lambda c: legacy.next_ideas(failed(c))), O.query(
+    add("next_ideas", on_evidence(lambda e: legacy.next_ideas(e.failed(*counts))), O.query(
         "SELECT doc_id, array_to_string(list_filter([CASE WHEN soi_count = 0 AND internal_marker_count > 0 THEN 'structure without a start of image: rebuild the header' END, CASE WHEN soi_count > 0 AND eoi_count = 0 THEN 'start without an end of image: append one' END, "
         "CASE WHEN sos_count > 0 AND dht_count = 0 THEN 'scan without Huffman tables: insert standard ones' END, CASE WHEN sos_count = 0 AND rst_count > 0 THEN 'restart markers without a scan header: synthesise one' END, "
         "CASE WHEN soi_count = 0 AND internal_marker_count = 0 THEN 'no structure: try other kinds' END], lambda s: s IS NOT NULL), '; ') AS ideas FROM f", *O.RUN, state))
