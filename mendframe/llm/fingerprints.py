@@ -120,10 +120,11 @@ def with_next(docs: DataFrame, *carried: str) -> DataFrame:
         F.when(for_bound.isNotNull(), F.struct(for_bound.alias("range"), F.lit(True).alias("guest"))),
         F.when(follows.isNotNull(), F.struct(follows.alias("range"), F.lit(True).alias("guest"))),
     ))))
-    order = W.partitionBy("place.range").orderBy(F.col("place.guest"), F.col("doc_id").desc_nulls_last(), F.xxhash64("text"))
-    for name in carried:
-        dealt = dealt.withColumn(f"next_{name}", F.lead(name).over(order))
-    return dealt.where("not place.guest").drop("place", "own_range")
+    dealt = dealt.withColumns({"range": F.col("place.range"), "guest": F.col("place.guest"), "tie": F.xxhash64("text")}).drop("place", "own_range")
+    # one window over all carried columns at once: its exchange is the only one of texts
+    order = W.partitionBy("range").orderBy(F.col("guest"), F.col("doc_id").desc_nulls_last(), F.col("tie"))
+    found = dealt.withColumn("next", F.lead(F.struct(*carried)).over(order)).where("not guest")
+    return found.select("*", *[F.col(f"next.{c}").alias(f"next_{c}") for c in carried]).drop("range", "guest", "tie", "next")
 
 
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
