@@ -172,8 +172,8 @@ def register(catalog: Catalog) -> None:
         add(name, on_classified(lambda c, k=key: report.by(c, k)), O.query(by.format(key, "classified"), *O.ALL))
     for name, key in (("by_decoder", "decoder"), ("by_strategy", "strategy")):
         add(name, on_evidence(lambda e, k=key: report.by(e.outputs(), k, "success = 1")), O.query(by.format(key, "outputs WHERE success = 1"), *O.RUN))
-    kind_of = F.when(F.col("family").isin(K.VIDEO_KINDS), "video").otherwise("image")
-    add("by_output_type", on_evidence(lambda e: report.by(e.outputs(), kind_of, "success = 1")), O.query(by.format(f"CASE WHEN family IN {O.VIDEO} THEN 'video' ELSE 'image' END", "outputs WHERE success = 1"), *O.RUN))
+    kind_of = lambda: F.when(F.col("family").isin(K.VIDEO_KINDS), "video").otherwise("image")
+    add("by_output_type", on_evidence(lambda e: report.by(e.outputs(), kind_of(), "success = 1")), O.query(by.format(f"CASE WHEN family IN {O.VIDEO} THEN 'video' ELSE 'image' END", "outputs WHERE success = 1"), *O.RUN))
     add("top_errors", on_evidence(lambda e: ranked_errors(e.outputs())), O.query(by.format("error", "outputs WHERE success = 0") + " ORDER BY n DESC, key LIMIT 30", *O.RUN))
     add("one_pass_counts", on_classified(one_pass_counts), O.query("SELECT label, family, anywhere_kind, count(*) AS n FROM classified GROUP BY GROUPING SETS ((label), (family), (anywhere_kind))", *O.ALL))
     shown = ["path", "ord", "strategy", "family", "priority", "phase", "decoder", "ok", "width", "height", "duration_ms", "frame_count", "score", "error"]
