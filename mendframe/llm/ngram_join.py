@@ -39,6 +39,9 @@ COUNT_BITS = 18
 LARGEST_SMALL = 12
 SCAN_COST = 0.25
 PART_ROWS = 400
+KEPT_BYTES = 6
+MARK_BITS = 22
+BROADCAST_IDS = 1_000_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -218,25 +221,83 @@ def scan_lists(postings: DataFrame, percent: int) -> DataFrame:
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of sets that link, tested on whole sets (id, items binary)."""
-    left = sets.select(F.col("id").alias("a"), F.col("items").alias("a_items"))
-    right = sets.select(F.col("id").alias("b"), F.col("items").alias("b_items"))
+    """The pairs (a, b) of sets that link, tested on whole sets (id, items binary); sets are exchanged once for both sides."""
+    left, right = (sets.select(F.col("id").alias(s), F.col("items").alias(f"{s}_items")) for s in ("a", "b"))
 
     def test(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept = []
             for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = np.concatenate([x, y])
+                both = np.concatenate([unpacked(x.as_buffer()), unpacked(y.as_buffer())])
+                total = len(both)
                 both.sort(kind="stable")
                 common = int((both[1:] == both[:-1]).sum())
-                if 100 * common >= percent * (len(x) + len(y) - common):
+                if 100 * common >= percent * (total - common):
                     kept.append(i)
             yield batch.select(["a", "b"]).take(pa.array(kept, pa.int64()))
 
     return pairs.join(left, "a").join(right, "b").select("a", "b", "a_items", "b_items").mapInArrow(test, "a long, b long")
 
 
+def packed(shingles: np.ndarray) -> bytes:
+    """The low 48 bits of each hash: equal by chance in about one of 1e8 pairs of sets of a thousand shingles."""
+    return shingles.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEPT_BYTES].tobytes()
+
+
+def unpacked(data) -> np.ndarray:
+    raw = np.frombuffer(data, np.uint8).reshape(-1, KEPT_BYTES)
+    out = np.zeros((len(raw), 8), np.uint8)
+    out[:, :KEPT_BYTES] = raw
+    return out.view("<u8").ravel()
+
+
+def mark_of(ids: np.ndarray) -> np.ndarray:
+    """Places of ids in a bitmap of 2^MARK_BITS bits."""
+    with np.errstate(over="ignore"):
+        return (finished(ids.astype(np.int64).view(np.uint64) * MIX) >> np.uint64(64 - MARK_BITS)).astype(np.int64)
+
+
+def sets_of(rows: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """Whole sets (id, items) of the documents in wanted (doc_id), and of some others, made anew from their texts.
+
+    While wanted is small against a bitmap of fixed size, the bitmap tells tasks which texts to read; beyond that texts
+    are joined with wanted.
+    """
+    spark = rows.sparkSession
+    wanted = materialise(wanted.distinct(), "wanted")
+
+    def sets(texts: pa.Array) -> pa.RecordBatch:
+        shingles, starts = shingle_sets(texts, words)
+        one, _ = set_keys(shingles, starts)
+        raw = [packed(shingles[a:b]) for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(one), pa.array(raw, pa.binary())], names=["id", "items"])
+
+    if wanted.count() <= 1 << (MARK_BITS - 3):
+        marked = np.zeros(1 << MARK_BITS, bool)
+
+        def places(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(mark_of(np.asarray(batch.column(0)))))], names=["place"])
+
+        for r in wanted.mapInArrow(places, "place long").distinct().toLocalIterator():  # at most an eighth of the bitmap
+            marked[r["place"]] = True
+        shared = spark.sparkContext.broadcast(np.packbits(marked))
+
+        def chosen(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            bits = np.unpackbits(shared.value).astype(bool)
+            for batch in batches:
+                known = batch.filter(batch.column(0).is_valid())
+                yield sets(known.filter(pa.array(bits[mark_of(np.asarray(known.column(0)))])).column(1))
+
+        return rows.mapInArrow(chosen, "id long, items binary")
+
+    def every(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield sets(batch.column(0))
+
+    return rows.join(wanted, "doc_id").select("text").mapInArrow(every, "id long, items binary")
+
+
 def _fits(percent: int):
     """Whether sizes alone allow a link."""
     return 100 * F.least("hub_size", "size") >= percent * F.greatest("hub_size", "size")
@@ -281,23 +342,13 @@ def ngram_components(docs: DataFrame, percent: int = PERCENT, words: int = WORDS
     maybe = listed.where("need = 0").where(_fits(percent)).select(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b")).where("a <> b").distinct()
     maybe = materialise(maybe, "candidates")
 
-    def sets_of(ids: DataFrame) -> DataFrame:
-        """Whole sets of ids (id), made anew from the text of one document each."""
-        wanted = ids.join(groups, "id").select(F.col("rep").alias("doc_id"))
-
-        def rebuild(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                shingles, starts = shingle_sets(batch.column(0), words)
-                one, _ = set_keys(shingles, starts)
-                raw = [shingles[a:b].tobytes() for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(raw, pa.binary())], names=["id", "items"])
-
-        texts = rows.join(wanted.distinct(), "doc_id").select("text")
-        return texts.mapInArrow(rebuild, "id long, items binary").join(ids, "id", "left_semi").dropDuplicates(["id"])
+    def tested(pairs: DataFrame) -> DataFrame:
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        # a set can be made of several documents where ids repeat; one row of each is enough
+        found = sets_of(rows, ids.join(groups, "id").select(F.col("rep").alias("doc_id")), words)
+        return _linked(pairs, found, percent)
 
-    ids = maybe.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = materialise(sets_of(ids), "sets")
-    links = materialise(sure.unionByName(_linked(maybe, sets, percent)), "set_links")
+    links = materialise(sure.unionByName(tested(maybe)), "set_links")
     parts = components(links)
 
     # lists whose members are still in several components: members of different ones are tested against each other
@@ -311,8 +362,7 @@ def ngram_components(docs: DataFrame, percent: int = PERCENT, words: int = WORDS
     rest = left.join(right, "token").where("a_id < b_id and a_component <> b_component").where(100 * F.least("a_size", "b_size") >= percent * F.greatest("a_size", "b_size"))
     rest = materialise(rest.select(F.col("a_id").alias("a"), F.col("b_id").alias("b")).distinct().join(maybe, ["a", "b"], "left_anti"), "rest")
     if rest.limit(1).count():
-        more = materialise(sets_of(rest.select(F.explode(F.array("a", "b")).alias("id")).distinct()), "sets")
-        links = links.unionByName(_linked(rest, more, percent))
+        links = links.unionByName(tested(rest))
         parts = components(links)
 
     by_set = groups.join(parts.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
@@ -328,5 +378,11 @@ def one_of_each(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) ->
     Equal rows become one; rows without doc_id can't be told apart by it and stay.
     """
     named = docs.where("doc_id is not null")
-    kept = ngram_components(named, percent, words).where("doc_id = component_id").select("doc_id").distinct()
-    return named.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    found = materialise(ngram_components(named, percent, words).select("doc_id", "component_id"), "components")
+    gone = found.groupBy("doc_id").agg(F.max("component_id").alias("c")).where("c <> doc_id").select("doc_id")
+    if gone.count() <= BROADCAST_IDS:
+        gone = F.broadcast(gone)
+    kept = named.join(gone, "doc_id", "left_anti")
+    if found.groupBy("doc_id").count().where("count > 1").limit(1).count():
+        kept = kept.dropDuplicates(["doc_id", "text"])
+    return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))
