@@ -6,8 +6,9 @@ that an equal subset is a link without a further test. Large sets, and those sma
 stand in inverted lists of the rarest shingles that a partner cannot avoid (n - ceil(0.8 n) + 1 of them); scanning a
 list gives candidates, and candidates are tested on whole sets.
 
-The order of shingles by rarity comes from counts over all documents in hash buckets: any order is correct, a good one
-keeps lists short. Equal sets are collapsed first. A list isn't joined with itself: its smallest member is the hub
+The order of shingles by rarity comes from a pass over all documents: a task counts the shingles that recur among its
+documents, sums that reach FREQUENT go into a table of fixed size by hash, and shingles without an entry are rare. Any
+order is correct, a good one keeps lists short. Equal sets are collapsed first. A list isn't joined with itself: its smallest member is the hub
 that all others are tested against, and only where the links found so far leave a list in several components are the
 members of different components tested against each other. Lists whose shingle the counts show to be frequent are cut
 into parts with a hub each, and the hubs meet in a second list, so no list has to fit a task. Components follow from
@@ -35,7 +36,9 @@ from mendframe.llm.shared import materialise, small_batches
 
 WORDS = 5
 PERCENT = 80
-COUNT_BITS = 18
+COUNT_BITS = 20
+FLUSH = 4_000_000
+FREQUENT = 6
 LARGEST_SMALL = 12
 SCAN_COST = 0.25
 PART_ROWS = 400
@@ -164,7 +167,7 @@ def _posting_rows(shingles, starts, keys, counts, most_small, percent, known):
     return out, sizes
 
 
-def candidate_lists(docs: DataFrame, counts: np.ndarray, mean_count: float, most_small: int, percent: int, words: int) -> DataFrame:
+def candidate_lists(docs: DataFrame, counts: np.ndarray, most_small: int, percent: int, words: int) -> DataFrame:
     """Postings (token, salt, need, set, size); need > 0 marks subsets, with the size that a hub must have."""
     shared = docs.sparkSession.sparkContext.broadcast(counts)  # 2^COUNT_BITS numbers
 
@@ -176,7 +179,7 @@ def candidate_lists(docs: DataFrame, counts: np.ndarray, mean_count: float, most
             parts, sizes = _posting_rows(shingles, starts, key, shared.value, most_small, percent, known)
             for token, owner, need, count in parts:
                 # frequent shingles: as many parts as it takes for a part to stay near PART_ROWS
-                split = np.maximum(1, (count - mean_count) // PART_ROWS).astype(np.int64)
+                split = np.maximum(1, count // PART_ROWS).astype(np.int64)
                 salt = np.where(split > 1, (key[owner].view(np.uint64) >> np.uint64(3)).astype(np.int64) % split, 0)
                 columns = [token.view(np.int64), np.where(split > 1, salt, -1), need, key[owner], sizes[owner]]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["token", "salt", "need", "id", "size"])
@@ -310,31 +313,44 @@ def ngram_components(docs: DataFrame, percent: int = PERCENT, words: int = WORDS
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
     def measure(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(1 << COUNT_BITS, np.int64)
-        names = ["doc_id", "n", "id", "other", "bucket"]
+        names = ["doc_id", "n", "id", "other", "token"]
+
+        def recurring(held: list[np.ndarray], known: set[int]) -> pa.RecordBatch:
+            tokens, n = np.unique(np.concatenate([np.empty(0, np.uint64), *held]), return_counts=True)
+            tokens, n = tokens[n > 1].view(np.int64), n[n > 1]
+            held.clear()
+            known.clear()
+            nothing = pa.nulls(len(n), pa.int64())
+            return pa.RecordBatch.from_arrays([nothing, pa.array(n, pa.int64()), nothing, nothing, pa.array(tokens)], names=names)
+
+        held: list[np.ndarray] = []
+        known: set[int] = set()
         for batch in batches:
             shingles, starts = shingle_sets(batch.column(1), words)
             one, two = set_keys(shingles, starts)
-            seen += np.bincount((shingles >> np.uint64(64 - COUNT_BITS)).astype(np.int64), minlength=len(seen))
+            for k, a, b in zip(one.tolist(), starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+                if k not in known:  # equal sets are collapsed later and count once here
+                    known.add(k)
+                    held.append(shingles[a:b])
             nothing = pa.nulls(batch.num_rows, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(starts)), pa.array(one), pa.array(two), nothing], names=names)
-        used = np.flatnonzero(seen)
-        nothing = pa.nulls(len(used), pa.int64())
-        yield pa.RecordBatch.from_arrays([nothing, pa.array(seen[used]), nothing, nothing, pa.array(used)], names=names)
+            if sum(map(len, held)) > FLUSH:
+                yield recurring(held, known)
+        yield recurring(held, known)
 
-    measured = materialise(rows.mapInArrow(measure, "doc_id long, n long, id long, other long, bucket long"), "shingles")
+    measured = materialise(rows.mapInArrow(measure, "doc_id long, n long, id long, other long, token long"), "shingles")
+    frequent = measured.where("token is not null").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT)
+    place = F.shiftrightunsigned("token", 64 - COUNT_BITS)
     counts = np.zeros(1 << COUNT_BITS, np.int64)
-    for r in measured.where("bucket is not null").groupBy("bucket").agg(F.sum("n").alias("n")).toLocalIterator():  # 2^COUNT_BITS rows at most
-        counts[r["bucket"]] = r["n"]
-    members = measured.where("bucket is null").select("doc_id", "n", "id", "other")
+    found = frequent.groupBy(place.alias("place")).agg(F.max("n").alias("n")).toPandas()  # 2^COUNT_BITS rows at most
+    counts[found["place"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
+    members = measured.where("token is null").select("doc_id", "n", "id", "other")
     groups = members.where("n > 0").groupBy("id", "other", "n").agg(F.min("doc_id").alias("rep"))
     sizes = {r["n"]: r["sets"] for r in groups.where(F.col("n") <= LARGEST_SMALL).groupBy("n").agg(F.count("*").alias("sets")).collect()}
-    total = int(counts.sum())
-    mean_count = total / len(counts)
-    typical = float((counts.astype(np.float64) ** 2).sum() / max(total, 1) - mean_count)  # how often a shingle's bucket fellows occur beyond chance
-    most_small = boundary(sizes, max(1.0, typical), percent)
+    typical = float(counts[counts > 0].mean()) if counts.any() else 1.0
+    most_small = boundary(sizes, typical, percent)
 
-    listed = materialise(scan_lists(candidate_lists(rows, counts, mean_count + 4 * mean_count**0.5, most_small, percent, words), percent), "lists")
+    listed = materialise(scan_lists(candidate_lists(rows, counts, most_small, percent, words), percent), "lists")
     # the hubs of a frequent shingle's parts form a list of their own
     hubs = listed.where("salt >= 0").select("token", F.lit(-1).cast("long").alias("salt"), "need", F.col("hub").alias("id"), F.col("hub_size").alias("size"))
     listed = listed.where("id is not null").unionByName(scan_lists(hubs, percent).where("id is not null"))
@@ -355,8 +371,9 @@ def ngram_components(docs: DataFrame, percent: int = PERCENT, words: int = WORDS
     root = parts.select(F.col("node").alias("id"), "component")
     inside = listed.where("need = 0").select("token", "id", "size").unionByName(listed.where("need = 0").select("token", F.col("hub").alias("id"), F.col("hub_size").alias("size")))
     inside = inside.join(root, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = inside.groupBy("token").agg(F.min("component").alias("first"), F.max("component").alias("last"), F.min("id").alias("i"), F.max("id").alias("j"), F.approx_count_distinct("id").alias("about"))
-    mixed = mixed.where("first <> last and about > 1").select("token")
+    mixed = inside.groupBy("token").agg(F.min("component").alias("first"), F.max("component").alias("last"), F.count("*").alias("rows"))
+    # a list of two members is one pair, which its hub has tested; each member behind a hub gives two rows here
+    mixed = mixed.where("first <> last and rows >= 4").select("token")
     open_lists = materialise(inside.join(mixed, "token").distinct(), "open_lists")
     left, right = (open_lists.select("token", *[F.col(c).alias(f"{s}_{c}") for c in ("id", "size", "component")]) for s in ("a", "b"))
     rest = left.join(right, "token").where("a_id < b_id and a_component <> b_component").where(100 * F.least("a_size", "b_size") >= percent * F.greatest("a_size", "b_size"))
