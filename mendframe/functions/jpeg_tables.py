@@ -64,7 +64,10 @@ def component_ids(sof: bytes) -> list[int]:
 
 
 def scan_header(sof: bytes) -> bytes:
-    """A start of scan for all components of a frame: the first with tables 0, the others with tables 1; empty without any."""
+    """A start of scan for all components of a frame: the first with tables 0, the others with tables 1; empty without any.
+
+    It states the number of components, as the standard asks, so that decoders take what follows for coded data.
+    """
     ids = component_ids(sof)
     pairs = b"".join(bytes([c, 0x11 if i else 0x00]) for i, c in enumerate(ids))
-    return bytes.fromhex("FFDA") + (6 + 2 * len(ids)).to_bytes(2, "big") + pairs + bytes.fromhex("003F00") if ids else b""
+    return bytes.fromhex("FFDA") + (6 + 2 * len(ids)).to_bytes(2, "big") + bytes([len(ids)]) + pairs + bytes.fromhex("003F00") if ids else b""
