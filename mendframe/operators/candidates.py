@@ -66,8 +66,12 @@ def payload(content: Column) -> Column:
 
 
 def plan_key() -> Column:
-    """A digest of all that makes a plan, in a fixed order; equal digests mean equal plans."""
-    return F.sha2(F.concat_ws("|", "family", "strategy", F.col("priority").cast("string"), "kind", F.col("start").cast("string"), F.coalesce(F.col("end").cast("string"), F.lit("end")), "prepend", "append"), 256)
+    """A digest of all that makes a plan, in a fixed order; equal digests mean equal plans.
+
+    Plans of walking lanes have a size and a digest of their bytes in place of bytes before and after.
+    """
+    rest = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("prepend", "append", "header_bytes", "payload_size", "payload_sha256")]
+    return F.sha2(F.concat_ws("|", "family", "strategy", F.col("priority").cast("string"), "kind", F.col("start").cast("string"), F.coalesce(F.col("end").cast("string"), F.lit("end")), *rest), 256)
 
 
 def generic(classified: DataFrame) -> DataFrame:
@@ -175,6 +179,13 @@ def jpeg(classified: DataFrame, *lanes: Callable[[], Column]) -> DataFrame:
 
 JPEG_LANES = (jpeg_whole, jpeg_soi, jpeg_synthetic_soi, jpeg_hints)
 
+
+def merged(ranges: DataFrame, walked: DataFrame) -> DataFrame:
+    """Plans of position lanes and of walking lanes, with ord over all of them; no strategy is in both."""
+    walked = walked.withColumns({c: F.col(c).cast("int") for c in ("start", "end")})
+    order = W.partitionBy("doc_id").orderBy(F.col("priority").desc(), "strategy", "ord")
+    return ranges.unionByName(walked, allowMissingColumns=True).withColumn("ord", F.row_number().over(order))
+
 # the older engine: one kind at a time
 
 

@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mendframe.operators import candidates, classify, scoring
+from mendframe.operators import candidates, classify, rebuild, scoring
 from mendframe.sources import corpus
 
 _held: dict[tuple, str] = {}
@@ -55,12 +55,12 @@ class Evidence:
         return self.classified().join(self.blobs().select("doc_id", "content"), "doc_id")
 
     def plans(self) -> DataFrame:
-        """Plans of all lanes that need positions only, but for the widest fan-out."""
+        """Plans of all lanes; those of the walking lanes have payload_sha256, others bytes before and after."""
 
         def build() -> DataFrame:
             rows = self.with_content()
-            jpeg = candidates.jpeg(rows, candidates.jpeg_whole, candidates.jpeg_soi, candidates.jpeg_hints)
-            return candidates.generic(rows).unionByName(candidates.video(rows)).unionByName(jpeg)
+            jpeg = candidates.merged(candidates.jpeg(rows, *candidates.JPEG_LANES), rebuild.rebuild_plans(rows))
+            return candidates.generic(rows).unionByName(candidates.video(rows)).unionByName(jpeg, allowMissingColumns=True)
 
         return self._staged("plans", build)
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from mendframe.functions import jpeg_tables as J
 from mendframe.operators import candidates, classify, rebuild, scoring, signatures
+from mendframe.plans import evidence, registry
 from mendframe.plans.store import Store
 from mendframe.sources import corpus
 
@@ -91,6 +92,52 @@ def test_rebuilt_headers_decode(spark):
     assert any("synthetic_sos" in r[1] and decodes(spark, blob.payload(r[0])) == (48, 48) for r in list(blob.rows()))
 
 
+def every_jpeg_plan(data, label):
+    """(strategy, priority, start, end) of all lanes by falling priority, strategy and order of generation."""
+    soi, eoi = rebuild.sampled(rebuild.places(data, rebuild.SOI), 16), rebuild.places(data, rebuild.EOI)
+    anchors = rebuild.sampled(rebuild.places(data, rebuild.ANCHOR), 32)
+    made = [("full_file", 100, 0, None), ("prepend_soi_full", 98, 0, None), ("append_eoi_full", 97, 0, None), ("prepend_soi_append_eoi_full", 96, 0, None)]
+    for p in soi:
+        made += [("soi_to_sampled_eoi", 95, p, e + 2) for e in rebuild.sampled([e for e in eoi if e > p], 6)]
+        made += [("soi_to_end", 94, p, None), ("soi_to_end_append_eoi", 93, p, None)]
+        for n in candidates.TAILS:
+            end = min(len(data), p + n)
+            made += [(f"soi_tail_{n}", 92, p, end), (f"soi_tail_{n}_append_eoi", 91, p, end)] if end - p >= 128 else []
+    for p in anchors:
+        for b in candidates.BACKS:
+            name, start = f"synthetic_soi_back_{b}", max(0, p - b)
+            made += [(name, 88, start, None), (f"{name}_append_eoi", 87, start, None)]
+            made += [(f"{name}_to_eoi", 86, start, e + 2) for e in rebuild.sampled([e for e in eoi if e > p], 3)]
+    made += [("classification_hint_append_eoi", 105, 0, None)] if label == "jpeg_missing_eoi" else []
+    if label == "jpeg_missing_soi_internal_structure":
+        made += [(f"classification_hint_synthetic_soi_back_{b}", 106, max(0, p - b), None) for p in anchors[:16] for b in (512, 2048, 8192, 32768)]
+    walked = [(strategy, priority, start, end) for _, strategy, priority, start, end, *_ in rebuild.Blob(data, label).rows()]
+    return sorted([*dict.fromkeys(made), *walked], key=lambda m: (-m[1], m[0]))
+
+
+def test_a_run_takes_the_plans_of_every_lane(spark, monkeypatch):
+    data = picture(spark)
+    tables = segments_of(data, "FFC4")
+    sos = data.index(b"\xff\xda")
+    files = {
+        "jpeg_missing_soi_internal_structure": data[2:sos] + data[sos + 2 + int.from_bytes(data[sos + 2 : sos + 4], "big") :], "jpeg_missing_eoi": data[:-2],
+        "jpeg_missing_dht": data[: tables[0][0]] + data[tables[-1][0] + len(tables[-1][1]) :], "jpeg_structural_salvage_candidate": data[:-9] + b"\xff\xd3" + data[-9:],
+    }
+    rows = spark.createDataFrame([(i, f"{i}.jpg", bytearray(d)) for i, d in enumerate(files.values())], "doc_id long, path string, content binary")
+    run = evidence.Evidence(spark, "every lane")
+    monkeypatch.setattr(run, "blobs", lambda: rows)
+    assert [r["label"] for r in run.classified().orderBy("doc_id").collect()] == list(files)
+    want = {i: every_jpeg_plan(d, label) for i, (label, d) in enumerate(files.items())}
+    got = {i: [] for i in want}
+    for r in run.attempts().orderBy("doc_id", "ord").collect():
+        got[r["doc_id"]].append((r["strategy"], r["priority"], r["start"], r["end"]))
+        assert r["ord"] == len(got[r["doc_id"]])
+    assert got == want
+    names = {i: " ".join(m[0] for m in plans) for i, plans in want.items()}
+    assert "synthetic_sos" in names[0] and "inject_standard_dht" in names[2] and "restart_window" in names[3] and all("synthetic_soi_back" in n for n in names.values())
+    assert {r["doc_id"]: r["plans"] for r in registry.deduped(run).collect()} == {i: len(plans) for i, plans in want.items()}
+
+
 def test_standard_tables_are_those_of_the_jvm(spark):
     jpeg = spark._jvm.javax.imageio.plugins.jpeg
     tables = {0x00: "StdDCLuminance", 0x10: "StdACLuminance", 0x01: "StdDCChrominance", 0x11: "StdACChrominance"}
