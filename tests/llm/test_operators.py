@@ -2,6 +2,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -219,6 +220,27 @@ def test_personal_data(spark):
     assert {r["doc_id"]: (r["text"], r["n_chars"]) for r in cleaned.collect()}[3] == ("write <email>", 13) and cleaned.columns == docs_of(spark, rows).columns
 
 
+def test_the_gate_loses_no_span(monkeypatch):
+    lost = {
+        "host 10.zero.zero.one up": ("10.zero.zero.one", "ip"), "call +49.one.five.one.two.three.four.five.six": ("+49.one.five.one.two.three.four.five.six", "phone"),
+        "+49 (one)(five)(one)(two) 345678": ("+49 (one)(five)(one)(two) 345678", "phone"), "mail john@example_dot_com": ("john@example_dot_com", "email"),
+    }
+    for text, want in lost.items():
+        assert want in [(text[a:b], kind) for _, spans in pii.find_in_batch(pa.array([text])) for a, b, kind in spans]
+    rnd = random.Random(4)
+    digits, signs = ["one", "OH", "zÉro", "s\u0130x", "1", "7", "\uff11"], ["", " ", "-", ".", " dot ", "[.]", "_punto_", " .\x0b", "(dot)", "\x1cdot ", "\u00a0"]
+    others = ["@", " at ", "(arroba)", "\x0b@", "+", "plus ", "plus\x1c\n", "a", "b.c", "\u00e9", ",", "(", ")", "\u200b"]
+    texts = ["".join(rnd.choice(digits) + rnd.choice(signs if rnd.random() < 0.8 else others) for _ in range(rnd.randrange(9))) for _ in range(10000)]
+    texts += ["".join(rnd.choice(digits) + rnd.choice([" ", "-", " "]) for _ in range(rnd.randrange(12, 20))) for _ in range(3000)]
+    texts += ["".join(rnd.choice(["a", "one", "x", " at ", "[at]", "@", " dot ", ".", "com", " "]) for _ in range(rnd.randrange(12))) for _ in range(5000)]
+    gated = pii.find_in_batch(pa.array(texts))
+    monkeypatch.setattr(pii, "HINTED", re.compile(""))
+    whole = [pii.find_all(t) for t in texts]
+    assert gated == whole and sum(len(every) > len(base) for base, every in whole) > 500
+    began = time.process_time()
+    assert pii.find_all("one" + " " * 200_000 + "(" + " " * 200_000)[1] == [] and time.process_time() - began < 5
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(1)
     base = rng.standard_normal((12, 16))
