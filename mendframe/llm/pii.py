@@ -7,6 +7,7 @@ Deobfuscation adds spans: a transducer rewrites the text (homoglyphs and compati
 characters away, spelled digits to digits, at/dot disguises to signs) and keeps for each piece of its output the piece
 of the source that it stands for. The same patterns run over the output, and spans that touch a rewritten piece are
 mapped back to the source characters they came from. Spans that overlap a base span of their kind are not added.
+Emails and IP addresses are first looked for with the blanks and hyphens between spelled digits left out.
 
 Defined cases: null and empty texts have no spans; texts of any length are scanned whole, in linear time; repeated rows
 are separate rows; an empty table gives an empty result; extra columns stay out of the way.
@@ -123,6 +124,8 @@ REWRITES = re.compile(
     rf"|(?P<digit>\b(?:{SPELLED})\b)",
     re.IGNORECASE,
 )
+BETWEEN = re.compile(r"[\s-]+")
+JOINED = re.compile(rf"\b(?:{SPELLED})[\s-]+(?:{SPELLED})\b", re.IGNORECASE)
 INVISIBLE = frozenset("\u00ad\u200b\u200c\u200d\u2060\ufeff\u180e\u200e\u200f")
 DASHES = frozenset("\u2010\u2011\u2012\u2013\u2014\u2015\u2212\ufe63\uff0d")
 # What a text with a span that touches a rewritten piece must hold: for an email an at sign, a bracketed `at` or, with a
@@ -205,11 +208,15 @@ def unchanged(text: str) -> Rewritten:
     return out
 
 
-def fold_words(text: str) -> Rewritten:
-    """Spelled digits, spelled plus and at/dot disguises."""
-    out, start = Rewritten(), 0
+def fold_words(text: str, join: bool = False) -> Rewritten:
+    """Spelled digits, spelled plus and at/dot disguises; join: without the blanks and hyphens between spelled digits."""
+    out, start, last = Rewritten(), 0, ""
     for m in REWRITES.finditer(text):
         kind = m.lastgroup or ""
+        if join and kind == last == "digit" and BETWEEN.fullmatch(text, start, m.start()):
+            out.add("", start, m.start(), kind)
+            start = m.start()
+        last = kind
         sign = {"at": "@", "bare": "@", "dot": ".", "plus": "+"}.get(kind) or WORD_DIGIT[m[0].lower().replace("\u0307", "")]
         out.add(text[start : m.start()], start, m.start(), "")
         out.add(sign, m.start(), m.end(), kind)
@@ -223,6 +230,7 @@ def added_spans(text: str, base: list[Span], hinted: bool = True, foldable: bool
     """Spans that only the rewritten text shows, in source characters; none overlaps a base span of its kind.
 
     An `at` without brackets or blanks for it counts only before a disguised dot: "look at x.com" holds no email.
+    IP addresses and emails hold no blanks, so they are looked for with runs of spelled digits joined first.
     """
     first = fold_characters(text) if foldable else unchanged(text)
     second = fold_words(first.text) if HINTED.search(first.text) else None
@@ -230,10 +238,14 @@ def added_spans(text: str, base: list[Span], hinted: bool = True, foldable: bool
         return []
     taken = {k: sorted((a, b) for a, b, kind in base if kind == k) for k in KINDS}
     out = []
-    for a, b, kind in base_spans((second or first).text, chained=False):
+    rewritten = [(second, span) for span in base_spans((second or first).text, chained=False)]
+    if second and JOINED.search(first.text):
+        joined = fold_words(first.text, join=True)
+        rewritten = [(joined, span) for span in base_spans(joined.text, ("email", "ip"), chained=False)] + rewritten
+    for words, (a, b, kind) in rewritten:
         changes = set()
-        if second:
-            a, b, changes = second.back(a, b)
+        if words:
+            a, b, changes = words.back(a, b)
         a, b, also = first.back(a, b)
         while b > a and text[b - 1].isspace():
             b -= 1

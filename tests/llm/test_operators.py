@@ -241,6 +241,20 @@ def test_the_gate_loses_no_span(monkeypatch):
     assert pii.find_all("one" + " " * 200_000 + "(" + " " * 200_000)[1] == [] and time.process_time() - began < 5
 
 
+def test_spelled_numbers_of_several_digits():
+    whole = {
+        "host one nine two dot one six eight dot one dot two up": ("one nine two dot one six eight dot one dot two", "ip"), "at one zero dot zero dot zero dot one": ("one zero dot zero dot zero dot one", "ip"),
+        "one-nine-two [.] one  six\teight.one.two": ("one-nine-two [.] one  six\teight.one.two", "ip"), "x 10.zero.zero.two five": ("10.zero.zero.two five", "ip"),
+        "ask one two three (at) example (dot) com": ("one two three (at) example (dot) com", "email"), "ask a.four two at example dot com": ("a.four two at example dot com", "email"),
+        "one.two.three.four": ("one.two.three.four", "ip"), "оne nine two dot one six eight dot one dot two": ("оne nine two dot one six eight dot one dot two", "ip"),
+    }
+    for text, (want, kind) in whole.items():
+        assert [(text[a:b], k) for _, spans in pii.find_in_batch(pa.array([text])) for a, b, k in spans] == [(want, kind)]
+    text = "card four one one one 1111 1111 1111, host one zero dot zero dot zero dot one"
+    assert pii.redacted(text, pii.find_all(text)[1]) == "card <card>, host <ip>"
+    assert not pii.find_all("one two three dot four")[1]
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(1)
     base = rng.standard_normal((12, 16))
