@@ -64,7 +64,9 @@ def deduped(evidence: Evidence) -> DataFrame:
 
 def shared_payloads(evidence: Evidence) -> DataFrame:
     """Distinct payloads and how many plans of how many files give each: equal payloads need one probe only."""
-    rows = payload_rows(evidence.plans().where("family <> 'jpeg'"), evidence.blobs(), ["doc_id"])
+    plans = evidence.plans()
+    hashed = plans.where("payload_sha256 IS NOT NULL").select("doc_id", "payload_sha256")
+    rows = payload_rows(plans.where("payload_sha256 IS NULL").drop("payload_sha256"), evidence.blobs(), ["doc_id"]).unionByName(hashed)
     return rows.groupBy("payload_sha256").agg(F.count("*").alias("plans"), F.count_distinct("doc_id").alias("files"))
 
 

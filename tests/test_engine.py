@@ -1,5 +1,7 @@
 """Scans, classes and candidates on small blobs."""
 
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -138,6 +140,27 @@ def test_a_run_takes_the_plans_of_every_lane(spark, monkeypatch):
     assert {r["doc_id"]: r["plans"] for r in registry.deduped(run).collect()} == {i: len(plans) for i, plans in want.items()}
 
 
+def test_shared_payloads_of_jpeg_plans(spark, monkeypatch):
+    data = picture(spark)
+    without = data[: segments_of(data, "FFC4")[0][0]] + data[segments_of(data, "FFC4")[-1][0] + len(segments_of(data, "FFC4")[-1][1]) :]
+    files = {0: without, 1: without, 2: data[:-2], 3: b"\x89PNG\r\n\x1a\n" + bytes(9)}
+    rows = spark.createDataFrame([(i, f"{i}.jpg" if i < 3 else "3.png", bytearray(d)) for i, d in files.items()], "doc_id long, path string, content binary")
+    run = evidence.Evidence(spark, "shared payloads")
+    monkeypatch.setattr(run, "blobs", lambda: rows)
+    labels = {r["doc_id"]: r["label"] for r in run.classified().collect()}
+    want = {}
+    for r in run.plans().collect():
+        if r["header_bytes"] is None:
+            whole = bytes.fromhex(r["prepend"]) + files[r["doc_id"]][r["start"] : r["end"]] + bytes.fromhex(r["append"])
+            want.setdefault(hashlib.sha256(whole).hexdigest(), []).append(r["doc_id"])
+    for i in range(3):
+        for *_, digest in rebuild.Blob(files[i], labels[i]).rows():
+            want.setdefault(digest, []).append(i)
+    got = {r["payload_sha256"]: (r["plans"], r["files"]) for r in registry.shared_payloads(run).collect()}
+    assert got == {digest: (len(ids), len(set(ids))) for digest, ids in want.items()}
+    assert got[hashlib.sha256(without).hexdigest()][1] == 2 and got[hashlib.sha256(files[2] + b"\xff\xd9").hexdigest()][0] > 1
+
+
 def test_standard_tables_are_those_of_the_jvm(spark):
     jpeg = spark._jvm.javax.imageio.plugins.jpeg
     tables = {0x00: "StdDCLuminance", 0x10: "StdACLuminance", 0x01: "StdDCChrominance", 0x11: "StdACChrominance"}
