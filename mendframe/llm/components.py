@@ -40,5 +40,7 @@ def components(links: DataFrame) -> DataFrame:
         if now == before:
             break
         before = now
+    else:
+        raise RuntimeError(f"components have not settled within {MOST_ROUNDS} rounds")
     roots = held.select(F.col("b").alias("node"), F.col("b").alias("component"))
     return held.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots).groupBy("node").agg(F.min("component").alias("component"))

@@ -136,6 +136,12 @@ def test_components(spark):
     assert got == {x: root(x) for a, b in links if a != b for x in (a, b)}
 
 
+def test_components_that_have_not_settled_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr("mendframe.llm.components.MOST_ROUNDS", 1)
+    with pytest.raises(RuntimeError, match="not settled"):
+        components(spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long"))
+
+
 def test_fingerprints(spark, rows, monkeypatch):
     monkeypatch.setattr(fingerprints, "RANGE_ROWS", 9)
     unique = list({r[0]: r for r in rows}.values())
