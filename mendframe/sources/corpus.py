@@ -89,7 +89,9 @@ def derived(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     variant = F.pmod(F.col("doc_id"), F.lit(len(VARIANTS))).cast("int")
     shaped = docs.withColumn("variant", variant).withColumn("shape", F.get(shapes, F.col("variant")))
+    number = F.col("doc_id").cast("string")
+    padded = F.lpad(number, F.greatest(F.lit(6), F.length(number)), F.lit("0"))
     return shaped.select(
-        "doc_id", "variant", F.concat(F.lit("f"), F.lpad(F.col("doc_id").cast("string"), 6, "0"), F.col("shape.ext")).alias("path"),
+        "doc_id", "variant", F.concat(F.lit("f"), padded, F.col("shape.ext")).alias("path"),
         F.concat(F.col("shape.before"), F.encode("text", "UTF-8"), F.col("shape.after")).alias("content"),
     )

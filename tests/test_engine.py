@@ -140,6 +140,13 @@ def test_a_run_takes_the_plans_of_every_lane(spark, monkeypatch):
     assert {r["doc_id"]: r["plans"] for r in registry.deduped(run).collect()} == {i: len(plans) for i, plans in want.items()}
 
 
+def test_paths_of_large_numbers_differ(spark, tmp_path):
+    rows = [(i, "x") for i in (7, 999_999, 1_000_000, 1_000_008)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"file://{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["path"].split(".")[0] for r in corpus.derived(spark, f"file://{tmp_path}").collect()}
+    assert got == {7: "f000007", 999_999: "f999999", 1_000_000: "f1000000", 1_000_008: "f1000008"}
+
+
 def test_shared_payloads_of_jpeg_plans(spark, monkeypatch):
     data = picture(spark)
     without = data[: segments_of(data, "FFC4")[0][0]] + data[segments_of(data, "FFC4")[-1][0] + len(segments_of(data, "FFC4")[-1][1]) :]
