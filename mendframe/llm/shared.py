@@ -1,14 +1,19 @@
 """What the operators of this package share: the shared folder, materialised tables, word counts."""
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WHITE_SPACE = "[\\x20\\x09-\\x0D]+"
 ARROW_BATCH_BYTES = 8 << 20
+MMAP_THRESHOLD, LARGE_ARRAY = -3, 2 << 20  # M_MMAP_THRESHOLD of the C library's mallopt
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -16,9 +21,12 @@ def shared_folder(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        folder = current.get() if current.isDefined() else "file://" + tempfile.mkdtemp(prefix="mendframe-")
         if not current.isDefined():
-            spark.sparkContext.setCheckpointDir(folder)
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="mendframe-"))
+            current = spark.sparkContext._jsc.sc().getCheckpointDir()
+        folder = current.get()
     return folder.rstrip("/")
 
 
@@ -34,13 +42,36 @@ def materialise(df: DataFrame, kind: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bounds Arrow batches by bytes, so that long texts don't pile up in a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BATCH_BYTES))
+    """Bounds Arrow batches by bytes, so that long texts don't pile up in a Python worker.
 
+    Plans read the setting when they run, so it stays for the session; a smaller one is kept.
+    """
+    now = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None)
+    if not (now or "").isdigit() or not 0 < int(now) <= ARROW_BATCH_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BATCH_BYTES))
 
-def column_or_null(df: DataFrame, name: str, kind: str) -> Column:
-    """The column cast to kind, or typed nulls if df lacks it."""
-    return F.col(name).cast(kind) if name in df.columns else F.lit(None).cast(kind)
+
+def tidied(run: Callable) -> Callable:
+    """run for mapInArrow(); the Python worker, which lives on, gives freed memory back to the system.
+
+    Large arrays go back as they are freed, the rest at the end of the task.
+    """
+
+    def inner(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+            ctypes.CDLL(None).mallopt(MMAP_THRESHOLD, LARGE_ARRAY)
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return inner
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """Spark's estimate of a plan's size; 0 where it knows none, which reads as the largest long."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 60 else 0
 
 
 def words(text: Column) -> Column:

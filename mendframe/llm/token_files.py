@@ -20,7 +20,7 @@ import os
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +31,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from mendframe.llm.pieces import gather, split_pieces
-from mendframe.llm.shared import materialise, small_batches
+from mendframe.llm.shared import estimated_bytes, materialise, small_batches, tidied
 
 STRIPE_BYTES = 64 << 20
 ROW_INDEX_STRIDE = 1000
@@ -39,6 +39,8 @@ BLOOM_RATE = 0.01
 SCHEMA = "doc_id bigint, tokens array<int>, block int, place bigint"
 CACHED_WORDS = 600_000
 ENCODED_AT_ONCE = 5_000
+JOINED = 500
+FILE_BYTES = 256 << 20
 
 
 class PieceEncoder:
@@ -56,6 +58,11 @@ class PieceEncoder:
         marks = all(not (t["lstrip"] or t["rstrip"] or t["single_word"]) and " " not in t["content"] for t in spec["added_tokens"])
         if not inner or not marks or {s["type"] for s in steps} - {"NFC", "Replace", "Lowercase"} or spec["post_processor"]:
             raise ValueError(f"{path} may join tokens over blanks; encode whole texts instead")
+        self.lowers = any(s["type"] == "Lowercase" for s in steps)
+        suffix = spec["model"].get("end_of_word_suffix")
+        self.ending = np.zeros(max(spec["model"]["vocab"].values()) + 1 + len(spec["added_tokens"]), bool)
+        if suffix:
+            self.ending[[i for t, i in spec["model"]["vocab"].items() if t.endswith(suffix)]] = True
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
@@ -65,18 +72,42 @@ class PieceEncoder:
         self.rows: dict[str, int] = {}
         self.ids, self.starts = np.empty(0, np.int32), np.zeros(1, np.int64)
 
-    def _known(self, words: list[str]) -> np.ndarray:
-        """Rows of the store for words; the library encodes new ones."""
-        new = [w for w in dict.fromkeys(words) if w not in self.rows]
-        if new:
-            lists = []  # encodings are large, so a few at a time
-            for i in range(0, len(new), ENCODED_AT_ONCE):
-                lists += [e.ids for e in self.tokenizer.encode_batch_fast(new[i : i + ENCODED_AT_ONCE], add_special_tokens=False)]
-            n, lengths = len(self.starts) - 1, np.fromiter(map(len, lists), np.int64, len(lists))
-            self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(lists), np.int32, int(lengths.sum()))])
-            self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(lengths)])
-            self.rows.update(zip(new, range(n, n + len(new)), strict=True))
-        return np.fromiter(map(self.rows.__getitem__, words), np.int64, len(words))
+    def _encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words one after the other, and how many each has.
+
+        Words are given to the library as one text where its ids show as many ends of words as there are words, each of
+        which is at least one; otherwise one by one.
+        """
+        joined = self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids
+        ids = np.array(joined, np.int32)
+        ends = np.flatnonzero(self.ending[ids])
+        if len(ends) == len(words):
+            return ids, np.diff(ends, prepend=-1)
+        lists = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        return np.fromiter(chain.from_iterable(lists), np.int32), np.fromiter(map(len, lists), np.int64, len(lists))
+
+    def _known(self, words: list[str], plain: np.ndarray) -> np.ndarray:
+        """Rows of the store for distinct words; the library encodes new ones. plain: words of letters alone."""
+        rows = np.fromiter(map(self.rows.get, words, repeat(-1)), np.int64, len(words))
+        new = np.flatnonzero(rows < 0)
+        for group, at_once in ((new[plain[new]], JOINED), (new[~plain[new]], ENCODED_AT_ONCE)):
+            ids, lengths = [self.ids], []
+            for i in range(0, len(group), at_once):
+                some = [words[k] for k in group[i : i + at_once].tolist()]
+                if at_once == JOINED:
+                    own, n = self._encoded(some)
+                else:
+                    lists = [e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+                    own, n = np.fromiter(chain.from_iterable(lists), np.int32), np.fromiter(map(len, lists), np.int64, len(lists))
+                ids.append(own)
+                lengths.append(n)
+            if lengths:
+                first = len(self.starts) - 1
+                self.ids = np.concatenate(ids)
+                self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(np.concatenate(lengths))])
+                rows[group] = first + np.arange(len(group))
+                self.rows.update(zip([words[k] for k in group.tolist()], rows[group].tolist(), strict=True))
+        return rows
 
     def encode_batch(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each closed by end_id, and where each text begins (one more at the end)."""
@@ -84,20 +115,28 @@ class PieceEncoder:
             self._forget()
         # the normalizer turns white space to a blank and the pre-tokenizer drops it
         pieces, codes, offsets = split_pieces(pc.replace_substring(texts, "\n", " "))
-        words: list[str] = []
-        ends = [0]
-        for piece in pieces.to_pylist():
-            if piece.isalpha():
-                words.append(piece.lower() if piece.isascii() else piece)
-            elif piece and piece[-1] in ",." and piece[:-1].isalpha():  # letters and signs are never in one token
-                words.append(piece[:-1].lower() if piece.isascii() else piece[:-1])
-                words.append(piece[-1])
-            else:
-                words.append(piece)
-            ends.append(len(words))
-        rows = self._known(words)
-        piece_ids, word_ends = gather(self.ids, self.starts, rows)
-        ids, ends_of = gather(piece_ids, word_ends[np.array(ends)], codes)
+        # letters and signs are never in one token, so a comma or full stop behind letters is a word of its own
+        tail = pc.utf8_slice_codeunits(pieces, -1)
+        stem = pc.utf8_slice_codeunits(pieces, 0, -1)
+        cut = pc.and_(pc.or_(pc.equal(tail, ","), pc.equal(tail, ".")), pc.utf8_is_alpha(stem))
+        word = pc.if_else(cut, stem, pieces)
+        plain = pc.utf8_is_alpha(word)
+        if self.lowers:
+            word = pc.if_else(pc.and_(plain, pc.string_is_ascii(word)), pc.ascii_lower(word), word)
+        coded = pc.dictionary_encode(word)
+        letters = np.zeros(len(coded.dictionary), bool)
+        index = np.asarray(coded.indices).astype(np.int64)
+        letters[index] = np.asarray(plain)
+        signs = self._known([",", "."], np.zeros(2, bool))
+        rows = self._known(coded.dictionary.to_pylist(), letters)[index]
+        cut = np.asarray(cut)
+        count = 1 + cut
+        ends = np.concatenate([[0], np.cumsum(count)])
+        words = np.empty(ends[-1], np.int64)
+        words[ends[:-1]] = rows
+        words[ends[1:][cut] - 1] = np.where(np.asarray(pc.equal(tail, ","))[cut], signs[0], signs[1])
+        piece_ids, word_ends = gather(self.ids, self.starts, words)
+        ids, ends_of = gather(piece_ids, word_ends[ends], codes)
         starts = ends_of[offsets]
         return np.insert(ids, starts[1:], end_id), starts + np.arange(len(starts))
 
@@ -110,8 +149,8 @@ def encoder(path: str) -> PieceEncoder:
 def write_tokens(docs: DataFrame, folder: str, path: str, end_id: int) -> None:
     """Encodes documents and writes them to folder as ORC in ascending doc_id order."""
     small_batches(docs.sparkSession)
-    files = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    files = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), estimated_bytes(rows) // FILE_BYTES)
     placed = rows.repartitionByRange(files, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,7 +165,7 @@ def write_tokens(docs: DataFrame, folder: str, path: str, end_id: int) -> None:
             )
             place += n
 
-    writer = placed.mapInArrow(run, SCHEMA).write.option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", BLOOM_RATE)
+    writer = placed.mapInArrow(tidied(run), SCHEMA).write.option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", BLOOM_RATE)
     writer.option("orc.stripe.size", STRIPE_BYTES).option("orc.row.index.stride", ROW_INDEX_STRIDE).option("orc.create.index", "true").option("compression", "zstd").orc(folder)
 
 
