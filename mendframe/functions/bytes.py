@@ -1,53 +1,91 @@
 """Byte strings as Column expressions: occurrences, positions, sampling, integers, entropy, error texts.
 
-Binary columns are read as ISO-8859-1 strings where a search is needed: one character a byte, so string functions see
-bytes. No needle here can overlap itself, so cutting at a needle finds every occurrence.
+Searches are Arrow functions: a batch of blobs goes to Python once for all searches of a projection, and each search walks
+over a blob's bytes once, in linear time. No needle here can overlap itself, so left to right every occurrence is found.
 """
 from __future__ import annotations
 
-from functools import reduce
+import re
+from collections.abc import Callable, Iterable
+from functools import lru_cache
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
 def latin(content: Column) -> Column:
+    """Bytes as characters of the same number."""
     return F.decode(content, "ISO-8859-1")
 
 
-def needle(hexadecimal: str) -> Column:
-    return F.lit(bytes.fromhex(hexadecimal).decode("latin-1"))
+def over_bytes(each: Callable[[bytes], object], kind: str, arrow: pa.DataType, null: object = None) -> Callable[[Column], Column]:
+    """A function of a binary column, or of a string of latin-1 characters, made of a function of bytes."""
 
+    @F.arrow_udf(kind)
+    def run(values: pa.Array) -> pa.Array:
+        text = pa.types.is_string(values.type) or pa.types.is_large_string(values.type)
+        own = (v.as_py() for v in values)
+        return pa.array([null if v is None else each(v.encode("latin-1") if text else v) for v in own], arrow)
 
-def count_of(text: Column, hexadecimal: str) -> Column:
-    """How often the bytes occur in a latin-1 text."""
-    n = len(hexadecimal) // 2
-    return ((F.length(text) - F.length(F.replace(text, needle(hexadecimal), F.lit("")))) / n).cast("long")
+    return run
 
 
-def count_of_any(text: Column, needles: list[str]) -> Column:
-    return reduce(lambda a, b: a + b, [count_of(text, n) for n in needles])
+@lru_cache(maxsize=None)
+def _pattern(needles: tuple[str, ...]) -> re.Pattern:
+    """Finds each place where a needle begins; needles may overlap each other, so those of several bytes are looked ahead for."""
+    marks = [bytes.fromhex(n) for n in needles]
+    firsts = {m[:1] for m in marks}
+    if all(len(m) == 2 for m in marks) and len(firsts) == 1 and not any(m[1:] in firsts for m in marks):
+        return re.compile(re.escape(marks[0][:1]) + b"[" + b"".join(re.escape(m[1:]) for m in marks) + b"]", re.DOTALL)
+    if len(marks) == 1:
+        return re.compile(re.escape(marks[0]), re.DOTALL)
+    return re.compile(b"(?=" + b"|".join(re.escape(m) for m in marks) + b")", re.DOTALL)
 
 
-def positions(text: Column, hexadecimal: str) -> Column:
-    """Ascending 0-based offsets of the bytes in a latin-1 text: running lengths of the parts between them."""
-    n = len(hexadecimal) // 2
-    quoted = "".join(f"\\x{hexadecimal[i:i + 2]}" for i in range(0, len(hexadecimal), 2))
-    parts = F.split(text, quoted, -1)
-    empty = F.array().cast("array<int>")
-    lengths = F.transform(parts, lambda p: F.length(p))
-    walked = F.aggregate(
-        F.slice(lengths, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0))),
-        empty,
-        lambda held, size: F.array_append(held, F.when(F.size(held) > 0, F.get(held, F.size(held) - 1) + n).otherwise(F.lit(0)) + size),
-    )
-    return F.when(F.contains(text, needle(hexadecimal)), walked).otherwise(empty)
+def found(data: bytes, needles: Iterable[str]) -> list[int]:
+    """Ascending offsets of the bytes of any needle."""
+    return [m.start() for m in _pattern(tuple(needles)).finditer(data)]
 
 
-def positions_of_any(text: Column, needles: list[str]) -> Column:
-    if len(needles) == 1:
-        return positions(text, needles[0])
-    return F.array_sort(F.array_distinct(F.concat(*[positions(text, n) for n in needles])))
+def sampled(held: list[int], limit: int) -> list[int]:
+    """The Python twin of sample()."""
+    n = len(held)
+    if n <= limit:
+        return held
+    ends = {i for i in (0, 1, 2, n - 3, n - 2, n - 1) if 0 <= i < n}
+    rest = limit - len(ends)
+    return [held[i] for i in sorted(ends | {round(i * ((n - 1) / rest)) for i in range(rest)})]
+
+
+@lru_cache(maxsize=None)
+def _finder(needles: tuple[str, ...]) -> Callable[[Column], Column]:
+    return over_bytes(lambda data: found(data, needles), "array<int>", pa.list_(pa.int32()), [])
+
+
+@lru_cache(maxsize=None)
+def _counter(needles: tuple[str, ...]) -> Callable[[Column], Column]:
+    marks = [bytes.fromhex(n) for n in needles]
+    return over_bytes(lambda data: sum(data.count(m) for m in marks), "bigint", pa.int64())
+
+
+def count_of(content: Column, hexadecimal: str) -> Column:
+    """How often the bytes occur."""
+    return _counter((hexadecimal,))(content)
+
+
+def count_of_any(content: Column, needles: list[str]) -> Column:
+    return _counter(tuple(needles))(content)
+
+
+def positions(content: Column, hexadecimal: str) -> Column:
+    """Ascending 0-based offsets of the bytes; none for a null."""
+    return _finder((hexadecimal,))(content)
+
+
+def positions_of_any(content: Column, needles: list[str]) -> Column:
+    return _finder(tuple(needles))(content)
 
 
 def sample(held: Column, limit: int) -> Column:
@@ -77,13 +115,20 @@ def little_endian(content: Column, offset: Column) -> Column:
     return F.when(F.length(digits) == 8, F.conv(digits, 16, 10).cast("long"))
 
 
+def byte_entropy(data: bytes) -> float:
+    """Shannon entropy of a histogram of bytes in bits, 0 for no bytes."""
+    counts = np.bincount(np.frombuffer(data, np.uint8), minlength=256)
+    share = counts[counts > 0] / max(1, len(data))
+    return float(-(share * np.log2(share)).sum()) if len(data) else 0.0
+
+
+@lru_cache(maxsize=None)
+def _entropy() -> Callable[[Column], Column]:
+    return over_bytes(byte_entropy, "double", pa.float64(), 0.0)
+
+
 def entropy(content: Column) -> Column:
-    """Shannon entropy of the byte histogram in bits, 0 for no bytes: 256 counts, then a sum in the order of bytes."""
-    text = latin(content)
-    total = F.octet_length(content).cast("double")
-    counts = F.transform(F.sequence(F.lit(0), F.lit(255)), lambda b: F.length(text) - F.length(F.replace(text, F.decode(F.unhex(F.lpad(F.hex(b.cast("long")), 2, "0")), "ISO-8859-1"), F.lit(""))))
-    bits = F.aggregate(counts, F.lit(0.0), lambda held, c: F.when(c > 0, held - c / total * F.log2(c / total)).otherwise(held))
-    return F.when(total > 0, bits).otherwise(F.lit(0.0))
+    return _entropy()(content)
 
 
 def compact_error(text: Column, lines: int = 4, chars: int = 400) -> Column:

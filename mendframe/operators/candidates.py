@@ -2,60 +2,82 @@
 
 A plan row is (doc_id, ord, strategy, family, priority, kind, start, end, prepend, append); end is exclusive, null
 means the end of the blob. ord is a plan's place among a blob's plans: falling priority, then strategy, then the order
-of generation, which decides ties between winners.
+of generation, which decides ties between winners. A lane is a function of a scanned blob; a blob's plans are made,
+ordered and, where wanted, hashed in one pass over its bytes.
 """
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+from collections.abc import Callable, Iterable, Iterator
+from functools import cached_property
+from itertools import chain
+from typing import NamedTuple
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from mendframe.functions import kinds as K
-from mendframe.functions.bytes import bytes_at, latin, little_endian, positions, positions_of_any, sample
-from mendframe.functions.memo import once_a_jvm
+from mendframe.functions.bytes import found, sampled
 
-PLAN = "struct<strategy:string,priority:int,kind:string,start:int,end:int,prepend:string,append:string>"
-PLANS = f"array<{PLAN}>"
+# fixed values: lengths of tails, how far windows reach back, the least length of a window, kinds of candidates
 TAILS = (65536, 262144, 1048576, 4194304)
 BACKS = (0, 128, 512, 2048, 8192, 32768, 131072)
+HINT_BACKS = (512, 2048, 8192, 32768)
 LEAST_WINDOW = 128
+CLUSTER = 131072
 SLICE, REBUILD, PLAIN = "synthetic_header", "container_rebuild_plan", "slice"
+SCHEMA = pa.schema([
+    ("doc_id", pa.int64()), ("family", pa.string()), ("strategy", pa.string()), ("priority", pa.int32()), ("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()),
+    ("prepend", pa.string()), ("append", pa.string()), ("ord", pa.int32()),
+])
+DDL = "doc_id long, family string, strategy string, priority int, kind string, start int, `end` int, prepend string, append string, ord int"
 
 
-def plan(strategy: Column | str, priority: Column | int, kind: Column | str, start: Column | int, end: Column | None = None, prepend: str = "", append: str = "") -> Column:
+class Plan(NamedTuple):
     """One plan; bytes before and after are in hexadecimal."""
-    lit = lambda x, t: (x if isinstance(x, Column) else F.lit(x)).cast(t)
-    return F.struct(
-        lit(strategy, "string").alias("strategy"), lit(priority, "int").alias("priority"), lit(kind, "string").alias("kind"), lit(start, "int").alias("start"),
-        lit(end, "int").alias("end"), F.lit(prepend).alias("prepend"), F.lit(append).alias("append"),
-    ).cast(PLAN)
 
+    strategy: str
+    priority: int
+    kind: str
+    start: int
+    end: int | None = None
+    prepend: str = ""
+    append: str = ""
 
-def plans(*items: Column) -> Column:
-    return F.array(*items).cast(PLANS)
+    def payload(self, content: bytes) -> bytes:
+        return bytes.fromhex(self.prepend) + content[self.start : self.end] + bytes.fromhex(self.append)
 
 
-def each(values: Column, make: Callable[[Column], Column]) -> Column:
-    """All plans of make(value), for each value in order."""
-    return F.flatten(F.transform(values, make)).cast(PLANS)
+class Scan:
+    """A blob with what lanes look for in it; each search is made once, when a lane asks for it."""
 
+    def __init__(self, content: bytes | None, family: str = "", label: str = "", offsets: Iterable[int] = ()) -> None:
+        self.content, self.family, self.label, self.offsets = content or b"", family, label, list(offsets)
+        self.size = len(self.content)
 
-def later(ends: Column, start: Column) -> Column:
-    return F.filter(ends, lambda e: e > start)
+    def at(self, *needles: str) -> list[int]:
+        return found(self.content, needles)
 
+    @cached_property
+    def soi(self) -> list[int]:
+        return sampled(self.at(K.SOI), 16)
 
-def when(rule: Column, items: Column) -> Column:
-    return F.when(rule, items).otherwise(F.array().cast(PLANS))
+    @cached_property
+    def eoi(self) -> list[int]:
+        return self.at(K.EOI)
 
+    @cached_property
+    def markers(self) -> list[int]:
+        return sampled(self.at(*K.APP, K.DQT, K.DHT, K.DRI, *K.SOF, K.SOS), 32)
 
-def rows_of(blobs: DataFrame, items: Column, family: Column | str) -> DataFrame:
-    """Plan rows of an array of plans in the order of generation; equal plans keep their first place."""
-    lit = family if isinstance(family, Column) else F.lit(family)
-    found = blobs.select("doc_id", lit.alias("plan_family"), F.posexplode(F.array_distinct(items)).alias("made", "p"))
-    order = W.partitionBy("doc_id").orderBy(F.col("p.priority").desc(), "p.strategy", "made")
-    return found.select("doc_id", F.col("plan_family").alias("family"), "p.*", F.row_number().over(order).alias("ord"))
+    def ends(self, start: int, limit: int) -> list[int]:
+        """Ends of sampled ends of image behind a place."""
+        return [e + 2 for e in sampled([e for e in self.eoi if e > start], limit)]
+
+
+Lane = Callable[[Scan], Iterable[Plan]]
 
 
 def payload(content: Column) -> Column:
@@ -70,114 +92,150 @@ def plan_key() -> Column:
 
     Plans of walking lanes have a size and a digest of their bytes in place of bytes before and after.
     """
-    rest = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("prepend", "append", "header_bytes", "payload_size", "payload_sha256")]
+    rest = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("prepend", "append", "header_bytes", "anchor", "payload_size", "payload_sha256")]
     return F.sha2(F.concat_ws("|", "family", "strategy", F.col("priority").cast("string"), "kind", F.col("start").cast("string"), F.coalesce(F.col("end").cast("string"), F.lit("end")), *rest), 256)
 
 
-def generic(classified: DataFrame) -> DataFrame:
-    """Images that are no JPEGs, and blobs of no kind: the whole blob, and from each sampled hit of the family to the end."""
-    return rows_of(classified.where((F.col("family") != "jpeg") & ~F.col("family").isin(K.VIDEO_KINDS)), _generic_lane(), F.col("family"))
+def ordered(plans: Iterable[Plan]) -> list[Plan]:
+    """Different plans by falling priority and strategy; equal ones keep their first place."""
+    return sorted(dict.fromkeys(plans), key=lambda p: (-p.priority, p.strategy))
+
+
+def older_order(plans: Iterable[Plan]) -> list[Plan]:
+    """Different plans by falling priority and start, larger ends first, those to the end of the blob last."""
+    return sorted(dict.fromkeys(plans), key=lambda p: (-p.priority, p.start, p.end is None, -(p.end or 0)))
 
 
-@once_a_jvm
-def _generic_lane() -> Column:
-    hit = each(sample(_offsets(), 8), lambda p: plans(plan("signature_offset_to_end", F.when(p > 0, 96).otherwise(99), PLAIN, p)))
-    return F.concat(plans(plan("full_file", 100, PLAIN, 0)), hit)
+def plan_rows(blobs: DataFrame, lanes: Callable[[Scan], Iterable[Iterable[Plan]]], digest: bool = False, order: Callable = ordered) -> DataFrame:
+    """Plan rows of blobs (doc_id, family, label, content, offsets); digest adds payload_sha256, made in the same pass."""
+    schema = SCHEMA.append(pa.field("payload_sha256", pa.string())) if digest else SCHEMA
 
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc_id, family, label, content, offsets in zip(*(batch.column(i) for i in range(5)), strict=True):
+                scan = Scan(content.as_py(), family.as_py(), label.as_py(), offsets.as_py() or [])
+                plans = order(chain.from_iterable(lanes(scan)))
+                if not plans:
+                    continue
+                n = len(plans)
+                columns = [[doc_id.as_py()] * n, [scan.family] * n, *zip(*plans, strict=True), list(range(1, n + 1))]
+                if digest:
+                    columns.append([hashlib.sha256(p.payload(scan.content)).hexdigest() for p in plans])
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
-def _offsets() -> Column:
+    return blobs.select("doc_id", "family", "label", "content", "offsets").mapInArrow(run, DDL + (", payload_sha256 string" if digest else ""))
+
+
+def offsets() -> Column:
+    """Offsets of the hits of a blob's own family."""
     return F.array_sort(F.array_distinct(F.transform(F.filter("hits", lambda h: h["family"] == F.col("family")), lambda h: h["offset"])))
 
 
-def video(classified: DataFrame) -> DataFrame:
-    """Videos: the whole blob, from each sampled hit to the end, and transport streams from sampled sync bytes."""
-    return rows_of(classified.where(F.col("family").isin(K.VIDEO_KINDS)), _video_lane(), F.col("family"))
+def scanned(classified: DataFrame) -> DataFrame:
+    return classified.withColumn("offsets", offsets())
 
 
-@once_a_jvm
-def _video_lane() -> Column:
-    moved = lambda p: F.when(p > 0, REBUILD).otherwise(PLAIN)
-    hit = each(sample(_offsets(), 8), lambda p: plans(plan("signature_offset_to_end", F.when(p > 0, 99).otherwise(100), moved(p), p)))
-    sync = sample(positions(latin(F.substring("content", 1, K.TS_WINDOW)), K.TS_SYNC), 8)
-    resync = each(sync, lambda p: plans(plan("ts_sync_offset_to_end", F.when(p > 0, 101).otherwise(100), moved(p), p)))
-    return F.concat(plans(plan("full_file", 100, PLAIN, 0)), hit, when(F.col("family") == "mpegts", resync))
+# images that are no JPEGs, blobs of no kind, and videos
 
 
-# JPEG lanes that need positions only
+def whole_file(scan: Scan) -> list[Plan]:
+    return [Plan("full_file", 100, PLAIN, 0)]
 
 
-@once_a_jvm
-def _anchors() -> dict[str, Column]:
-    """Sampled and full positions of JPEG markers."""
-    text = latin(F.col("content"))
-    markers = [*K.APP, K.DQT, K.DHT, K.DRI, *K.SOF, K.SOS]
-    return {
-        "size": F.octet_length("content"), "soi": sample(positions(text, K.SOI), 16), "eoi": positions(text, K.EOI), "sos": sample(positions(text, K.SOS), 16),
-        "marker": sample(positions_of_any(text, markers), 32), "rst": positions_of_any(text, K.RST),
-    }
+def image_hits(scan: Scan) -> list[Plan]:
+    return [Plan("signature_offset_to_end", 96 if p > 0 else 99, PLAIN, p) for p in sampled(scan.offsets, 8)]
 
 
-@once_a_jvm
-def jpeg_whole() -> Column:
-    return plans(
-        plan("full_file", 100, PLAIN, 0), plan("prepend_soi_full", 98, SLICE, 0, prepend=K.SOI), plan("append_eoi_full", 97, SLICE, 0, append=K.EOI),
-        plan("prepend_soi_append_eoi_full", 96, SLICE, 0, prepend=K.SOI, append=K.EOI),
-    )
+def video_hits(scan: Scan) -> list[Plan]:
+    return [Plan("signature_offset_to_end", 99 if p > 0 else 100, REBUILD if p > 0 else PLAIN, p) for p in sampled(scan.offsets, 8)]
 
 
-def _tails(start: Column, size: Column, name: str, priority: int) -> Column:
-    def tail(n: int) -> Column:
-        end = F.least(size, start + n)
-        return when(end - start >= LEAST_WINDOW, plans(plan(f"{name}_{n}", priority, PLAIN, start, end), plan(f"{name}_{n}_append_eoi", priority - 1, SLICE, start, end, append=K.EOI)))
+def packet_syncs(scan: Scan) -> list[Plan]:
+    if scan.family != "mpegts":
+        return []
+    syncs = sampled(found(scan.content[: K.TS_WINDOW], (K.TS_SYNC,)), 8)
+    return [Plan("ts_sync_offset_to_end", 101 if p > 0 else 100, REBUILD if p > 0 else PLAIN, p) for p in syncs]
 
-    return F.concat(*[tail(n) for n in TAILS])
 
+# JPEG lanes that need positions only
+
+
+def jpeg_whole(scan: Scan) -> list[Plan]:
+    return [
+        Plan("full_file", 100, PLAIN, 0), Plan("prepend_soi_full", 98, SLICE, 0, prepend=K.SOI), Plan("append_eoi_full", 97, SLICE, 0, append=K.EOI),
+        Plan("prepend_soi_append_eoi_full", 96, SLICE, 0, prepend=K.SOI, append=K.EOI),
+    ]
+
+
+def tails(scan: Scan, start: int, name: str, priority: int, closed: str) -> Iterator[Plan]:
+    """Tails of fixed lengths, as they are and, of the kind `closed`, with an end of image."""
+    for n in TAILS:
+        end = min(scan.size, start + n)
+        if end - start >= LEAST_WINDOW:
+            yield Plan(f"{name}_{n}", priority, PLAIN, start, end)
+            yield Plan(f"{name}_{n}_append_eoi", priority - 1, closed, start, end, append=K.EOI)
 
-@once_a_jvm
-def jpeg_soi() -> Column:
+
+def jpeg_soi(scan: Scan) -> Iterator[Plan]:
     """From each start of image: to sampled ends of image, to the end of the blob, and tails of fixed lengths."""
-    return each(F.col("soi"), lambda p: F.concat(
-        each(sample(later(F.col("eoi"), p), 6), lambda e: plans(plan("soi_to_sampled_eoi", 95, PLAIN, p, e + 2))),
-        plans(plan("soi_to_end", 94, PLAIN, p), plan("soi_to_end_append_eoi", 93, SLICE, p, append=K.EOI)),
-        _tails(p, F.col("size"), "soi_tail", 92),
-    ))
+    for p in scan.soi:
+        for end in scan.ends(p, 6):
+            yield Plan("soi_to_sampled_eoi", 95, PLAIN, p, end)
+        yield Plan("soi_to_end", 94, PLAIN, p)
+        yield Plan("soi_to_end_append_eoi", 93, SLICE, p, append=K.EOI)
+        yield from tails(scan, p, "soi_tail", 92, SLICE)
 
 
-@once_a_jvm
-def jpeg_synthetic_soi() -> Column:
+def jpeg_synthetic_soi(scan: Scan) -> Iterator[Plan]:
     """A start of image put before bytes that begin at or some way before each sampled marker."""
-    backs = F.array(*[F.lit(b) for b in BACKS])
+    for p in scan.markers:
+        for back in BACKS:
+            name, start = f"synthetic_soi_back_{back}", max(0, p - back)
+            yield Plan(name, 88, SLICE, start, prepend=K.SOI)
+            yield Plan(f"{name}_append_eoi", 87, SLICE, start, prepend=K.SOI, append=K.EOI)
+            for end in scan.ends(p, 3):
+                yield Plan(f"{name}_to_eoi", 86, SLICE, start, end, prepend=K.SOI)
 
-    def from_back(p: Column, back: Column) -> Column:
-        start = F.greatest(F.lit(0), p - back)
-        name = F.concat(F.lit("synthetic_soi_back_"), back.cast("string"))
-        return F.concat(
-            plans(plan(name, 88, SLICE, start, prepend=K.SOI), plan(F.concat(name, F.lit("_append_eoi")), 87, SLICE, start, prepend=K.SOI, append=K.EOI)),
-            each(sample(later(F.col("eoi"), p), 3), lambda e: plans(plan(F.concat(name, F.lit("_to_eoi")), 86, SLICE, start, e + 2, prepend=K.SOI))),
-        )
 
-    return each(F.col("marker"), lambda p: each(backs, lambda b: from_back(p, b)))
+def jpeg_hints(scan: Scan) -> Iterator[Plan]:
+    """What the class suggests: an end of image, or a start of image before the first markers."""
+    if scan.label == "jpeg_missing_eoi":
+        yield Plan("classification_hint_append_eoi", 105, SLICE, 0, append=K.EOI)
+    if scan.label == "jpeg_missing_soi_internal_structure":
+        for p in scan.markers[:16]:
+            for back in HINT_BACKS:
+                yield Plan(f"classification_hint_synthetic_soi_back_{back}", 106, SLICE, max(0, p - back), prepend=K.SOI)
 
 
-@once_a_jvm
-def jpeg_hints() -> Column:
-    """What the class suggests: an end of image, or a start of image before the first markers."""
-    backs = F.array(*[F.lit(b) for b in (512, 2048, 8192, 32768)])
-    named = lambda b: F.concat(F.lit("classification_hint_synthetic_soi_back_"), b.cast("string"))
-    starts = each(F.slice("marker", 1, 16), lambda p: each(backs, lambda b: plans(plan(named(b), 106, SLICE, F.greatest(F.lit(0), p - b), prepend=K.SOI))))
-    return F.concat(
-        when(F.col("label") == "jpeg_missing_eoi", plans(plan("classification_hint_append_eoi", 105, SLICE, 0, append=K.EOI))),
-        when(F.col("label") == "jpeg_missing_soi_internal_structure", starts),
-    )
+JPEG_LANES = (jpeg_whole, jpeg_soi, jpeg_synthetic_soi, jpeg_hints)
+IMAGE_LANES = (whole_file, image_hits)
+VIDEO_LANES = (whole_file, video_hits, packet_syncs)
 
 
-def jpeg(classified: DataFrame, *lanes: Callable[[], Column]) -> DataFrame:
+def lanes_of(family: str) -> tuple[Lane, ...]:
+    """The position lanes of a family."""
+    return JPEG_LANES if family == "jpeg" else VIDEO_LANES if family in K.VIDEO_KINDS else IMAGE_LANES
+
+
+def generic(classified: DataFrame, digest: bool = False) -> DataFrame:
+    """Images that are no JPEGs, and blobs of no kind: the whole blob, and from each sampled hit of the family to the end."""
+    rows = classified.where((F.col("family") != "jpeg") & ~F.col("family").isin(K.VIDEO_KINDS))
+    return plan_rows(scanned(rows), lambda scan: (lane(scan) for lane in IMAGE_LANES), digest)
+
+
+def video(classified: DataFrame, digest: bool = False) -> DataFrame:
+    """Videos: the whole blob, from each sampled hit to the end, and transport streams from sampled sync bytes."""
+    return plan_rows(scanned(classified.where(F.col("family").isin(K.VIDEO_KINDS))), lambda scan: (lane(scan) for lane in VIDEO_LANES), digest)
+
+
+def jpeg(classified: DataFrame, *lanes: Lane, digest: bool = False) -> DataFrame:
     """Plans of the given lanes for blobs of the JPEG family."""
-    rows = classified.where(F.col("family") == "jpeg").withColumns(_anchors())
-    return rows_of(rows, F.concat(*[lane() for lane in lanes]), "jpeg")
+    return plan_rows(scanned(classified.where(F.col("family") == "jpeg")), lambda scan: (lane(scan) for lane in lanes), digest)
 
 
-JPEG_LANES = (jpeg_whole, jpeg_soi, jpeg_synthetic_soi, jpeg_hints)
+def every(classified: DataFrame, digest: bool = False) -> DataFrame:
+    """Plans of all position lanes of each blob's family."""
+    return plan_rows(scanned(classified), lambda scan: (lane(scan) for lane in lanes_of(scan.family)), digest)
 
 
 def merged(ranges: DataFrame, walked: DataFrame) -> DataFrame:
@@ -186,135 +244,110 @@ def merged(ranges: DataFrame, walked: DataFrame) -> DataFrame:
     order = W.partitionBy("doc_id").orderBy(F.col("priority").desc(), "strategy", "ord")
     return ranges.unionByName(walked, allowMissingColumns=True).withColumn("ord", F.row_number().over(order))
 
+
 # the older engine: one kind at a time
 
 
-def legacy_anchors(blobs: DataFrame, kind: str, limit: int) -> DataFrame:
-    """Adds the positions that the lanes of a kind need, each as a column, so that each is found once a blob."""
-    text = latin(F.col("content"))
-    few, some = max(1, min(limit, 12)), max(1, min(limit, 18))
-    if kind == "png":
-        return blobs.withColumns({"ends": positions(text, K.IEND), "starts": sample(positions(text, K.PNG), limit), "headers": sample(positions(text, K.IHDR), limit)})
-    if kind == "gif":
-        return blobs.withColumns({"ends": positions(text, K.GIF_TRAILER), "starts": sample(positions_of_any(text, [K.GIF87, K.GIF89]), limit)})
-    if kind == "jpeg":
-        found = blobs.withColumns({
-            "soi": sample(positions(text, K.SOI), few), "eoi": positions(text, K.EOI), "sos": sample(positions(text, K.SOS), few),
-            "structure": positions_of_any(text, [K.APP0, K.APP1, K.DQT, K.DHT, *K.SOF]),
-        })
-        return found.withColumns({
-            "inner": sample(F.array_sort(F.array_distinct(F.concat("structure", "sos"))), some), "pool": F.array_sort(F.array_distinct(F.concat("soi", "structure"))),
-        })
-    needles = {"bmp": [K.BMP], "tiff": [K.TIFF_LE, K.TIFF_BE], "webp": [K.RIFF]}[kind]
-    return blobs.withColumn("starts", sample(positions_of_any(text, needles), limit))
-
-
-@once_a_jvm
-def legacy_png() -> Column:
-    ends, size = F.col("ends"), len(K.IEND) // 2
-
-    def pairs(start: Column, names: tuple[str, str, str], priority: int, prepend: str) -> Column:
-        after = later(ends, start)
-        return F.concat(
-            when(F.size(after) > 0, plans(plan(names[0], priority, PLAIN, start, F.element_at(after, 1) + size, prepend), plan(names[1], priority - 1, PLAIN, start, F.element_at(after, -1) + size, prepend))),
-            plans(plan(names[2], priority - 2, PLAIN, start, prepend=prepend)),
-        )
-
-    at = each(F.col("starts"), lambda p: pairs(p, ("png_sig_to_first_iend", "png_sig_to_last_iend", "png_sig_to_end"), 99, ""))
-    headers = F.filter("headers", lambda p: p >= 4)
-    names = ("png_prepend_sig_at_ihdr_first_iend", "png_prepend_sig_at_ihdr_last_iend", "png_prepend_sig_at_ihdr_to_end")
-    return F.concat(plans(plan("png_raw_file", 100, PLAIN, 0)), at, each(headers, lambda p: pairs(p - 4, names, 95, K.PNG)), plans(plan("png_prepend_sig_whole", 92, PLAIN, 0, prepend=K.PNG)))
-
-
-@once_a_jvm
-def legacy_gif() -> Column:
-    def at(p: Column) -> Column:
-        after = later(F.col("ends"), p)
-        return F.concat(
-            when(F.size(after) > 0, plans(plan("gif_header_to_first_trailer", 99, PLAIN, p, F.element_at(after, 1) + 1), plan("gif_header_to_last_trailer", 98, PLAIN, p, F.element_at(after, -1) + 1))),
-            plans(plan("gif_header_to_end", 97, PLAIN, p)),
-        )
-
-    return F.concat(plans(plan("gif_raw_file", 100, PLAIN, 0)), each(F.col("starts"), at))
-
-
-def _declared(p: Column, field: int, more: int, name: str) -> Column:
+def legacy_png(scan: Scan, limit: int) -> Iterator[Plan]:
+    ends, size = scan.at(K.IEND), len(K.IEND) // 2
+
+    def pairs(start: int, names: tuple[str, str, str], priority: int, prepend: str) -> Iterator[Plan]:
+        after = [e for e in ends if e > start]
+        if after:
+            yield Plan(names[0], priority, PLAIN, start, after[0] + size, prepend)
+            yield Plan(names[1], priority - 1, PLAIN, start, after[-1] + size, prepend)
+        yield Plan(names[2], priority - 2, PLAIN, start, prepend=prepend)
+
+    yield Plan("png_raw_file", 100, PLAIN, 0)
+    for p in sampled(scan.at(K.PNG), limit):
+        yield from pairs(p, ("png_sig_to_first_iend", "png_sig_to_last_iend", "png_sig_to_end"), 99, "")
+    for p in sampled(scan.at(K.IHDR), limit):
+        if p >= 4:
+            yield from pairs(p - 4, ("png_prepend_sig_at_ihdr_first_iend", "png_prepend_sig_at_ihdr_last_iend", "png_prepend_sig_at_ihdr_to_end"), 95, K.PNG)
+    yield Plan("png_prepend_sig_whole", 92, PLAIN, 0, prepend=K.PNG)
+
+
+def legacy_gif(scan: Scan, limit: int) -> Iterator[Plan]:
+    ends = scan.at(K.GIF_TRAILER)
+    yield Plan("gif_raw_file", 100, PLAIN, 0)
+    for p in sampled(scan.at(K.GIF87, K.GIF89), limit):
+        after = [e for e in ends if e > p]
+        if after:
+            yield Plan("gif_header_to_first_trailer", 99, PLAIN, p, after[0] + 1)
+            yield Plan("gif_header_to_last_trailer", 98, PLAIN, p, after[-1] + 1)
+        yield Plan("gif_header_to_end", 97, PLAIN, p)
+
+
+def declared(scan: Scan, p: int, field: int, more: int, name: str) -> Iterator[Plan]:
     """A plan of the length that a header field states, if it fits the blob."""
-    size = F.octet_length("content")
-    stated = little_endian(F.col("content"), p + field) + more
-    return when(F.coalesce((stated >= 64) & (stated <= size - p), F.lit(False)), plans(plan(name, 99, PLAIN, p, (p + stated).cast("int"))))
+    raw = scan.content[p + field : p + field + 4]
+    stated = int.from_bytes(raw, "little") + more
+    if len(raw) == 4 and 64 <= stated <= scan.size - p:
+        yield Plan(name, 99, PLAIN, p, p + stated)
 
 
-@once_a_jvm
-def legacy_bmp() -> Column:
-    at = each(F.col("starts"), lambda p: F.concat(_declared(p, 2, 0, "bmp_declared_size"), plans(plan("bmp_to_end", 98, PLAIN, p))))
-    return F.concat(plans(plan("bmp_raw_file", 100, PLAIN, 0)), at)
+def legacy_bmp(scan: Scan, limit: int) -> Iterator[Plan]:
+    yield Plan("bmp_raw_file", 100, PLAIN, 0)
+    for p in sampled(scan.at(K.BMP), limit):
+        yield from declared(scan, p, 2, 0, "bmp_declared_size")
+        yield Plan("bmp_to_end", 98, PLAIN, p)
 
 
-@once_a_jvm
-def legacy_tiff() -> Column:
-    return F.concat(plans(plan("tiff_raw_file", 100, PLAIN, 0)), each(F.col("starts"), lambda p: plans(plan("tiff_header_to_end", 99, PLAIN, p))))
+def legacy_tiff(scan: Scan, limit: int) -> Iterator[Plan]:
+    yield Plan("tiff_raw_file", 100, PLAIN, 0)
+    for p in sampled(scan.at(K.TIFF_LE, K.TIFF_BE), limit):
+        yield Plan("tiff_header_to_end", 99, PLAIN, p)
 
 
-@once_a_jvm
-def legacy_webp() -> Column:
-    size, content = F.octet_length("content"), F.col("content")
-    riff = F.filter("starts", lambda p: (p + 12 <= size) & (F.hex(bytes_at(content, p + 8, 4)) == K.WEBP))
-    return F.concat(plans(plan("webp_raw_file", 100, PLAIN, 0)), each(riff, lambda p: F.concat(_declared(p, 4, 8, "webp_declared_size"), plans(plan("webp_to_end", 98, PLAIN, p)))))
+def legacy_webp(scan: Scan, limit: int) -> Iterator[Plan]:
+    yield Plan("webp_raw_file", 100, PLAIN, 0)
+    for p in sampled(scan.at(K.RIFF), limit):
+        if scan.content[p + 8 : p + 12] == bytes.fromhex(K.WEBP):
+            yield from declared(scan, p, 4, 8, "webp_declared_size")
+            yield Plan("webp_to_end", 98, PLAIN, p)
 
 
-@once_a_jvm
-def legacy_jpeg() -> Column:
+def legacy_jpeg(scan: Scan, limit: int) -> Iterator[Plan]:
     """SOI windows, windows around starts of scan, and windows before internal markers."""
-    size = F.octet_length("content")
-    soi, eoi, sos, inner, pool = (F.col(c) for c in ("soi", "eoi", "sos", "inner", "pool"))
-    backs = F.array(*[F.lit(b) for b in BACKS[:-1]])
-    named = lambda head, b, tail="": F.concat(F.lit(head), b.cast("string"), F.lit(tail))
-
-    def from_soi(p: Column) -> Column:
-        after = later(eoi, p)
-        return F.concat(
-            each(sample(after, 6), lambda e: plans(plan("jpeg_soi_to_sampled_eoi", 97, PLAIN, p, e + 2))),
-            when(F.size(after) > 0, plans(plan("jpeg_soi_to_first_eoi", 96, PLAIN, p, F.element_at(after, 1) + 2), plan("jpeg_soi_to_last_eoi", 95, PLAIN, p, F.element_at(after, -1) + 2))),
-            plans(plan("jpeg_soi_to_end", 94, PLAIN, p), plan("jpeg_soi_to_end_append_eoi", 93, PLAIN, p, append=K.EOI)),
-            F.concat(*[
-                when(F.least(size, p + n) - p >= LEAST_WINDOW, plans(plan(f"jpeg_soi_tail_{n}", 92, PLAIN, p, F.least(size, p + n)), plan(f"jpeg_soi_tail_{n}_append_eoi", 91, PLAIN, p, F.least(size, p + n), append=K.EOI)))
-                for n in TAILS
-            ]),
-        )
-
-    def around(p: Column) -> Column:
-        before = F.filter(pool, lambda m: m <= p)  # the nearest one before is the last of these
-        near = F.filter(before, lambda m: p - m <= 131072)
-        starts = F.array_sort(F.array_distinct(F.array_compact(F.array(p, F.get(before, F.size(before) - 1), F.get(near, 0)))))
-
-        def window(base: Column, back: Column) -> Column:
-            start = F.greatest(F.lit(0), base - back)
-            return F.concat(
-                each(sample(later(eoi, p), 4), lambda e: plans(plan(named("jpeg_sos_cluster_back_", back, "_to_eoi"), 90, PLAIN, start, e + 2, prepend=K.SOI))),
-                plans(plan(named("jpeg_sos_cluster_back_", back, "_to_end"), 89, PLAIN, start, prepend=K.SOI), plan(named("jpeg_sos_cluster_back_", back, "_to_end_append_eoi"), 88, PLAIN, start, prepend=K.SOI, append=K.EOI)),
-            )
-
-        return each(starts, lambda base: each(backs, lambda b: window(base, b)))
-
-    def marker(p: Column, back: Column) -> Column:
-        start = F.greatest(F.lit(0), p - back)
-        return F.concat(
-            plans(plan(named("jpeg_synthetic_soi_marker_back_", back), 87, PLAIN, start, prepend=K.SOI), plan(named("jpeg_synthetic_soi_marker_back_", back, "_append_eoi"), 86, PLAIN, start, prepend=K.SOI, append=K.EOI)),
-            each(sample(later(eoi, p), 3), lambda e: plans(plan(named("jpeg_synthetic_soi_marker_back_", back, "_to_eoi"), 85, PLAIN, start, e + 2, prepend=K.SOI))),
-        )
-
-    return F.concat(
-        plans(plan("jpeg_raw_file", 100, PLAIN, 0), plan("jpeg_prepend_soi_whole", 99, PLAIN, 0, prepend=K.SOI), plan("jpeg_prepend_soi_whole_append_eoi", 98, PLAIN, 0, prepend=K.SOI, append=K.EOI)),
-        each(soi, from_soi), each(sos, around), each(inner, lambda p: each(backs, lambda b: marker(p, b))),
-    )
-
-
-LEGACY = {"jpeg": legacy_jpeg, "png": legacy_png, "gif": legacy_gif, "bmp": legacy_bmp, "tiff": legacy_tiff, "webp": legacy_webp}
-
-
-def legacy(blobs: DataFrame, kind: str, limit: int = 80) -> DataFrame:
+    few, some = max(1, min(limit, 12)), max(1, min(limit, 18))
+    every_soi, every_sos = scan.at(K.SOI), scan.at(K.SOS)
+    soi, sos = sampled(every_soi, few), sampled(every_sos, few)
+    structure = scan.at(K.APP0, K.APP1, K.DQT, K.DHT, *K.SOF)
+    pool, backs = sorted({*soi, *structure}), BACKS[:-1]
+    yield from (Plan("jpeg_raw_file", 100, PLAIN, 0), Plan("jpeg_prepend_soi_whole", 99, PLAIN, 0, prepend=K.SOI), Plan("jpeg_prepend_soi_whole_append_eoi", 98, PLAIN, 0, prepend=K.SOI, append=K.EOI))
+    for p in soi:
+        after = [e for e in scan.eoi if e > p]
+        for end in scan.ends(p, 6):
+            yield Plan("jpeg_soi_to_sampled_eoi", 97, PLAIN, p, end)
+        if after:
+            yield Plan("jpeg_soi_to_first_eoi", 96, PLAIN, p, after[0] + 2)
+            yield Plan("jpeg_soi_to_last_eoi", 95, PLAIN, p, after[-1] + 2)
+        yield Plan("jpeg_soi_to_end", 94, PLAIN, p)
+        yield Plan("jpeg_soi_to_end_append_eoi", 93, PLAIN, p, append=K.EOI)
+        yield from tails(scan, p, "jpeg_soi_tail", 92, PLAIN)
+    for p in sos:
+        before = [m for m in pool if m <= p]
+        near = [m for m in before if p - m <= CLUSTER]
+        for base in sorted({p, *before[-1:], *near[:1]}):
+            for back in backs:
+                start, name = max(0, base - back), f"jpeg_sos_cluster_back_{back}"
+                for end in scan.ends(p, 4):
+                    yield Plan(f"{name}_to_eoi", 90, PLAIN, start, end, prepend=K.SOI)
+                yield Plan(f"{name}_to_end", 89, PLAIN, start, prepend=K.SOI)
+                yield Plan(f"{name}_to_end_append_eoi", 88, PLAIN, start, prepend=K.SOI, append=K.EOI)
+    for p in sampled(sorted({*structure, *sos}), some):
+        for back in backs:
+            start, name = max(0, p - back), f"jpeg_synthetic_soi_marker_back_{back}"
+            yield Plan(name, 87, PLAIN, start, prepend=K.SOI)
+            yield Plan(f"{name}_append_eoi", 86, PLAIN, start, prepend=K.SOI, append=K.EOI)
+            for end in scan.ends(p, 3):
+                yield Plan(f"{name}_to_eoi", 85, PLAIN, start, end, prepend=K.SOI)
+
+
+LEGACY: dict[str, Callable[[Scan, int], Iterator[Plan]]] = {"jpeg": legacy_jpeg, "png": legacy_png, "gif": legacy_gif, "bmp": legacy_bmp, "tiff": legacy_tiff, "webp": legacy_webp}
+
+
+def legacy(blobs: DataFrame, kind: str, limit: int = 80, digest: bool = False) -> DataFrame:
     """Plans of one kind of the older engine for every blob, by falling priority, start, and larger ends first."""
-    found = legacy_anchors(blobs, kind, limit).select("doc_id", F.lit(kind).alias("family"), F.posexplode(F.array_distinct(LEGACY[kind]())).alias("made", "p"))
-    order = W.partitionBy("doc_id").orderBy(F.col("p.priority").desc(), F.col("p.start"), F.col("p.end").desc_nulls_last(), "made")
-    return found.select("doc_id", "family", "p.*", F.row_number().over(order).alias("ord"))
+    rows = blobs.select("doc_id", F.lit(kind).alias("family"), F.lit("").alias("label"), "content", F.array().cast("array<int>").alias("offsets"))
+    return plan_rows(rows, lambda scan: (LEGACY[kind](scan, limit),), digest, older_order)

@@ -17,7 +17,7 @@ def jpeg_evidence() -> Column:
     signs = [("is_declared", 0.45), ("is_byte0", 0.40), ("is_internal", 0.25), ("has_soi", 0.10), ("has_sos", 0.15)]
     total = F.lit(0.0)
     for name, weight in signs:
-        total = F.when(F.col(name), total + weight).otherwise(total)
+        total = total + F.when(F.col(name), weight).otherwise(0.0)
     return F.least(total, F.lit(0.99))
 
 

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from mendframe.functions import jpeg_tables as J
 from mendframe.functions import kinds as K
+from mendframe.functions.bytes import sampled
 from mendframe.operators.candidates import LEAST_WINDOW, SLICE, TAILS
 
 SEGMENTS_PER_MARKER = 12
@@ -28,17 +29,7 @@ DQT, DHT, DRI, SOI, EOI, SOS = (bytes.fromhex(h) for h in (K.DQT, K.DHT, K.DRI,
 HEADER = {DQT, DHT, DRI, bytes.fromhex(K.COM), *APP, *SOF}
 RESTART = re.compile(b"\xff[\xd0-\xd7]")
 ANCHOR = re.compile(b"\xff[\xe0-\xef\xdb\xc4\xdd\xc0-\xc3\xc5-\xc7\xc9-\xcb\xcd-\xcf\xda]")
-SCHEMA = "doc_id long, ord int, family string, strategy string, priority int, kind string, start long, end long, header_bytes int, payload_size long, payload_sha256 string"
-
-
-def sampled(held: list[int], limit: int) -> list[int]:
-    """The Python twin of functions.bytes.sample."""
-    n = len(held)
-    if n <= limit:
-        return held
-    ends = {i for i in (0, 1, 2, n - 3, n - 2, n - 1) if 0 <= i < n}
-    rest = limit - len(ends)
-    return [held[i] for i in sorted(ends | {round(i * ((n - 1) / rest)) for i in range(rest)})]
+SCHEMA = "doc_id long, ord int, family string, strategy string, priority int, kind string, start long, end long, header_bytes int, anchor long, payload_size long, payload_sha256 string"
 
 
 def places(data: bytes, mark: bytes | re.Pattern) -> list[int]:
@@ -85,8 +76,10 @@ class Option:
 def tables(found: list[tuple[int, bytes]], name: str, counts: tuple[int, ...], standard: list[tuple[str, bytes]], most: int) -> list[tuple[str, bytes]]:
     """The first different ones of: so many found tables in a row, then standard ones."""
     joined = [(f"found_{name}_{n}", b"".join(s for _, s in found[:n])) for n in counts if n <= len(found)]
-    first = {blob: label for label, blob in reversed(joined + standard)}
-    return [(label, blob) for label, blob in joined + standard if first.get(blob) == label][:most]
+    first: dict[bytes, str] = {}
+    for label, blob in joined + standard:
+        first.setdefault(blob, label)
+    return [(label, blob) for blob, label in first.items()][:most]
 
 
 def options(found: dict[bytes, list[tuple[int, bytes]]], target: int) -> list[Option]:
@@ -108,11 +101,12 @@ def options(found: dict[bytes, list[tuple[int, bytes]]], target: int) -> list[Op
 
 @dataclass
 class Blob:
-    """A blob with its anchors, and the plans made so far as (strategy, priority, header, start, end, tail)."""
+    """A blob with its anchors, and the plans made so far; plans has them in order after rows()."""
 
     data: bytes
     label: str
     made: list[tuple] = field(default_factory=list)
+    plans: list[tuple] = field(default_factory=list)
 
     def __post_init__(self) -> None:
         self.found, self.eoi, self.rst = walk(self.data), places(self.data, EOI), places(self.data, RESTART)
@@ -120,8 +114,9 @@ class Blob:
         self.anchors = sampled(places(self.data, ANCHOR), 32)
         self.closing = b"" if self.data.endswith(EOI) else EOI
 
-    def add(self, strategy: str, priority: int, header: bytes, start: int, end: int | None, tail: bytes, split: int | None = None, inserted: bytes = b"") -> None:
-        self.made.append((strategy, priority, header, start, end, tail, split, inserted))
+    def add(self, strategy: str, priority: int, header: bytes, start: int, end: int | None, tail: bytes, split: int | None = None, inserted: bytes = b"", anchor: int | None = None) -> None:
+        """anchor: the marker that the plan belongs to; plans of different markers are different plans."""
+        self.made.append((strategy, priority, header, start, end, tail, split, inserted, split if anchor is None else anchor))
 
     def windows(self, start: int, ends: int, least: int) -> list[tuple[int | None, bytes]]:
         """(end, tail) of scans from start: to sampled ends of image, of fixed lengths, to the end; none shorter than least."""
@@ -157,10 +152,10 @@ class Blob:
         best = 109 if self.label == "jpeg_missing_soi_internal_structure" else 101
         for sos in self.sos:
             for option, (end, tail) in product(options(self.found, sos), self.windows(sos, 4, 0)):
-                self.add(f"rebuild_header_from_segments_{option.profile}", best, option.header(), sos, end, tail)
-                self.add(f"rebuild_header_from_segments_minimal_{option.profile}", 100, option.header(True), sos, end, tail)
+                self.add(f"rebuild_header_from_segments_{option.profile}", best, option.header(), sos, end, tail, anchor=sos)
+                self.add(f"rebuild_header_from_segments_minimal_{option.profile}", 100, option.header(True), sos, end, tail, anchor=sos)
                 for back in (0, 128, 512, 2048, 8192):
-                    self.add(f"sos_window_rebuild_header_back_{back}_{option.profile}", 99, option.header(), max(0, sos - back), end, tail)
+                    self.add(f"sos_window_rebuild_header_back_{back}_{option.profile}", 99, option.header(), max(0, sos - back), end, tail, anchor=sos)
 
     def synthetic_scans(self) -> None:
         """Headers with a start of scan made from the frame header, where the blob has none."""
@@ -170,10 +165,10 @@ class Blob:
             scan = J.scan_header(option.sof)
             for start in self.scan_starts(option) if scan else []:
                 for end, tail in self.windows(start, 3, LEAST_WINDOW):
-                    self.add(f"rebuild_header_with_synthetic_sos_{option.profile}", 111, option.header() + scan, start, end, tail)
-                    self.add(f"rebuild_header_with_synthetic_sos_minimal_{option.profile}", 110, option.header(True) + scan, start, end, tail)
+                    self.add(f"rebuild_header_with_synthetic_sos_{option.profile}", 111, option.header() + scan, start, end, tail, anchor=option.sof_at)
+                    self.add(f"rebuild_header_with_synthetic_sos_minimal_{option.profile}", 110, option.header(True) + scan, start, end, tail, anchor=option.sof_at)
                     if self.rst:
-                        self.add(f"rebuild_header_with_synthetic_sos_rst_window_{option.profile}", 112, option.header() + scan, start, end, tail)
+                        self.add(f"rebuild_header_with_synthetic_sos_rst_window_{option.profile}", 112, option.header() + scan, start, end, tail, anchor=option.sof_at)
 
     def scan_starts(self, option: Option) -> list[int]:
         """Where coded data may begin: after the frame, after the last header segments near it, and before restart markers."""
@@ -187,7 +182,7 @@ class Blob:
         for sos in self.sos[:8]:
             for rst in sampled([r for r in self.rst if r > sos], 8):
                 for option in options(self.found, sos)[:3]:
-                    self.add(f"restart_window_rebuild_header_{option.profile}", 99, option.header(), sos, min(len(self.data), rst + 2), EOI)
+                    self.add(f"restart_window_rebuild_header_{option.profile}", 99, option.header(), sos, min(len(self.data), rst + 2), EOI, anchor=sos)
 
     def rows(self) -> Iterator[tuple]:
         """Plans in order with the size and digest of their payloads; equal plans keep their first place."""
@@ -196,13 +191,32 @@ class Blob:
         self.synthetic_scans()
         self.restart_windows()
         kept = list(dict.fromkeys(self.made))
-        for nth, (strategy, priority, header, start, end, tail, split, inserted) in enumerate(sorted(kept, key=lambda m: (-m[1], m[0])), 1):
-            body = self.data[start:end] if split is None else self.data[:split] + inserted + self.data[split:]
-            whole = header + body + tail
-            yield nth, strategy, priority, start, end, len(header) + len(inserted), len(whole), hashlib.sha256(whole).hexdigest()
+        self.plans = sorted(kept, key=lambda m: (-m[1], m[0]))
+        begun: dict[tuple, object] = {}  # digests of headers and of data from a start on, which many plans begin with
+        for nth, (strategy, priority, header, start, end, tail, split, inserted, anchor) in enumerate(self.plans, 1):
+            if split is None:
+                size = len(header) + len(self.data[start:end]) + len(tail)
+                digest = self._begun(begun, header, start, end).copy()
+            else:
+                size = len(header) + len(inserted) + len(self.data) + len(tail)
+                digest = self._begun(begun, header, 0, split).copy()
+                digest.update(inserted)
+                digest.update(memoryview(self.data)[split:])
+            digest.update(tail)
+            yield nth, strategy, priority, start, end, len(header) + len(inserted), anchor, size, digest.hexdigest()
+
+    def _begun(self, begun: dict, header: bytes, start: int, end: int | None):
+        """The digest of a header and data[start:end]; equal beginnings are hashed once."""
+        key = (header, start, end)
+        if key not in begun:
+            digest = hashlib.sha256(header)
+            digest.update(memoryview(self.data)[start:end])
+            begun[key] = digest
+        return begun[key]
 
     def payload(self, nth: int) -> bytes:
-        strategy, priority, header, start, end, tail, split, inserted = sorted(dict.fromkeys(self.made), key=lambda m: (-m[1], m[0]))[nth - 1]
+        """The bytes of the nth of rows()."""
+        _, _, header, start, end, tail, split, inserted, _ = self.plans[nth - 1]
         return header + (self.data[start:end] if split is None else self.data[:split] + inserted + self.data[split:]) + tail
 
 
@@ -212,10 +226,10 @@ def rebuild_plans(classified: DataFrame) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                rows = [(r["doc_id"], nth, "jpeg", s, p, SLICE, start, end, h, size, digest) for nth, s, p, start, end, h, size, digest in Blob(r["content"], r["label"]).rows()]
+                rows = [(r["doc_id"], nth, "jpeg", s, p, SLICE, start, end, h, anchor, size, digest) for nth, s, p, start, end, h, anchor, size, digest in Blob(r["content"] or b"", r["label"]).rows()]
                 if rows:
                     names = [f.split()[0] for f in SCHEMA.split(", ")]
-                    kinds = [pa.int64(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.string()]
+                    kinds = [pa.int64(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
     return classified.where(F.col("family") == "jpeg").select("doc_id", "label", "content").mapInArrow(run, SCHEMA)

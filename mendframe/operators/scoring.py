@@ -11,6 +11,8 @@ FAILED = float("-inf")
 MOST_AREA = 50_000_000
 FALLBACK = 12
 NO_WINNER = "no_candidate_succeeded"
+# fixed values: engines by name with their families
+ENGINES = {"jpeg-v1": ["jpeg"], "baseline-v2": [*K.IMAGE_KINDS, *K.VIDEO_KINDS]}
 
 
 def area() -> Column:
@@ -18,7 +20,7 @@ def area() -> Column:
 
 
 def _plus(total: Column, rule: Column, points: float) -> Column:
-    return F.when(rule, total + points).otherwise(total)
+    return total + F.when(rule, points).otherwise(0.0)  # adding 0 changes nothing, and total stands here once
 
 
 def image_score() -> Column:
@@ -83,10 +85,16 @@ def largest(attempts: DataFrame) -> DataFrame:
     return attempts.where("ok").withColumn("nth", F.row_number().over(best)).where("nth = 1").drop("nth")
 
 
+def families_of(engine: str) -> list[str]:
+    """The families that an engine takes on; an unknown name is an error."""
+    if engine not in ENGINES:
+        raise ValueError(f"Unknown engine: {engine}")
+    return ENGINES[engine]
+
+
 def gate(classified: DataFrame, engine: str = "baseline-v2") -> DataFrame:
     """Files whose family an engine doesn't handle, with the error that says so."""
-    known = ["jpeg"] if engine == "jpeg-v1" else [*K.IMAGE_KINDS, *K.VIDEO_KINDS]
-    return classified.where(~F.col("family").isin(known)).select("doc_id", F.concat(F.lit("no_engine_for_family:"), "family").alias("error"))
+    return classified.where(~F.col("family").isin(families_of(engine))).select("doc_id", F.concat(F.lit("no_engine_for_family:"), "family").alias("error"))
 
 
 def output_kind(declared: Column, byte0: Column, family: Column) -> Column:

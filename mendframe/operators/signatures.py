@@ -1,72 +1,80 @@
 """Signature hits of blobs: where formats begin, anywhere in the bytes."""
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mendframe.functions import kinds as K
-from mendframe.functions.bytes import bytes_at, count_of, count_of_any, latin, positions, positions_of_any, sample
+from mendframe.functions.bytes import count_of, count_of_any, found, over_bytes, sampled
 from mendframe.functions.memo import once_a_jvm
 from mendframe.sources.corpus import declared_kind
 
 HIT = "array<struct<offset:int,rank:double,family:string,signature_type:string>>"
+HITS = pa.list_(pa.struct([("offset", pa.int32()), ("rank", pa.float64()), ("family", pa.string()), ("signature_type", pa.string())]))
+Hit = tuple[int, float, str, str]  # offset, negative confidence, family, type: sorted as reports want them
 
 
-def _hits(found: Column, family: Column | str, kind: Column | str, first: float, other: float, shift: int = 0) -> Column:
-    """Hits of positions; rank is the negative confidence, so that hits sort by their fields in order."""
+def packet_phase(data: bytes) -> dict:
+    """The packet phase with most sync bytes in the first 8192 bytes and their number, the least phase on ties."""
+    at = np.flatnonzero(np.frombuffer(data[: K.TS_WINDOW], np.uint8) == int(K.TS_SYNC, 16)) % K.TS_PACKET
+    counts = np.bincount(at, minlength=K.TS_PACKET)
+    phase = int(counts.argmax())
+    return {"offset": phase if len(at) else None, "score": int(counts[phase]) if len(at) else None}
 
-    def hit(pos: Column) -> Column:
-        at = pos - shift
-        name, label = (F.lit(x) if isinstance(x, str) else x(pos) for x in (family, kind))
-        return F.struct(at.cast("int").alias("offset"), F.when(at == 0, -first).otherwise(-other).alias("rank"), name.alias("family"), label.alias("signature_type"))
 
-    return F.transform(found, hit)
+@lru_cache(maxsize=None)
+def _phase():
+    none = {"offset": None, "score": None}
+    return over_bytes(packet_phase, "struct<offset:int,score:int>", pa.struct([("offset", pa.int32()), ("score", pa.int32())]), none)
 
 
 def ts_sync(content: Column) -> Column:
-    """struct(offset, score) of the packet phase with most sync bytes in the first 8192 bytes, the least phase on ties."""
-    head = latin(F.substring(content, 1, K.TS_WINDOW))
-    phases = F.transform(positions(head, K.TS_SYNC), lambda p: F.pmod(p, F.lit(K.TS_PACKET)))
-
-    def best(held: Column) -> Column:
-        scored = F.transform(F.array_distinct(held), lambda o: F.struct((-F.size(F.filter(held, lambda x: x == o))).alias("score"), o.alias("offset")))
-        return F.array_min(scored)
-
-    found = F.transform(F.array(phases), best)[0]
-    return F.struct(found["offset"].cast("int").alias("offset"), (-found["score"]).cast("int").alias("score"))
+    """struct(offset, score) of packet_phase()."""
+    return _phase()(content)
+
+
+def marked(data: bytes, limit: int) -> Iterator[Hit]:
+    """Hits of simple signatures."""
+    for family, kind, needles, first, other in K.SIGNATURES:
+        for p in sampled(found(data, needles), limit):
+            yield p, -(first if p == 0 else other), family, kind
+
+
+def contained(data: bytes, limit: int) -> Iterator[Hit]:
+    """Hits of containers, whose kind is told by the bytes that follow."""
+    for p in sampled(found(data, (K.RIFF,)), limit):
+        kind = {K.WEBP: ("webp", 0.99), K.AVI: ("avi", 0.98)}.get(data[p + 8 : p + 12].hex().upper())
+        if kind:
+            yield p, -(kind[1] if p == 0 else 0.90), kind[0], f"riff_{kind[0]}"
+    for p in sampled(found(data, (K.FTYP,)), limit):
+        brand = data[p + 4 : p + 8].decode("latin-1")
+        if p >= 4 and len(brand) == 4:
+            yield p - 4, -(0.99 if p == 4 else 0.90), K.KIND_OF_BRAND.get(brand, "mp4"), "ftyp:" + (brand.strip() or "unknown")
+    for p in sampled(found(data, (K.EBML,)), limit):
+        yield p, -(0.98 if p == 0 else 0.90), "webm" if b"webm" in data[p : p + 128].lower() else "mkv", "ebml"
+    sync = packet_phase(data)
+    if (sync["score"] or 0) >= K.TS_LEAST:
+        yield sync["offset"], -min(0.99, 0.6 + sync["score"] / 20.0), "mpegts", "ts_sync"
+
+
+def hits_in(data: bytes, limit: int = K.HITS_PER_TYPE) -> list[dict]:
+    """All hits of a blob, sorted by offset, falling confidence, family, type."""
+    return [dict(zip(("offset", "rank", "family", "signature_type"), h, strict=True)) for h in sorted(chain(marked(data, limit), contained(data, limit)))]
 
 
-def hit_array(content: Column, limit: int = K.HITS_PER_TYPE) -> Column:
-    """All hits of a blob, sorted by offset, falling confidence, family, type."""
-    text = latin(content)
-    size = F.octet_length(content)
-    simple = [_hits(sample(positions_of_any(text, needles), limit), family, kind, first, other) for family, kind, needles, first, other in K.SIGNATURES]
-    brand = lambda at: F.hex(bytes_at(content, at + 8, 4))
-    riff = sample(positions(text, K.RIFF), limit)
-    webp = _hits(F.filter(riff, lambda p: (p + 12 <= size) & (brand(p) == K.WEBP)), "webp", "riff_webp", 0.99, 0.90)
-    avi = _hits(F.filter(riff, lambda p: (p + 12 <= size) & (brand(p) == K.AVI)), "avi", "riff_avi", 0.98, 0.90)
-    by_brand = F.create_map(*[F.lit(x) for pair in K.KIND_OF_BRAND.items() for x in pair])
-    name = lambda at: latin(bytes_at(content, at + 4, 4))
-    stripped = lambda at: F.regexp_replace(name(at), "^[\\s\\x1C-\\x1F\\x85\\xA0]+|[\\s\\x1C-\\x1F\\x85\\xA0]+$", "")
-    boxes = _hits(
-        F.filter(sample(positions(text, K.FTYP), limit), lambda p: (p >= 4) & (p + 8 <= size)),
-        lambda p: F.coalesce(F.element_at(by_brand, name(p)), F.lit("mp4")),
-        lambda p: F.concat(F.lit("ftyp:"), F.when(stripped(p) == "", "unknown").otherwise(stripped(p))), 0.99, 0.90, 4,
-    )
-    ebml = _hits(
-        sample(positions(text, K.EBML), limit),
-        lambda p: F.when(F.contains(F.lower(latin(bytes_at(content, p, 128))), F.lit("webm")), "webm").otherwise("mkv"), "ebml", 0.98, 0.90,
-    )
-    sync = F.transform(F.array(ts_sync(content)), lambda s: F.struct(
-        s["offset"].alias("offset"), (-F.least(F.lit(0.99), F.lit(0.6) + s["score"] / F.lit(20.0))).alias("rank"), F.lit("mpegts").alias("family"), F.lit("ts_sync").alias("signature_type"), s["score"].alias("score"),
-    ))
-    packets = F.transform(F.filter(sync, lambda s: s["score"] >= K.TS_LEAST), lambda s: F.struct(s["offset"].alias("offset"), s["rank"].alias("rank"), s["family"].alias("family"), s["signature_type"].alias("signature_type")))
-    return F.array_sort(F.concat(*[h.cast(HIT) for h in (*simple, webp, avi, boxes, ebml, packets)]))
+@lru_cache(maxsize=None)
+def _hits():
+    return over_bytes(hits_in, HIT, HITS, [])
 
 
-@once_a_jvm
 def content_hits() -> Column:
-    return hit_array(F.col("content"))
+    return _hits()(F.col("content"))
 
 
 @once_a_jvm
@@ -100,7 +108,7 @@ def hit_rows(recorded: DataFrame) -> DataFrame:
 
 @once_a_jvm
 def jpeg_counts() -> dict[str, Column]:
-    text = latin(F.col("content"))
+    text = F.col("content")
     return {
         "soi_count": count_of(text, K.SOI), "eoi_count": count_of(text, K.EOI), "sos_count": count_of(text, K.SOS), "dqt_count": count_of(text, K.DQT),
         "dht_count": count_of(text, K.DHT), "app0_count": count_of(text, K.APP0), "app1_count": count_of(text, K.APP1),
@@ -124,5 +132,5 @@ LEGACY_COUNTS = {
 
 
 def with_counts(blobs: DataFrame, needles: dict[str, list[str]]) -> DataFrame:
-    text = latin(F.col("content"))
+    text = F.col("content")
     return blobs.withColumns({name: count_of_any(text, own) for name, own in needles.items()})

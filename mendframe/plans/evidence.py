@@ -11,7 +11,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mendframe.operators import candidates, classify, rebuild, scoring
+from mendframe.operators import candidates, classify, legacy, rebuild, scoring, signatures
+from mendframe.plans.store import Files
 from mendframe.sources import corpus
 
 _held: dict[tuple, str] = {}
@@ -23,12 +24,21 @@ def shared_folder(spark: SparkSession) -> str:
     if not folder:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         if not current.isDefined():
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="mendframe-"))
             current = spark.sparkContext._jsc.sc().getCheckpointDir()
         folder = current.get()
     return folder.rstrip("/")
 
 
+def written(spark: SparkSession, rows: DataFrame, name: str) -> DataFrame:
+    """Writes rows once to the shared folder and reads them back."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
 class Evidence:
     """The staged tables of one corpus."""
 
@@ -36,7 +46,8 @@ class Evidence:
         self.spark, self.sf_dir = spark, sf_dir
 
     def _staged(self, name: str, build) -> DataFrame:
-        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        # a folder that has changed gives new stages
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, Files(self.spark).changed(f"{self.sf_dir}/documents.parquet"), name)
         if key not in _held:
             path = f"{shared_folder(self.spark)}/{name}-{uuid.uuid4().hex}"
             build().write.parquet(path)
@@ -51,18 +62,20 @@ class Evidence:
         return self._staged("classified", lambda: classify.classified(self.blobs()).drop("content"))
 
     def with_content(self) -> DataFrame:
-        """Classes joined with the bytes they came from."""
-        return self.classified().join(self.blobs().select("doc_id", "content"), "doc_id")
+        """Classes with the bytes they came from: scanned again, which costs less than to exchange bytes."""
+        return classify.classified(self.blobs())
+
+    def _plans(self, digest: bool) -> DataFrame:
+        rows = self.with_content()
+        return candidates.merged(candidates.every(rows, digest), rebuild.rebuild_plans(rows))
 
     def plans(self) -> DataFrame:
         """Plans of all lanes; those of the walking lanes have payload_sha256, others bytes before and after."""
+        return self._staged("plans", lambda: self._plans(False))
 
-        def build() -> DataFrame:
-            rows = self.with_content()
-            jpeg = candidates.merged(candidates.jpeg(rows, *candidates.JPEG_LANES), rebuild.rebuild_plans(rows))
-            return candidates.generic(rows).unionByName(candidates.video(rows)).unionByName(jpeg, allowMissingColumns=True)
-
-        return self._staged("plans", build)
+    def payloads(self) -> DataFrame:
+        """doc_id and payload_sha256 of every plan of all lanes."""
+        return self._plans(True).select("doc_id", "payload_sha256")
 
     def attempts(self) -> DataFrame:
         """Probed and scored plans."""
@@ -73,11 +86,18 @@ class Evidence:
         files = self.classified().select("doc_id", "path", "family", "label")
         return scoring.outcomes(files, scoring.winners(self.attempts()))
 
-    def failed(self, *counts: str) -> DataFrame:
-        return self.outputs().select("doc_id", "success", "error").join(self.classified().select("doc_id", *counts), "doc_id")
+    def files(self) -> DataFrame:
+        """What the older engine's advice rests on: kinds to try, signatures by kind and counts of all markers."""
+
+        def build() -> DataFrame:
+            rows = legacy.chosen(self.blobs()).withColumns({"fallback_kinds": F.array_join("other_kinds", ","), "kinds": F.array_join("kinds", ",")})
+            return signatures.with_counts(signatures.with_jpeg_counts(rows), signatures.OTHER_COUNTS | signatures.LEGACY_COUNTS).drop("content", "path", "other_kinds")
 
+        return self._staged("files", build)
 
-def payload_rows(plans: DataFrame, blobs: DataFrame, columns: list[str]) -> DataFrame:
-    """Plans with the digest of their bytes; blobs are joined only here."""
-    joined = plans.join(blobs.select("doc_id", "content"), "doc_id")
-    return joined.withColumn("payload_sha256", F.sha2(candidates.payload(F.col("content")), 256)).select(*columns, "payload_sha256")
+    def told(self) -> DataFrame:
+        """Outputs with what the older engine's advice rests on."""
+        number = self.attempts().groupBy("doc_id").agg(F.count("*").alias("attempts"))
+        outputs = self.outputs().select("doc_id", "success", "error", "decoder")
+        kinds = self.classified().select("doc_id", "declared_kind")
+        return outputs.join(self.files(), "doc_id").join(kinds, "doc_id").join(number, "doc_id", "left").withColumn("attempts", F.coalesce("attempts", F.lit(0)))

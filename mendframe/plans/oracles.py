@@ -1,7 +1,9 @@
 """DuckDB SQL that says what the queries say, put together from shared common table expressions."""
 from __future__ import annotations
 
+from mendframe.functions import jpeg_tables as J
 from mendframe.functions import kinds as K
+from mendframe.operators import legacy as legacy_rules
 from mendframe.operators.signatures import LEGACY_COUNTS, OTHER_COUNTS
 from mendframe.sources.corpus import VARIANTS
 
@@ -209,6 +211,115 @@ HINTS = " UNION ALL ".join([
     plan_rows("classified WHERE label = 'jpeg_missing_eoi'", "'classification_hint_append_eoi'", 105, NEW, "0", append=K.EOI),
     plan_rows(HINT_MARKS, "'classification_hint_synthetic_soi_back_' || b", 106, NEW, BEFORE, prepend=K.SOI, made="p"),
 ])
+# lanes that walk over segments: header segments from left to right, options of headers near a marker, scans
+HEADERS = [K.DQT, K.DHT, K.DRI, K.COM, *K.APP, *K.SOF]
+SPAN = "replace(substr(sx, {0} * 3 + 1, ({1}) * 3), ' ', '')"
+STANDARD = values(
+    [(parts, f"std_{J.shade(parts)}_q{q}", J.quantisation(parts, q).hex().upper(), q, "dqt") for parts in (1, 3) for q in J.QUALITIES]
+    + [(parts, f"std_{J.shade(parts)}", J.huffman(parts).hex().upper(), 0, "dht") for parts in (1, 3)]
+)
+JPEG_ROWS = "(SELECT x.* FROM x JOIN classified USING (doc_id) WHERE family = 'jpeg')"
+WALK = f"""standard AS (SELECT * FROM (VALUES {STANDARD}) t(parts, label, blob, quality, name)
+), jx AS (SELECT x.doc_id, x.sx, x.size, c.label, sx LIKE '%FF D9 ' AS closed FROM x JOIN classified c ON c.doc_id = x.doc_id WHERE c.family = 'jpeg'
+), {positions({m: [m] for m in HEADERS}, "heads", JPEG_ROWS)}, spans AS (
+  SELECT doc_id, name AS marker, p, p + 2 + ('0x' || substr(sx, (p + 2) * 3 + 1, 2))::BIGINT * 256 + ('0x' || substr(sx, (p + 3) * 3 + 1, 2))::BIGINT AS stop
+  FROM (SELECT doc_id, name, unnest(pos) AS p FROM heads) JOIN jx USING (doc_id) WHERE p + 4 <= size
+), whole AS (SELECT s.doc_id, marker, p, stop FROM spans s JOIN jx USING (doc_id) WHERE stop >= p + 4 AND stop <= size
+), walked AS (
+  SELECT doc_id, min(p) AS p, arg_min(stop, p) AS stop, arg_min(marker, p) AS marker FROM whole GROUP BY doc_id
+  UNION ALL SELECT w.doc_id, min(s.p), arg_min(s.stop, s.p), arg_min(s.marker, s.p) FROM walked w JOIN whole s ON s.doc_id = w.doc_id AND s.p >= w.stop GROUP BY w.doc_id, w.p
+), segments AS (
+  SELECT w.doc_id, marker, p, stop, {SPAN.format("p", "stop - p")} AS blob, row_number() OVER (PARTITION BY w.doc_id, marker ORDER BY p) AS nth FROM walked w JOIN jx USING (doc_id) QUALIFY nth <= 12
+), scans AS (SELECT doc_id, unnest({sample("pos", 16)})::BIGINT AS sos, generate_subscripts({sample("pos", 16)}, 1) AS scan_no FROM anchor WHERE name = 'sos'
+), lists AS (
+  SELECT jx.doc_id, coalesce(e.pos, []) AS ends, coalesce(r.pos, []) AS rst, coalesce(m.pos, []) AS marks FROM jx LEFT JOIN (SELECT * FROM anchor WHERE name = 'eoi') e USING (doc_id)
+  LEFT JOIN (SELECT * FROM anchor WHERE name = 'rst') r USING (doc_id) LEFT JOIN (SELECT * FROM anchor WHERE name = 'marker') m USING (doc_id)
+), bare AS (
+  SELECT jx.doc_id, coalesce(({sample("marks", 32)})[1], 0)::BIGINT AS target FROM jx JOIN lists USING (doc_id) WHERE label = 'jpeg_missing_soi_internal_structure' AND doc_id NOT IN (SELECT doc_id FROM scans)
+), targets AS (SELECT doc_id, sos AS target FROM scans UNION SELECT doc_id, target FROM bare)"""
+SOFS = "(" + ", ".join(f"'{m}'" for m in K.SOF) + ")"
+APPS = "(" + ", ".join(f"'{m}'" for m in K.APP) + ")"
+NEAR = "row_number() OVER (PARTITION BY {0} ORDER BY abs({1} - p), p)"
+OPTIONS = f"""near AS (SELECT t.doc_id, target, p, stop, blob FROM targets t JOIN segments s USING (doc_id) WHERE marker IN {SOFS} QUALIFY {NEAR.format("t.doc_id, target, marker", "target")} <= 2
+), frames AS (
+  SELECT *, {NEAR.format("doc_id, target", "target")} AS frame_no, CASE WHEN length(blob) >= 20 AND length(blob) // 2 >= 10 + 3 * n THEN greatest(1, n) ELSE 1 END AS parts, CASE WHEN length(blob) >= 20 AND length(blob) // 2 >= 10 + 3 * n THEN n ELSE 0 END AS ids
+  FROM (SELECT *, CASE WHEN length(blob) >= 20 THEN ('0x' || substr(blob, 19, 2))::INT ELSE 0 END AS n FROM near QUALIFY {NEAR.format("doc_id, target, blob", "target")} = 1) QUALIFY frame_no <= 4
+), apps AS (
+  SELECT doc_id, target, frame_no, string_agg(blob, '' ORDER BY marker) AS app FROM (
+    SELECT *, row_number() OVER (PARTITION BY doc_id, target, frame_no ORDER BY marker) AS app_no FROM (
+      SELECT f.doc_id, target, frame_no, s.marker, s.blob FROM frames f JOIN segments s USING (doc_id) WHERE s.marker IN {APPS}
+      QUALIFY row_number() OVER (PARTITION BY f.doc_id, target, frame_no, s.marker ORDER BY abs(f.p - s.p), s.p) = 1) QUALIFY app_no <= 2) GROUP BY ALL
+), restarts AS (
+  SELECT f.doc_id, target, frame_no, s.blob AS dri FROM frames f JOIN segments s USING (doc_id) WHERE s.marker = '{K.DRI}' QUALIFY row_number() OVER (PARTITION BY f.doc_id, target, frame_no ORDER BY abs(f.p - s.p), s.p) = 1
+), found_tables AS (SELECT doc_id, CASE marker WHEN '{K.DQT}' THEN 'dqt' ELSE 'dht' END AS name, list(blob ORDER BY nth) AS found FROM segments WHERE marker IN ('{K.DQT}', '{K.DHT}') GROUP BY ALL
+), offered AS (
+  SELECT f.doc_id, target, frame_no, t.name, 'found_' || t.name || '_' || l.many AS label, array_to_string(found[1:l.many], '') AS blob, l.i AS place FROM frames f JOIN found_tables t USING (doc_id)
+  CROSS JOIN LATERAL (SELECT unnest(ns) AS many, generate_subscripts(ns, 1) AS i FROM (SELECT CASE t.name WHEN 'dqt' THEN [CASE WHEN parts > 1 THEN 2 ELSE 1 END, 1, 2, 4] ELSE [CASE WHEN parts > 1 THEN 4 ELSE 2 END, 2, 4, 1] END AS ns)) l WHERE l.many <= len(found)
+  UNION ALL SELECT f.doc_id, target, frame_no, s.name, s.label, s.blob, 10 + s.quality FROM frames f JOIN standard s ON s.parts = CASE WHEN f.parts > 1 THEN 3 ELSE 1 END
+), ranked_tables AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id, target, frame_no, name ORDER BY place) AS table_no FROM (SELECT * FROM offered QUALIFY row_number() OVER (PARTITION BY doc_id, target, frame_no, name, blob ORDER BY place) = 1)
+), options AS (
+  SELECT f.doc_id, f.target, f.p AS sof_at, f.stop AS sof_end, f.blob AS sof, f.ids, coalesce(app, '{J.JFIF.hex().upper()}') AS app, q.blob AS dqt, h.blob AS dht, coalesce(dri, '') AS dri, q.label || '__' || h.label AS profile,
+         row_number() OVER (PARTITION BY f.doc_id, f.target ORDER BY f.frame_no, q.table_no, h.table_no) AS option_no
+  FROM frames f JOIN ranked_tables q ON q.doc_id = f.doc_id AND q.target = f.target AND q.frame_no = f.frame_no AND q.name = 'dqt' AND q.table_no <= 3
+  JOIN ranked_tables h ON h.doc_id = f.doc_id AND h.target = f.target AND h.frame_no = f.frame_no AND h.name = 'dht' AND h.table_no <= 2
+  LEFT JOIN apps a ON a.doc_id = f.doc_id AND a.target = f.target AND a.frame_no = f.frame_no LEFT JOIN restarts r ON r.doc_id = f.doc_id AND r.target = f.target AND r.frame_no = f.frame_no QUALIFY option_no <= 18
+), headed AS (SELECT *, '{K.SOI}' || app || dqt || sof || dht || dri AS header, '{K.SOI}' || dqt || sof || dht || dri AS minimal FROM options)"""
+
+
+def windows(starts: str, ends: int, least: int) -> str:
+    """Rows of starts (doc_id, start) with window ends and tails, in order: sampled ends of image, fixed lengths, the end."""
+    return f"""SELECT w.*, row_number() OVER (PARTITION BY doc_id, start ORDER BY k, w."end") AS window_no FROM (
+    SELECT doc_id, start, e + 2 AS "end", '' AS tail, 1 AS k FROM (SELECT s.doc_id, start, unnest({sample("list_filter(ends, lambda e: e > start)", ends)}) AS e FROM {starts} s JOIN lists USING (doc_id)) WHERE e + 2 - start >= {least}
+    UNION ALL SELECT DISTINCT s.doc_id, start, least(size, start + n), '{K.EOI}', 2 FROM {starts} s JOIN jx USING (doc_id) CROSS JOIN (VALUES (65536), (262144), (1048576), (4194304)) t(n) WHERE least(size, start + n) - start >= 128
+    UNION ALL SELECT s.doc_id, start, NULL, CASE WHEN closed THEN '' ELSE '{K.EOI}' END, 3 FROM {starts} s JOIN jx USING (doc_id) WHERE size - start + CASE WHEN closed THEN 0 ELSE 2 END >= {least}) w"""
+
+
+def built(strategy: str, priority: str, start: str, end: str, header: str, tail: str, anchor: str, source: str, made: str, split: str = "NULL", inserted: str = "''") -> str:
+    return f"SELECT h.doc_id, {strategy} AS strategy, {priority} AS priority, ({start})::BIGINT AS start, ({end})::BIGINT AS \"end\", {header} AS header, {tail} AS tail, ({anchor})::BIGINT AS anchor, ({split})::BIGINT AS split, {inserted} AS inserted, [{made}]::BIGINT[] AS made FROM {source}"
+
+
+FROM_SCAN = "scans h JOIN headed o ON o.doc_id = h.doc_id AND o.target = h.sos JOIN scan_windows w ON w.doc_id = h.doc_id AND w.start = h.sos"
+SCAN_ORDER = "scan_no, option_no, window_no"
+FROM_BARE = "bare h JOIN headed o ON o.doc_id = h.doc_id AND o.target = h.target JOIN bare_starts b ON b.doc_id = h.doc_id AND b.sof_end = o.sof_end AND b.sof_at = o.sof_at JOIN bare_windows w ON w.doc_id = h.doc_id AND w.start = b.start"
+BARE_ORDER = "option_no, start_no, window_no"
+SCAN_SEGMENT = ("'FFDA' || printf('%04X', 6 + 2 * ids) || printf('%02X', ids) || array_to_string(list_transform(range(0, ids), lambda i: substr(sof, 21 + 6 * i::INT, 2) || CASE WHEN i = 0 THEN '00' ELSE '11' END), '') || '003F00'")
+NO_TABLES = "(SELECT s.*, m.dqt_count = 0 AS no_dqt, m.dht_count = 0 AS no_dht, m.soi_count = 0 AS no_soi, c.label AS class_label, coalesce(n.parts, 3) AS parts FROM scans s JOIN marked m USING (doc_id) JOIN classified c USING (doc_id) LEFT JOIN scan_parts n ON n.doc_id = s.doc_id AND n.sos = s.sos)"
+REBUILT = f"""scan_windows AS ({windows("(SELECT DISTINCT doc_id, sos AS start FROM scans)", 4, 0)}
+), scan_parts AS (
+  SELECT doc_id, sos, CASE WHEN length(blob) >= 20 AND length(blob) // 2 >= 10 + 3 * n THEN greatest(1, n) ELSE 1 END AS parts FROM (
+    SELECT s.doc_id, s.sos, g.blob, CASE WHEN length(g.blob) >= 20 THEN ('0x' || substr(g.blob, 19, 2))::INT ELSE 0 END AS n FROM scans s JOIN segments g USING (doc_id) WHERE g.marker IN {SOFS}
+    QUALIFY row_number() OVER (PARTITION BY s.doc_id, s.sos ORDER BY abs(s.sos - g.p), g.p) = 1)
+), bare_offers AS (
+  SELECT o.doc_id, sof_at, sof_end, sof_end AS start, 0 AS place FROM bare JOIN headed o USING (doc_id, target) WHERE ids > 0
+  UNION ALL SELECT doc_id, sof_at, sof_end, stop, 10 + nth FROM (
+    SELECT *, row_number() OVER (PARTITION BY doc_id, sof_at ORDER BY back DESC) AS nth FROM (
+      SELECT o.doc_id, o.sof_at, o.sof_end, g.stop, row_number() OVER (PARTITION BY o.doc_id, o.sof_at ORDER BY g.stop DESC) AS back
+      FROM (SELECT DISTINCT doc_id, sof_at, sof_end FROM bare JOIN headed USING (doc_id, target) WHERE ids > 0) o JOIN segments g USING (doc_id) WHERE abs(g.p - o.sof_at) <= 131072 QUALIFY back <= 3))
+  UNION ALL SELECT doc_id, sof_at, sof_end, greatest(sof_end, r - b), 100 + 10 * rst_no + back_no FROM (
+    SELECT doc_id, sof_at, sof_end, unnest(l) AS r, generate_subscripts(l, 1) AS rst_no FROM (
+      SELECT DISTINCT o.doc_id, sof_at, sof_end, {sample("list_filter(rst, lambda r: r > sof_end)", 4)} AS l FROM bare JOIN headed o USING (doc_id, target) JOIN lists ON lists.doc_id = o.doc_id WHERE ids > 0))
+  CROSS JOIN (VALUES (256, 1), (1024, 2), (4096, 3), (16384, 4), (65536, 5)) t(b, back_no)
+), bare_starts AS (
+  SELECT b.doc_id, sof_at, sof_end, start, min(place) AS start_no FROM bare_offers b JOIN jx USING (doc_id) WHERE start < size - 64 GROUP BY ALL
+), bare_windows AS ({windows("(SELECT DISTINCT doc_id, start FROM bare_starts)", 3, 128)}
+), built AS (
+  {built("'rebuild_header_from_segments_' || profile", "CASE WHEN (SELECT label FROM classified c WHERE c.doc_id = h.doc_id) = 'jpeg_missing_soi_internal_structure' THEN 109 ELSE 101 END", "sos", 'w."end"', "header", "tail", "sos", FROM_SCAN, SCAN_ORDER)}
+  UNION ALL {built("'rebuild_header_from_segments_minimal_' || profile", "100", "sos", 'w."end"', "minimal", "tail", "sos", FROM_SCAN, SCAN_ORDER)}
+  UNION ALL {built("'sos_window_rebuild_header_back_' || back || '_' || profile", "99", "greatest(0, sos - back)", 'w."end"', "header", "tail", "sos", FROM_SCAN + " CROSS JOIN (VALUES (0), (128), (512), (2048), (8192)) t(back)", SCAN_ORDER)}
+  UNION ALL {built("'rebuild_header_with_synthetic_sos_' || profile", "111", "w.start", 'w."end"', f"header || {SCAN_SEGMENT}", "tail", "o.sof_at", FROM_BARE, BARE_ORDER)}
+  UNION ALL {built("'rebuild_header_with_synthetic_sos_minimal_' || profile", "110", "w.start", 'w."end"', f"minimal || {SCAN_SEGMENT}", "tail", "o.sof_at", FROM_BARE, BARE_ORDER)}
+  UNION ALL {built("'rebuild_header_with_synthetic_sos_rst_window_' || profile", "112", "w.start", 'w."end"', f"header || {SCAN_SEGMENT}", "tail", "o.sof_at", FROM_BARE + " JOIN lists ON lists.doc_id = h.doc_id AND len(rst) > 0", BARE_ORDER)}
+  UNION ALL {built("'restart_window_rebuild_header_' || profile", "99", "sos", "least(size, r + 2)", "header", f"'{K.EOI}'", "sos", f"(SELECT doc_id, sos, scan_no, unnest(l) AS r, generate_subscripts(l, 1) AS rst_no FROM (SELECT s.doc_id, sos, scan_no, {sample('list_filter(rst, lambda r: r > sos)', 8)} AS l FROM scans s JOIN lists USING (doc_id) WHERE scan_no <= 8)) h JOIN jx USING (doc_id) JOIN headed o ON o.doc_id = h.doc_id AND o.target = h.sos AND option_no <= 3", "scan_no, rst_no, option_no")}
+  UNION ALL {built("'inject_standard_tables_before_sos_' || CASE WHEN append THEN 'append_eoi_' ELSE '' END || CASE WHEN no_dqt THEN q.label || '__' || d.label ELSE d.label END", "CASE WHEN append THEN 102 ELSE 103 END", "0", "NULL", f"CASE WHEN no_soi THEN '{K.SOI}' ELSE '' END", f"CASE WHEN append THEN '{K.EOI}' ELSE '' END", "sos", f"{NO_TABLES} h JOIN standard q ON q.name = 'dqt' AND q.parts = CASE WHEN h.parts > 1 THEN 3 ELSE 1 END AND (no_dqt OR q.quality = {J.QUALITIES[0]}) JOIN standard d ON d.name = 'dht' AND d.parts = q.parts CROSS JOIN (VALUES (false), (true)) t(append)", "scan_no, q.quality", "sos", "CASE WHEN no_dqt THEN q.blob ELSE '' END || CASE WHEN no_dht THEN d.blob ELSE '' END")} WHERE no_dqt OR no_dht
+  UNION ALL {built("'classification_hint_inject_standard_dht_' || d.label", "107", "0", "NULL", "''", "''", "sos", f"{NO_TABLES} h JOIN standard d ON d.name = 'dht' AND d.parts = CASE WHEN h.parts > 1 THEN 3 ELSE 1 END", "scan_no", "sos", "d.blob")} WHERE class_label = 'jpeg_missing_dht' AND scan_no <= 4
+), rebuilt AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY priority DESC, strategy, made) AS ord FROM (SELECT doc_id, strategy, priority, start, "end", header, tail, anchor, split, inserted, min(made) AS made FROM built GROUP BY ALL)
+)"""
+REBUILD = (ANCHORS, WALK, OPTIONS, REBUILT)
+REBUILT_ROWS = f"""SELECT doc_id, ord, 'jpeg' AS family, strategy, priority, '{NEW}' AS kind, start, "end", (length(header) + length(inserted)) // 2 AS header_bytes, anchor, octet_length(whole) AS payload_size, sha256(whole) AS payload_sha256 FROM (
+  SELECT r.*, from_hex(header || CASE WHEN split IS NULL THEN {SPAN.format("start", 'greatest(coalesce("end", size) - start, 0)')} ELSE {SPAN.format("0", "split")} || inserted || {SPAN.format("split", "size - split")} END || tail) AS whole FROM rebuilt r JOIN jx USING (doc_id))"""
+
 LEGACY_ORDER = 'priority DESC, start, "end" DESC NULLS LAST, made'
 
 
@@ -270,9 +381,51 @@ ATTEMPTS = f"""probed AS (
   SELECT c.doc_id, c.path, c.family, c.label, strategy, decoder, score, width, height, (strategy IS NOT NULL)::INT AS success, CASE WHEN strategy IS NULL THEN 'no_candidate_succeeded' END AS error
   FROM classified c LEFT JOIN (SELECT doc_id, strategy, decoder, score, width, height FROM won) w USING (doc_id)
 )"""
-EVERY_PLAN = ranked(" UNION ALL ".join([
-    "SELECT * FROM generic_made", "SELECT * FROM video_made", "SELECT * FROM jpeg_made",
-]))
+EVERY_PLAN = f"""plans AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY priority DESC, strategy, made) AS ord FROM (
+    {" UNION ALL ".join(f"SELECT doc_id, family, {PLAN_COLUMNS}, made::BIGINT AS made FROM {lane}" for lane in ("generic", "video", "jpeg"))}
+    UNION ALL SELECT doc_id, 'jpeg', strategy, priority, '{NEW}', start, "end", '', '', ord FROM rebuilt)
+)"""
 OTHER = {name: count_any(ns) for name, ns in OTHER_COUNTS.items()}
 OLDER = {name: count_any(ns) for name, ns in LEGACY_COUNTS.items()}
-RUN = (*ALL, OFFSETS, SYNCS, ANCHORS, GENERIC.replace("plans", "generic"), VIDEOS.replace("plans", "video"), ranked(f"{WHOLE} UNION ALL {FROM_SOI} UNION ALL {HINTS}", "jpeg"), EVERY_PLAN, ATTEMPTS)
+RUN = (*ALL, OFFSETS, SYNCS, ANCHORS, GENERIC.replace("plans", "generic"), VIDEOS.replace("plans", "video"), ranked(f"{WHOLE} UNION ALL {FROM_SOI} UNION ALL {FROM_MARK} UNION ALL {HINTS}", "jpeg"), WALK, OPTIONS, REBUILT, EVERY_PLAN, ATTEMPTS)
+
+
+def chosen_text(name: str) -> str:
+    """A fixed text of the older engine as SQL."""
+    return "'" + {**legacy_rules.IDEA_TEXTS, **{f"advice {k}": v for k, v in legacy_rules.ADVICE_TEXTS.items()}}[name].replace("'", "''") + "'"
+
+
+SIGNS = {
+    "jpeg_inner": "soi_count = 0 AND (sos_count > 0 OR dqt_count > 0 OR dht_count > 0 OR sof_count > 0)", "jpeg_open": "soi_count > 0 AND eoi_count = 0", "jpeg_restart": "rst_count > 0",
+    "jpeg_bare": "soi_count = 0 AND sos_count = 0", "png_bare": "ihdr_count > 0 AND png_sig_count = 0", "png_open": "idat_count > 0 AND iend_count = 0", "png_empty": "idat_count = 0", "gif_open": "gif_trailer_count = 0",
+}
+STATE = f"""others AS (SELECT doc_id, {", ".join(f"{e} AS {c}" for c, e in {**OTHER, **OLDER}.items())} FROM x
+), told AS (
+  SELECT o.doc_id, o.path, success, o.error, o.decoder, c.declared_kind, m.* EXCLUDE (doc_id), t.* EXCLUDE (doc_id) FROM outputs o JOIN classified c ON c.doc_id = o.doc_id JOIN marked m ON m.doc_id = o.doc_id JOIN others t ON t.doc_id = o.doc_id
+)"""
+
+
+def lost(kind: str, sign: str) -> str:
+    return f"count_if(success = 0 AND coalesce(declared_kind = '{kind}', false) AND {SIGNS[sign]})"
+
+
+FINDINGS = ("jpeg_inner", "jpeg_open", "png_bare", "png_open")
+ADVICE = f"""SELECT unnest(l) AS advice, generate_subscripts(l, 1) - 1 AS place FROM (SELECT list_filter([
+  CASE WHEN failed > 0 AND no_candidate > failed * {legacy_rules.BOTTLENECK} THEN {chosen_text('advice no_candidate')} END, CASE WHEN external > own THEN {chosen_text('advice external')} END,
+  {", ".join(f"CASE WHEN {sign} > 0 THEN {sign} || {chosen_text('advice ' + sign)} END" for sign in FINDINGS)}, {chosen_text('advice always')}], lambda a: a IS NOT NULL) AS l
+  FROM (SELECT count_if(success = 0) AS failed, count_if(success = 0 AND error = 'no_candidate_succeeded') AS no_candidate, count_if(success = 1 AND decoder = 'ffmpeg') AS external, count_if(success = 1 AND decoder = 'pillow') AS own,
+        {", ".join(f"{lost(sign.split('_')[0], sign)} AS {sign}" for sign in FINDINGS)} FROM told))"""
+
+
+def ideas(chosen: str) -> str:
+    """Ideas for lost files; chosen gives doc_id and kinds, the table hit the signatures of each kind."""
+    names = {k: [n for n in legacy_rules.IDEA_TEXTS if n.split("_")[0] == k] for k in legacy_rules.KINDS}
+    case = " ".join(
+        f"WHEN '{k}' THEN list_filter([{', '.join(f'CASE WHEN {SIGNS.get(n, chr(39) + chr(39) + chr(61) + chr(39) + chr(39))} THEN {chosen_text(n)} END' for n in own)}], lambda i: i IS NOT NULL)" for k, own in names.items()
+    )
+    kinds = "[" + ", ".join(f"'{k}'" for k in legacy_rules.KINDS) + "]"
+    seen = f"list_filter({kinds}, lambda k: list_contains(coalesce(seen, []), k))"
+    return f"""SELECT doc_id, array_to_string(list_concat(flatten(list_transform(string_split(kinds, ','), lambda k: CASE k {case} END)),
+      list_filter([CASE WHEN len(string_split(kinds, ',')) < 6 THEN {chosen_text('fallback')} END, CASE WHEN len(string_split(kinds, ',')) < 6 AND len({seen}) > 0 THEN '{legacy_rules.OTHER_HITS}' || array_to_string({seen}, ', ') || '.' END], lambda i: i IS NOT NULL)), chr(10)) AS ideas
+      FROM told JOIN ({chosen}) c USING (doc_id) LEFT JOIN (SELECT doc_id, list(name) FILTER (n > 0) AS seen FROM hit GROUP BY doc_id) h USING (doc_id) WHERE success = 0"""

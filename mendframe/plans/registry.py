@@ -12,7 +12,7 @@ from mendframe.functions import kinds as K
 from mendframe.operators import candidates, classify, legacy, rebuild, scoring, signatures
 from mendframe.plans import oracles as O
 from mendframe.plans import report
-from mendframe.plans.evidence import Evidence, payload_rows
+from mendframe.plans.evidence import Evidence
 from mendframe.sources import corpus
 
 Build = Callable[[DataFrame], DataFrame]
@@ -41,7 +41,7 @@ def hits_of(kind: str) -> Build:
 
 def nearest_marker(blobs: DataFrame) -> DataFrame:
     """For each start of scan the two table or frame markers nearest to it, the first on ties."""
-    text = B.latin(F.col("content"))
+    text = F.col("content")
     found = blobs.select("doc_id", B.positions(text, K.SOS).alias("sos"), B.positions_of_any(text, [K.DQT, K.DHT, *K.SOF]).alias("marker"))
     apart = F.transform("marker", lambda m: F.struct(F.abs(m - F.col("p")).alias("far"), m.alias("at")))
     near = found.select("doc_id", "marker", F.explode("sos").alias("p")).select("doc_id", "p", F.posexplode(F.slice(F.array_sort(apart), 1, 2)).alias("nth", "m"))
@@ -50,7 +50,7 @@ def nearest_marker(blobs: DataFrame) -> DataFrame:
 
 def previous_marker(blobs: DataFrame) -> DataFrame:
     """For each start of scan the last marker at or before it."""
-    text = B.latin(F.col("content"))
+    text = F.col("content")
     pool = B.positions_of_any(text, [K.SOI, K.APP0, K.APP1, K.DQT, K.DHT, *K.SOF])
     found = blobs.select("doc_id", B.positions(text, K.SOS).alias("sos"), pool.alias("marker")).select("doc_id", "marker", F.explode("sos").alias("p"))
     return found.select("doc_id", F.col("p").alias("sos"), F.array_max(F.filter("marker", lambda m: m <= F.col("p"))).alias("marker"))
@@ -64,10 +64,7 @@ def deduped(evidence: Evidence) -> DataFrame:
 
 def shared_payloads(evidence: Evidence) -> DataFrame:
     """Distinct payloads and how many plans of how many files give each: equal payloads need one probe only."""
-    plans = evidence.plans()
-    hashed = plans.where("payload_sha256 IS NOT NULL").select("doc_id", "payload_sha256")
-    rows = payload_rows(plans.where("payload_sha256 IS NULL").drop("payload_sha256"), evidence.blobs(), ["doc_id"]).unionByName(hashed)
-    return rows.groupBy("payload_sha256").agg(F.count("*").alias("plans"), F.count_distinct("doc_id").alias("files"))
+    return evidence.payloads().groupBy("payload_sha256").agg(F.count("*").alias("plans"), F.count_distinct("doc_id").alias("files"))
 
 
 def summary_rows(blobs: DataFrame) -> DataFrame:
@@ -86,11 +83,6 @@ def one_pass_counts(classified: DataFrame) -> DataFrame:
     return rows.groupingSets([["label"], ["family"], ["anywhere_kind"]], "label", "family", "anywhere_kind").agg(F.count("*").alias("n"))
 
 
-def ranked_errors(rows: DataFrame, most: int = 30) -> DataFrame:
-    """The most frequent errors; the limit is the report's."""
-    return report.by(rows, "error", "success = 0").limit(most)
-
-
 def register(catalog: Catalog) -> None:
     """Adds the engine's own queries to the catalog."""
     add = catalog.add
@@ -100,10 +92,10 @@ def register(catalog: Catalog) -> None:
     add("marker_stats_jpeg", on_blobs(lambda b: signatures.with_jpeg_counts(b).select("doc_id", *counts)), O.query(f"SELECT doc_id, {', '.join(counts)} FROM marked", O.MARKED))
     for name, needles, sql in (("marker_stats_other", signatures.OTHER_COUNTS, O.OTHER), ("marker_stats_legacy", signatures.LEGACY_COUNTS, O.OLDER)):
         add(name, on_blobs(lambda b, n=needles: signatures.with_counts(b, n).select("doc_id", *n)), O.query(f"SELECT doc_id, {', '.join(f'{e} AS {c}' for c, e in sql.items())} FROM x"))
-    add("find_all_positions", on_blobs(lambda b: b.select("doc_id", F.explode(B.positions(B.latin(F.col("content")), K.SOI)).alias("position"))),
+    add("find_all_positions", on_blobs(lambda b: b.select("doc_id", F.explode(B.positions(F.col("content"), K.SOI)).alias("position"))),
         O.query("SELECT doc_id, unnest(pos) AS position FROM pos", O.positions({"soi": [K.SOI]})))
     for limit in (4, 8, 24):
-        add(f"sampled_positions_{limit}", on_blobs(lambda b, n=limit: b.select("doc_id", F.explode(B.sample(B.positions(B.latin(F.col("content")), "74"), n)).alias("position"))),
+        add(f"sampled_positions_{limit}", on_blobs(lambda b, n=limit: b.select("doc_id", F.explode(B.sample(B.positions(F.col("content"), "74"), n)).alias("position"))),
             O.query(f"SELECT doc_id, unnest({O.sample('pos', limit)}) AS position FROM pos", O.positions({"t": ["74"]})))
     hit_sql = 'SELECT doc_id, hit_no, family, signature_type, "offset", round(confidence, 6) AS confidence FROM hits'
     add("signature_hits", on_blobs(lambda b: signatures.hit_rows(signatures.records(b))), O.query(hit_sql, O.HITS))
@@ -132,13 +124,13 @@ def register(catalog: Catalog) -> None:
         f"SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY -n, i) AS place, name AS kind, n AS hits FROM hit JOIN places USING (name) JOIN ({chosen}) c USING (doc_id) WHERE NOT list_contains(string_split(kinds, ','), name)", policy, ranks))
 
     for name, build, sql in (("generic", candidates.generic, O.GENERIC), ("video", candidates.video, O.VIDEOS)):
-        add(f"candidates_{name}", on_evidence(lambda e, f=build: payload_rows(f(e.with_content()), e.blobs(), PLAN)), O.query(O.payload_hash(), *O.ALL, O.OFFSETS, O.SYNCS, sql))
+        add(f"candidates_{name}", on_evidence(lambda e, f=build: f(e.with_content(), digest=True).select(*PLAN, "payload_sha256")), O.query(O.payload_hash(), *O.ALL, O.OFFSETS, O.SYNCS, sql))
     for kind in ("png", "gif", "bmp", "tiff", "webp"):
-        add(f"candidates_{kind}_legacy", on_blobs(lambda b, k=kind: payload_rows(candidates.legacy(b, k), b, PLAN)), O.legacy(kind))
+        add(f"candidates_{kind}_legacy", on_blobs(lambda b, k=kind: candidates.legacy(b, k, digest=True).select(*PLAN, "payload_sha256")), O.legacy(kind))
     add("candidates_jpeg_legacy", on_blobs(lambda b: candidates.legacy(b, "jpeg").select(*PLAN)))
     for name, lane, sql in (("whole", candidates.jpeg_whole, O.WHOLE), ("soi_eoi", candidates.jpeg_soi, O.FROM_SOI), ("synthetic_soi", candidates.jpeg_synthetic_soi, O.FROM_MARK), ("hints", candidates.jpeg_hints, O.HINTS)):
         add(f"candidates_jpeg_{name}", on_evidence(lambda e, f=lane: candidates.jpeg(e.with_content(), f).select(*PLAN)), O.query(f"SELECT {PLAN_SQL} FROM plans", *O.ALL, O.ANCHORS, O.ranked(sql)))
-    add("candidates_jpeg_rebuild", on_evidence(lambda e: rebuild.rebuild_plans(e.with_content())))
+    add("candidates_jpeg_rebuild", on_evidence(lambda e: rebuild.rebuild_plans(e.with_content())), O.query(O.REBUILT_ROWS, *O.ALL, *O.REBUILD))
     add("nearest_segment", on_blobs(nearest_marker), O.query(
         "SELECT s.doc_id, s.p AS sos, row_number() OVER (PARTITION BY s.doc_id, s.p ORDER BY abs(m.p - s.p), m.p) AS nth, m.p AS marker FROM (SELECT doc_id, unnest(pos) AS p FROM mk WHERE name = 'sos') s "
         "JOIN (SELECT doc_id, unnest(pos) AS p FROM mk WHERE name = 'marker') m USING (doc_id) QUALIFY nth <= 2", O.positions({"sos": [K.SOS], "marker": [K.DQT, K.DHT, *K.SOF]}, "mk")))
@@ -147,7 +139,8 @@ def register(catalog: Catalog) -> None:
         O.positions({"sos": [K.SOS], "marker": [K.SOI, K.APP0, K.APP1, K.DQT, K.DHT, *K.SOF]}, "mk")))
     add("candidate_dedupe", on_evidence(deduped), O.query("SELECT doc_id, count(*) AS plans FROM plans GROUP BY doc_id", *O.RUN))
     add("shared_payloads", on_evidence(shared_payloads), O.query(
-        f"SELECT payload_sha256, count(*) AS plans, count(DISTINCT doc_id) AS files FROM ({O.payload_hash('generic')} UNION ALL {O.payload_hash('video')}) GROUP BY ALL", *O.RUN))
+        f"SELECT payload_sha256, count(*) AS plans, count(DISTINCT doc_id) AS files FROM (SELECT doc_id, payload_sha256 FROM ({O.payload_hash('generic')}) UNION ALL SELECT doc_id, payload_sha256 FROM ({O.payload_hash('video')}) "
+        f"UNION ALL SELECT doc_id, payload_sha256 FROM ({O.payload_hash('jpeg')}) UNION ALL SELECT doc_id, payload_sha256 FROM ({O.REBUILT_ROWS})) GROUP BY ALL", *O.RUN))
 
     add("byte_entropy", on_blobs(lambda b: b.select("doc_id", F.round(B.entropy(F.col("content")), 6).alias("entropy"))), O.query(
         "SELECT x.doc_id, round(coalesce(e.entropy, 0), 6) AS entropy FROM x LEFT JOIN (SELECT doc_id, sum(-n / size::DOUBLE * log2(n / size::DOUBLE)) AS entropy FROM (SELECT doc_id, size, b, count(*) AS n FROM (SELECT doc_id, size, unnest(string_split(rtrim(sx), ' ')) AS b FROM x WHERE size > 0) GROUP BY ALL) GROUP BY doc_id) e USING (doc_id)"))
@@ -176,16 +169,11 @@ def register(catalog: Catalog) -> None:
         add(name, on_evidence(lambda e, k=key: report.by(e.outputs(), k, "success = 1")), O.query(by.format(key, "outputs WHERE success = 1"), *O.RUN))
     kind_of = lambda: F.when(F.col("family").isin(K.VIDEO_KINDS), "video").otherwise("image")
     add("by_output_type", on_evidence(lambda e: report.by(e.outputs(), kind_of(), "success = 1")), O.query(by.format(f"CASE WHEN family IN {O.VIDEO} THEN 'video' ELSE 'image' END", "outputs WHERE success = 1"), *O.RUN))
-    add("top_errors", on_evidence(lambda e: ranked_errors(e.outputs())), O.query(by.format("error", "outputs WHERE success = 0") + " ORDER BY n DESC, key LIMIT 30", *O.RUN))
+    add("top_errors", on_evidence(lambda e: report.by(e.outputs(), "error", "success = 0")), O.query(by.format("error", "outputs WHERE success = 0"), *O.RUN))
+    add("top_errors_legacy", on_evidence(lambda e: report.by(e.outputs(), "error", "success = 0").limit(legacy.MOST_ERRORS)), O.query(by.format("error", "outputs WHERE success = 0") + f" ORDER BY n DESC, key LIMIT {legacy.MOST_ERRORS}", *O.RUN))
     add("one_pass_counts", on_classified(one_pass_counts), O.query("SELECT label, family, anywhere_kind, count(*) AS n FROM classified GROUP BY GROUPING SETS ((label), (family), (anywhere_kind))", *O.ALL))
     shown = ["path", "ord", "strategy", "family", "priority", "phase", "decoder", "ok", "width", "height", "duration_ms", "frame_count", "score", "error"]
     add("attempts_report", on_evidence(lambda e: (lambda a: report.attempt_rows(a, e.classified(), a).withColumn("score", F.round("score", 4)))(e.attempts())), O.query(
         f"SELECT {', '.join('a.ok::INT AS ok' if s == 'ok' else 'c.path' if s == 'path' else 'round(a.score, 4) AS score' if s == 'score' else 'a.' + s for s in shown)} FROM attempts a JOIN classified c ON c.doc_id = a.doc_id", *O.RUN))
-    state = "f AS (SELECT o.doc_id, success, error, m.* EXCLUDE (doc_id) FROM outputs o JOIN marked m ON m.doc_id = o.doc_id WHERE success = 0)"
-    add("recommendations", on_evidence(lambda e: legacy.recommendations(e.failed(*counts))), O.query(
-        "SELECT count(*) AS failed, count_if(soi_count = 0 AND internal_marker_count > 0) AS without_soi, count_if(soi_count > 0 AND eoi_count = 0) AS without_eoi, count_if(sos_count > 0 AND dht_count = 0) AS without_dht, "
-        "count_if(error = 'no_candidate_succeeded') AS no_candidate, count_if(error = 'no_candidate_succeeded') > count(*) * 0.7 AS more_lanes FROM f", *O.RUN, state))
-    add("next_ideas", on_evidence(lambda e: legacy.next_ideas(e.failed(*counts))), O.query(
-        "SELECT doc_id, array_to_string(list_filter([CASE WHEN soi_count = 0 AND internal_marker_count > 0 THEN 'structure without a start of image: rebuild the header' END, CASE WHEN soi_count > 0 AND eoi_count = 0 THEN 'start without an end of image: append one' END, "
-        "CASE WHEN sos_count > 0 AND dht_count = 0 THEN 'scan without Huffman tables: insert standard ones' END, CASE WHEN sos_count = 0 AND rst_count > 0 THEN 'restart markers without a scan header: synthesise one' END, "
-        "CASE WHEN soi_count = 0 AND internal_marker_count = 0 THEN 'no structure: try other kinds' END], lambda s: s IS NOT NULL), '; ') AS ideas FROM f", *O.RUN, state))
+    add("recommendations", on_evidence(lambda e: legacy.recommendations(e.told())), O.query(O.ADVICE, *O.RUN, O.STATE))
+    add("next_ideas", on_evidence(lambda e: legacy.next_ideas(e.told())), O.query(O.ideas(chosen), *O.RUN, O.STATE, policy, ranks))

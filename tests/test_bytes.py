@@ -6,7 +6,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from mendframe.functions import bytes as B
-from mendframe.operators.rebuild import sampled
+from mendframe.functions.bytes import sampled
 
 
 def find_all(data, mark):
