@@ -186,6 +186,11 @@ def read_gif(data: bytes) -> Picture:
     values = np.frombuffer(lzw(b"".join(blocks), least, across * down).ljust(across * down, b"\0"), np.uint8)
     colours = np.frombuffer(table.ljust(768, b"\0")[:768], np.uint8).reshape(256, 3)
     pixels = colours[values].reshape(down, across, 3)
+    if local & 0x40:  # rows come in four passes
+        order = [y for first, step in ((0, 8), (4, 8), (2, 4), (1, 2)) for y in range(first, down, step)]
+        rows = np.empty_like(pixels)
+        rows[order] = pixels
+        pixels = rows
     return Picture(width, height, "P", "GIF", greys(pixels), pixels)
 
 

@@ -123,7 +123,7 @@ def measured_columns(report: Column) -> dict[str, Column]:
     """The same of a column of reports, without Python."""
     told = F.from_json(report, TELEMETRY)
     videos = F.filter(F.coalesce(told["streams"], F.array().cast("array<struct<codec_type:string,width:int,height:int,nb_frames:string>>")), lambda s: s["codec_type"] == "video")
-    last = lambda name: F.coalesce(F.element_at(F.filter(F.transform(videos, lambda s: s[name]), lambda v: v > 0), -1), F.lit(0))
+    last = lambda name: F.coalesce(F.try_element_at(F.filter(F.transform(videos, lambda s: s[name]), lambda v: v > 0), F.lit(-1)), F.lit(0))
     counts = F.transform(videos, lambda s: F.when(s["nb_frames"].rlike(r"^(\d+\.?\d*|\.\d+)$"), F.floor(s["nb_frames"].cast("double"))).otherwise(F.lit(0)).cast("int"))
     sizes = F.when(F.size(videos) > 0, F.try_element_at(F.array_sort(counts), F.lit(-1)))
     return {

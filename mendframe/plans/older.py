@@ -217,7 +217,7 @@ def existing_paths(spark: SparkSession, folder: str) -> DataFrame:
 
 def run(spark: SparkSession, input_root: str, output_root: str, options: Options, report_csv: str, summary_json: str, detail_jsonl: str) -> dict:
     """Recovers the pictures of a folder; writes files, the report (CSV), the details (JSON lines) and the summary."""
-    blobs = corpus.files(spark, input_root, options.recursive, options.all_files)
+    blobs = corpus.files(spark, input_root, options.recursive, options.all_files, complete=True)
     rows, more, made = recovered(blobs, recovery.relative("path", input_root), existing_paths(spark, output_root), options)
     recovery.export(made.withColumn("output_path", F.concat(F.lit(output_root.rstrip("/") + "/"), "output_path")))
     rows.withColumn("success", F.col("success").cast("string")).select(*ROW).orderBy("path").write.mode("overwrite").option("header", "true").option("emptyValue", "").csv(report_csv)

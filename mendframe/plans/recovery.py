@@ -51,7 +51,7 @@ class Run:
 
     def classified(self) -> DataFrame:
         """Classes of the input's files with their bytes."""
-        return classify.classified(corpus.files(self.spark, self.input_root, self.recursive, self.all_files))
+        return classify.classified(corpus.files(self.spark, self.input_root, self.recursive, self.all_files, complete=True))
 
     def scan(self) -> None:
         """Writes files and signatures."""

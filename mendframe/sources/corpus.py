@@ -63,14 +63,39 @@ def declared_kind(path: Column) -> Column:
     return kind_by_extension(F.lower(F.regexp_extract(path, r"[^/]\.([^./]+)$", 1)))
 
 
-def files(spark: SparkSession, folder: str, recursive: bool = False, all_files: bool = False) -> DataFrame:
+def files(spark: SparkSession, folder: str, recursive: bool = False, all_files: bool = False, complete: bool = False) -> DataFrame:
     """Files of a folder as blobs (path, content), only those of a known extension unless all_files.
 
     The extension filter is on the path, so contents of other files are never read. Order isn't part of a DataFrame;
-    sort by path where it matters. Files whose names begin with a dot or an underscore are not listed.
+    sort by path where it matters. Spark's listing leaves out empty files and those whose names begin with a dot or an
+    underscore; complete adds them, by a listing on the driver.
     """
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(folder)
-    return _blobs(found, all_files)
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
+    if not complete:
+        return _blobs(found.load(folder), all_files)
+    hidden, empty = _left_out(spark, folder, recursive)
+    own = _blobs(found.schema(FILE_SCHEMA).load(folder), all_files)
+    if hidden:
+        own = own.unionByName(_blobs(spark.read.format("binaryFile").load(hidden), all_files))
+    nothing = spark.createDataFrame([(p,) for p in empty], "path string").withColumn("content", F.lit(b""))
+    return own.unionByName(_blobs(nothing, all_files))
+
+
+def _left_out(spark: SparkSession, folder: str, recursive: bool) -> tuple[list[str], list[str]]:
+    """Paths of files that Spark's listing leaves out: hidden ones, and empty ones."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    system = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    root = system.getFileStatus(root).getPath()
+    above = len(root.toString().rstrip("/"))
+    hidden, empty, listed = [], [], system.listFiles(root, recursive)
+    while listed.hasNext():
+        status = listed.next()
+        path = status.getPath().toString()
+        if status.getLen() == 0:
+            empty.append(path)
+        elif any(part[:1] in "._" for part in path[above:].strip("/").split("/")):
+            hidden.append(path)
+    return hidden, empty
 
 
 def new_files(spark: SparkSession, folder: str, all_files: bool = False) -> DataFrame:
