@@ -6,9 +6,13 @@ from pyspark.sql import functions as F
 
 from mendframe.functions import kinds as K
 from mendframe.functions.memo import once_a_jvm
-from mendframe.operators.signatures import records, with_jpeg_counts
+from mendframe.operators.signatures import OTHER_COUNTS, jpeg_counts, records, with_counts, with_jpeg_counts
 
 AWAY = "away_from_byte0"
+# fixed values: counts that stand in the evidence of each kind
+EVIDENCE_GROUPS = {
+    "png": ["png_sig_count", "ihdr_count", "idat_count", "iend_count"], "gif": ["gif_header_count"], "bmp": ["bm_count"], "tiff": ["tiff_header_count"], "webp": ["riff_count", "webp_count"],
+}
 
 
 @once_a_jvm
@@ -35,7 +39,7 @@ def _signs() -> dict[str, Column]:
 
 def classified(blobs: DataFrame) -> DataFrame:
     """records() with marker counts, family, label, confidence and jpeg_evidence."""
-    rows = with_jpeg_counts(records(blobs)).withColumns(_signs())
+    rows = with_counts(with_jpeg_counts(records(blobs)), OTHER_COUNTS).withColumns(_signs())
     return rows.withColumn("jpeg_evidence", jpeg_evidence()).withColumns(_decision())
 
 
@@ -78,11 +82,12 @@ def _decision() -> dict[str, Column]:
 
 def evidence(rows: DataFrame, hits: int = 32) -> DataFrame:
     """What a class rests on, as one struct: kinds, hits by family, the first hits, marker counts."""
-    counts = [c for c in rows.columns if c.endswith("_count")]
     families = F.array_sort(F.array_distinct(F.transform("hits", lambda h: h["family"])))
     summary = F.map_from_entries(F.transform(families, lambda f: F.struct(f, F.size(F.filter("hits", lambda h: h["family"] == f)))))
+    first = F.transform(F.slice("hits", 1, hits), lambda h: F.struct(h["family"].alias("family"), h["signature_type"].alias("signature_type"), h["offset"].alias("offset"), (-h["rank"]).alias("confidence")))
+    groups = {"jpeg": list(jpeg_counts())} | EVIDENCE_GROUPS
     return rows.withColumn("evidence", F.struct(
-        "declared_kind", "byte0_kind", "anywhere_kind", summary.alias("signature_summary"), F.slice("hits", 1, hits).alias("signature_hits"), F.struct(*counts).alias("markers"),
+        "declared_kind", "byte0_kind", "anywhere_kind", summary.alias("signature_summary"), first.alias("signature_hits"), *[F.struct(*cs).alias(k) for k, cs in groups.items()],
     ))
 
 

@@ -52,6 +52,24 @@ def walk(data: bytes) -> dict[bytes, list[tuple[int, bytes]]]:
     return found
 
 
+def until_scan(data: bytes, marker: bytes) -> list[bytes]:
+    """Whole segments of a marker in the header: from the start to the first start of scan, segments taken as they follow."""
+    out, at = [], 2 if data.startswith(SOI) else 0
+    while at + 4 <= len(data):
+        at = data.find(b"\xff", at, len(data) - 3)
+        if at < 0 or data[at : at + 2] == SOS:
+            break
+        own, size = data[at : at + 2], int.from_bytes(data[at + 2 : at + 4], "big")
+        if own in (SOI, EOI) or RESTART.match(own):
+            at += 2
+        elif size < 2 or at + 2 + size > len(data):
+            at += 1
+        else:
+            out += [data[at : at + 2 + size]] if own == marker else []
+            at += 2 + size
+    return out
+
+
 def nearest(segments: list[tuple[int, bytes]], target: int, most: int) -> list[tuple[int, bytes]]:
     return sorted(segments, key=lambda s: (abs(target - s[0]), s[0]))[:most]
 

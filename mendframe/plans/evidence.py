@@ -5,6 +5,8 @@ it again and its lineage ends there. Stages are kept for a session and an input
 """
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -16,6 +18,16 @@ from mendframe.plans.store import Files
 from mendframe.sources import corpus
 
 _held: dict[tuple, str] = {}
+_made: list[tuple[SparkSession, str]] = []
+
+
+@atexit.register
+def sweep() -> None:
+    """Deletes the stages that this driver has made."""
+    while _made:
+        spark, path = _made.pop()
+        with contextlib.suppress(Exception):  # the session may be gone
+            Files(spark).delete(path)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -35,6 +47,7 @@ def shared_folder(spark: SparkSession) -> str:
 def written(spark: SparkSession, rows: DataFrame, name: str) -> DataFrame:
     """Writes rows once to the shared folder and reads them back."""
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.append((spark, path))
     rows.write.parquet(path)
     return spark.read.schema(rows.schema).parquet(path)
 
@@ -50,6 +63,7 @@ class Evidence:
         key = (self.spark.sparkContext.applicationId, self.sf_dir, Files(self.spark).changed(f"{self.sf_dir}/documents.parquet"), name)
         if key not in _held:
             path = f"{shared_folder(self.spark)}/{name}-{uuid.uuid4().hex}"
+            _made.append((self.spark, path))
             build().write.parquet(path)
             _held[key] = path
         return self.spark.read.parquet(_held[key])

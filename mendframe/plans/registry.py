@@ -11,7 +11,7 @@ from mendframe.functions import bytes as B
 from mendframe.functions import kinds as K
 from mendframe.operators import candidates, classify, legacy, rebuild, scoring, signatures
 from mendframe.plans import oracles as O
-from mendframe.plans import report
+from mendframe.plans import older, report
 from mendframe.plans.evidence import Evidence
 from mendframe.sources import corpus
 
@@ -83,6 +83,13 @@ def one_pass_counts(classified: DataFrame) -> DataFrame:
     return rows.groupingSets([["label"], ["family"], ["anywhere_kind"]], "label", "family", "anywhere_kind").agg(F.count("*").alias("n"))
 
 
+def older_groupings(blobs: DataFrame) -> DataFrame:
+    """The groupings of the older engine's summary that rest on files alone."""
+    rows = legacy.chosen(blobs).select(
+        F.explode(F.array(*[F.struct(F.lit(name).alias("grouping"), F.coalesce(F.col(c), F.lit("none")).alias("key")) for name, c in (("by_byte0_kind", "byte0"), ("by_declared_kind", "declared"), ("by_selection_policy", "policy"))])).alias("g"))
+    return rows.groupBy("g.grouping", "g.key").agg(F.count("*").alias("n"))
+
+
 def register(catalog: Catalog) -> None:
     """Adds the engine's own queries to the catalog."""
     add = catalog.add
@@ -108,8 +115,12 @@ def register(catalog: Catalog) -> None:
         add(kind, on_blobs(lambda b, k=kind: signatures.records(b).select("doc_id", k)), O.query(f"SELECT doc_id, {kind} FROM records", O.HITS, O.RECORDS))
     add("classify", on_blobs(lambda b: classify.classified(b).select(*CLASS)), O.query(f"SELECT {', '.join(CLASS)} FROM classified", *O.ALL))
     add("jpeg_evidence", on_classified(lambda c: c.select("doc_id", F.round("jpeg_evidence", 6).alias("jpeg_evidence"))), O.query("SELECT doc_id, round(jpeg_evidence, 6) AS jpeg_evidence FROM classified", *O.ALL))
-    add("evidence", on_classified(lambda c: classify.evidence(c).select("doc_id", F.size("evidence.signature_hits").alias("hits"), F.size(F.map_keys("evidence.signature_summary")).alias("families"), F.col("evidence.markers.soi_count").alias("soi_count"))),
-        O.query("SELECT c.doc_id, least(32, count(h.family)) AS hits, count(DISTINCT h.family) AS families, any_value(soi_count) AS soi_count FROM classified c LEFT JOIN hits h USING (doc_id) GROUP BY c.doc_id", *O.ALL))
+    told = {f"{k}_{c}" if not c.startswith(k) else c: f"evidence.{k}.{c}" for k, cs in classify.EVIDENCE_GROUPS.items() for c in cs}
+    add("evidence", on_classified(lambda c: classify.evidence(c).select(
+        "doc_id", F.size("evidence.signature_hits").alias("hits"), F.size(F.map_keys("evidence.signature_summary")).alias("families"), F.coalesce(F.get("evidence.signature_hits", 0)["signature_type"], F.lit("none")).alias("first_hit"),
+        *[F.col(f"evidence.jpeg.{n}").alias(n) for n in O.MARKERS], *[F.col(e).alias(n) for n, e in told.items()])),
+        O.query(f"SELECT c.doc_id, least(32, count(h.family)) AS hits, count(DISTINCT h.family) AS families, coalesce(arg_min(h.signature_type, h.hit_no), 'none') AS first_hit, {', '.join(f'any_value(c.{n}) AS {n}' for n in O.MARKERS)}, "
+                f"{', '.join(f'any_value({O.OTHER[e.rsplit(chr(46), 1)[1]]}) AS {n}' for n, e in told.items())} FROM classified c JOIN x ON x.doc_id = c.doc_id LEFT JOIN hits h ON h.doc_id = c.doc_id GROUP BY c.doc_id", *O.ALL))
     byte0 = O.query("SELECT doc_id, CASE WHEN sx LIKE 'FF D8 %' THEN 'jpeg' WHEN sx LIKE '89 50 4E 47 0D 0A 1A 0A %' THEN 'png' WHEN sx LIKE '47 49 46 38 37 61 %' OR sx LIKE '47 49 46 38 39 61 %' THEN 'gif' WHEN sx LIKE '42 4D %' THEN 'bmp' "
                     "WHEN sx LIKE '49 49 2A 00 %' OR sx LIKE '4D 4D 00 2A %' THEN 'tiff' WHEN sx LIKE '52 49 46 46 %' AND substr(sx, 25, 12) = '57 45 42 50 ' THEN 'webp' ELSE 'unknown' END AS header FROM x")
     add("byte0_kind_legacy", on_blobs(lambda b: b.select("doc_id", classify.legacy_byte0(F.col("content")).alias("header"))), byte0)
@@ -123,6 +134,12 @@ def register(catalog: Catalog) -> None:
     add("fallback_rank_legacy", on_blobs(legacy.fallback_order), O.query(
         f"SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY -n, i) AS place, name AS kind, n AS hits FROM hit JOIN places USING (name) JOIN ({chosen}) c USING (doc_id) WHERE NOT list_contains(string_split(kinds, ','), name)", policy, ranks))
 
+    add("summary_legacy", on_blobs(older_groupings), O.query(f"SELECT grouping, key, count(*) AS n FROM (SELECT unnest([{{'grouping': 'by_byte0_kind', 'key': header}}, {{'grouping': 'by_declared_kind', 'key': coalesce(declared, 'none')}}, {{'grouping': 'by_selection_policy', 'key': policy}}], recursive := true) "
+        f"FROM chosen JOIN ({chosen}) c USING (doc_id)) GROUP BY ALL", policy))
+    add("output_paths_legacy", on_blobs(lambda b: b.select("doc_id", older.output_path(F.col("path"), corpus.declared_kind(F.col("path"))).alias("output_path"))), O.query(
+        "SELECT doc_id, CASE WHEN declared_kind IS NULL AND suffix = '' THEN path || '.png' ELSE path END AS output_path FROM x LEFT JOIN exts USING (suffix)"))
+    add("capped_attempts_legacy", on_evidence(lambda e: e.attempts().where("ord <= 3").select("doc_id", "ord", "strategy")), O.query("SELECT doc_id, ord, strategy FROM attempts WHERE ord <= 3", *O.RUN))
+
     for name, build, sql in (("generic", candidates.generic, O.GENERIC), ("video", candidates.video, O.VIDEOS)):
         add(f"candidates_{name}", on_evidence(lambda e, f=build: f(e.with_content(), digest=True).select(*PLAN, "payload_sha256")), O.query(O.payload_hash(), *O.ALL, O.OFFSETS, O.SYNCS, sql))
     for kind in ("png", "gif", "bmp", "tiff", "webp"):

@@ -66,9 +66,9 @@ class Files:
         finally:
             out.close()
 
-    def names(self, folder: str) -> list[str]:
-        system, own = self._at(folder)
-        return [s.getPath().getName() for s in system.listStatus(own)] if system.exists(own) else []
+    def delete(self, path: str) -> None:
+        system, own = self._at(path)
+        system.delete(own, True)
 
     def changed(self, path: str) -> int:
         """When a file or folder last changed, 0 if it isn't there."""

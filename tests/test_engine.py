@@ -1,15 +1,17 @@
 """Scans, classes and candidates on small blobs."""
 
 import hashlib
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from mendframe.functions import jpeg_tables as J
 from mendframe.operators import candidates, classify, rebuild, scoring, signatures
-from mendframe.plans import evidence, registry
+from mendframe.plans import evidence, registry, store
 from mendframe.plans.store import Store
 from mendframe.sources import corpus
+from mendframe.streaming import intake
 
 
 def picture(spark, size=48):
@@ -219,3 +221,45 @@ def test_files_and_stream(spark, tmp_path):
     stream = classify.classified(corpus.new_files(spark, f"file://{tmp_path}/in")).select("label").writeStream.format("memory").queryName("labels").trigger(availableNow=True).start()
     stream.awaitTermination(120)
     assert [r[0] for r in spark.sql("select label from labels").collect()] == ["jpeg_low_signal"]
+
+
+def test_segments_until_the_scan(spark):
+    data = picture(spark)
+    for marker in ("FFDB", "FFC4", "FFE0"):
+        assert rebuild.until_scan(data, bytes.fromhex(marker)) == [s for at, s in segments_of(data, marker) if at < data.index(b"\xff\xda")]
+    assert rebuild.until_scan(b"\xff\xda" + data, rebuild.DQT) == [] and rebuild.until_scan(b"", rebuild.DQT) == []
+    assert rebuild.until_scan(b"xx\xff\xdb\x00\x04ab\xff\xdb\xff\xffcd", rebuild.DQT) == [b"\xff\xdb\x00\x04ab"]
+
+
+def test_equal_tables_take_one_place():
+    found = [(0, b"a"), (1, b"b"), (2, b"c"), (3, b"d")]
+    assert rebuild.tables(found, "dqt", (2, 1, 2, 4), [("std", b"s")], 4) == [("found_dqt_2", b"ab"), ("found_dqt_1", b"a"), ("found_dqt_4", b"abcd"), ("std", b"s")]
+
+
+def test_many_markers_take_linear_time(spark):
+    took = []
+    for n in (100_000, 1_000_000):
+        rows = blobs(spark, a__jpg=b"\xff\xd8\xff\xda" * n)
+        began = time.time()
+        row = classify.classified(rows).select("soi_count", "label", F.size("hits").alias("hits")).first()
+        took.append(time.time() - began)
+        assert (row["soi_count"], row["label"]) == (n, "jpeg_missing_eoi") and 18 < row["hits"] <= 24
+        assert candidates.every(classify.classified(rows)).count() < 2000
+    assert took[1] < 20 * took[0] + 2
+
+
+def test_arriving_files_are_kept_once(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for name in ("a.jpg", "b.png"):
+        (tmp_path / "in" / name).write_bytes(b"\xff\xd8abc")
+        intake.persist(intake.arriving(spark, f"file://{tmp_path}/in"), f"file://{tmp_path}/out", f"file://{tmp_path}/check").awaitTermination(120)
+    assert sorted(r["path"].rsplit("/", 1)[1] for r in spark.read.parquet(f"file://{tmp_path}/out").collect()) == ["a.jpg", "b.png"]
+
+
+def test_report_files(spark, tmp_path):
+    rows = spark.createDataFrame([("a,b.jpg", "full_file", 1)], "relative_path string, strategy_id string, ok int")
+    store.write_attempts_csv(rows, f"file://{tmp_path}/csv")
+    store.write_json(rows, f"file://{tmp_path}/json")
+    lines = max((p.read_text().splitlines() for p in (tmp_path / "csv").glob("*.csv")), key=len)
+    assert lines[0] == ",".join(store.REPORT_COLUMNS) and lines[1].startswith('"a,b.jpg",full_file,')
+    assert spark.read.json(f"file://{tmp_path}/json").first()["ok"] == 1
