@@ -6,17 +6,24 @@ that an equal subset is a link without a further test. Large sets, and those sma
 stand in inverted lists of the rarest shingles that a partner cannot avoid (n - ceil(0.8 n) + 1 of them); scanning a
 list gives candidates, and candidates are tested on whole sets.
 
-The order of shingles by rarity comes from a pass over all documents: a task counts the shingles that recur among its
-documents, sums that reach FREQUENT go into a table of fixed size by hash, and shingles without an entry are rare. Any
-order is correct, a good one keeps lists short. Equal sets are collapsed first. A list isn't joined with itself: its smallest member is the hub
-that all others are tested against, and only where the links found so far leave a list in several components are the
-members of different components tested against each other. Lists whose shingle the counts show to be frequent are cut
-into parts with a hub each, and the hubs meet in a second list, so no list has to fit a task. Components follow from
-links in rounds of grouped minima.
+Texts are read once. A chunk of documents sends each of its shingles to one of many buckets, packed; a bucket tells each
+chunk which of its shingles other chunks have as well, and in how many sets. What only one set has can't be in an
+intersection, so all later steps work on the rest, and most sets drop out: those with more shingles of their own than a
+link allows. The rest is in the exact order of rarity. Equal sets are collapsed. Two members of a list are a candidate
+only if their sizes and the shingle's positions in them allow a link (`may_link`), which few unrelated ones pass.
+
+A list isn't joined with itself. Its smallest member is the hub that the others are tested against; lists whose shingle
+is frequent are cut into parts with a hub each, and the hubs meet in a second list. Members are also tested against a few
+neighbours in a random order of each list. What the links leave in several components is compared at last: every member
+outside a list's largest component with all members of other components, in blocks, but for pairs that sketches of the
+sets rule out. Candidates are tested on whole sets, those of one hub in parts. Components follow from links in rounds
+of grouped minima. No list, hub or component has to fit a task. Sets over LARGEST_SMALL are never enumerated: their
+subsets outnumber any list's cost.
 
 Defined cases: null texts and texts without words have the empty set and link with nothing; fewer than five words give
-one shingle, the whole sequence; repeated rows and equal sets share a component; an empty table gives an empty result;
-extra columns stay out of the way.
+one shingle, the whole sequence; repeated rows and equal sets share a component; rows without doc_id link like others,
+and a component of only such rows has a null component_id; an empty table gives an empty result; extra columns stay out
+of the way. Shingles are told apart by 48 bits of a hash, sets by 64.
 """
 from __future__ import annotations
 
@@ -28,23 +35,35 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mendframe.llm.components import components
-from mendframe.llm.shared import materialise, small_batches
+from mendframe.llm.shared import estimated_bytes, materialise, own_name, small_batches, tidied
 
 WORDS = 5
 PERCENT = 80
-COUNT_BITS = 20
-FLUSH = 4_000_000
-FREQUENT = 6
+KEY_BYTES = 6
+CHUNK_SHINGLES = 1_000_000
+TEXT_BYTES = 2 << 20
+CHUNK_ROWS = 60_000
+RECURS = 65_535
+LEAST_BUCKETS = 128
+BUCKET_BYTES = 4 << 20
 LARGEST_SMALL = 12
 SCAN_COST = 0.25
 PART_ROWS = 400
-KEPT_BYTES = 6
-MARK_BITS = 22
-BROADCAST_IDS = 1_000_000
+MARK_BITS = 26
+HUB_ROWS = 1000
+NEIGHBOURS = 4
+SKETCH_BITS = 1024
+BLOCK_ROWS = 4096
+PAIRS_AT_ONCE = 1 << 16
+PAIRS_HELD = 1 << 20
+POSTING = "token long, part int, size int, id long, position int"
+LISTED = ["token", "part", "size", "id", "position", "hub", "hub_size", "hub_position"]
+PAIR = "x long, x_size int, y long, y_size int"
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -57,6 +76,8 @@ def finished(h: np.ndarray) -> np.ndarray:
 
 def shingle_sets(texts: pa.Array, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of all texts in one array, sorted within each text, and where each text begins."""
+    if texts.offset:  # pyarrow 23 lowers a cast slice wrongly
+        texts = texts.take(pa.array(np.arange(len(texts))))
     lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "").cast(pa.large_string())))
     coded = pc.dictionary_encode(lists.flatten())
     named = coded.dictionary.to_pylist()
@@ -127,183 +148,463 @@ def boundary(sizes: dict[int, int], lists: float, percent: int = PERCENT) -> int
     return best
 
 
-def _posting_rows(shingles, starts, keys, counts, most_small, percent, known):
-    """Arrays of postings (token, salt, need, set, size) of the sets of a batch that this task hasn't posted yet."""
-    out: list[tuple[np.ndarray, ...]] = []
+def planes(keys: np.ndarray) -> bytes:
+    """KEY_BYTES bytes of each key, most significant ones of all keys first: sorted keys compress that way."""
+    return np.ascontiguousarray(keys.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 8 - KEY_BYTES :].T).tobytes()
+
+
+def keys_of(data: np.ndarray, n: int) -> np.ndarray:
+    out = np.zeros((n, 8), np.uint8)
+    out[:, 8 - KEY_BYTES :] = data[: n * KEY_BYTES].reshape(KEY_BYTES, n).T
+    return out.view(">u8").ravel().astype(np.int64)
+
+
+def raw(value: pa.Scalar) -> np.ndarray:
+    return np.frombuffer(value.as_buffer(), np.uint8)
+
+
+ROWS = "bucket int, kind int, chunk long, n int, payload binary"
+MEMBERS, RECURRING, ENTRIES, ANSWERS = range(4)
+
+
+def chunk_rows(chunk: int, buckets: int, ids: np.ndarray, named: np.ndarray, shingles: np.ndarray, starts: np.ndarray) -> pa.RecordBatch:
+    """What a chunk of documents tells: its members, the shingles that recur in it, and by bucket each shingle once."""
+    one, two = set_keys(shingles, starts)
     sizes = np.diff(starts)
-    fresh = []
-    for i, k in enumerate(keys.tolist()):
-        if sizes[i] and k not in known:
-            known.add(k)
-            fresh.append(i)
-    fresh = np.array(fresh, np.int64)
-    small = fresh[sizes[fresh] <= most_small]
-    # sets that no larger partner can reach need no list; a partner of size n + 1 or more needs n >= percent of it
-    listed = fresh[100 * sizes[fresh] >= percent * (most_small + 1)]
-    tokens, owners, needs = [], [], []
-    with np.errstate(over="ignore"):
-        for i in small.tolist():
-            own = shingles[starts[i] : starts[i + 1]]
-            n = len(own)
-            for m in partner_sizes(n, percent):
-                c = overlap(n, m, percent)
-                tag = np.uint64((min(m, n) << 20) + max(m, n))
-                parts = np.array(list(combinations(range(n), c)), np.int64).reshape(-1, c)
-                tokens.append(finished(finished(own[parts]).sum(axis=1, dtype=np.uint64) * MIX + tag))
-                owners.append(np.full(len(parts), i))
-                needs.append(np.full(len(parts), min(m, n)))
-        if small.size:
-            out.append((np.concatenate(tokens), np.concatenate(owners), np.concatenate(needs), np.zeros(sum(map(len, tokens)), np.int64)))
-        if listed.size:
-            size = sizes[listed]
-            owner = np.repeat(listed, size)
-            index = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(starts[listed], size)
-            token = shingles[index]
-            count = counts[(token >> np.uint64(64 - COUNT_BITS)).astype(np.int64)]
-            order = np.lexsort((token, count, owner))
-            rank = np.arange(len(order)) - np.repeat(np.cumsum(size) - size, size)
-            kept = order[rank < np.repeat(prefix_length(size, percent), size)]
-            out.append((token[kept], owner[kept], np.zeros(len(kept), np.int64), count[kept]))
-    return out, sizes
-
-
-def candidate_lists(docs: DataFrame, counts: np.ndarray, most_small: int, percent: int, words: int) -> DataFrame:
-    """Postings (token, salt, need, set, size); need > 0 marks subsets, with the size that a hub must have."""
-    shared = docs.sparkSession.sparkContext.broadcast(counts)  # 2^COUNT_BITS numbers
+    order = np.lexsort((np.where(named, ids, np.iinfo(np.int64).max), one))
+    new = np.ones(len(order), bool)
+    new[1:] = one[order][1:] != one[order][:-1]
+    owners = np.sort(order[new & (sizes[order] > 0)])  # equal sets speak once, by the smallest doc_id
+    own = np.repeat(owners, sizes[owners])
+    at = np.arange(len(own)) - np.repeat(np.cumsum(sizes[owners]) - sizes[owners], sizes[owners]) + np.repeat(starts[owners], sizes[owners])
+    key = (shingles[at] >> np.uint64(64 - 8 * KEY_BYTES)).astype(np.int64)
+    order = np.argsort(key, kind="stable")
+    key, own = key[order], own[order]
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.empty(0, np.int64)
+    run = np.diff(np.append(first, len(key)))
+    again = np.repeat(run > 1, run)
+    members = np.concatenate([x.astype(np.int64) for x in (ids, named, sizes, one, two)]).tobytes()
+    recurring = np.concatenate([key[first][run > 1], run[run > 1], own[again]]).astype(np.int64).tobytes()
+    token, owner = key[first], np.where(run > 1, RECURS, own[first]).astype(np.uint16)
+    bucket = (token >> (8 * KEY_BYTES - 32)) * buckets >> 32
+    cuts = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket)) if len(bucket) else np.zeros(1, np.int64)
+    numbers, counts, payloads = [], [], []
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        numbers.append(int(bucket[a]))
+        counts.append(b - a)
+        payloads.append(planes(token[a:b]) + owner[a:b].tobytes() + run[a:b][run[a:b] > 1].astype(np.uint32).tobytes())
+    home = chunk * 2654435761 % buckets
+    kinds = [MEMBERS, RECURRING, *[ENTRIES] * len(counts)]
+    return pa.RecordBatch.from_arrays(
+        [pa.array([home, home, *numbers], pa.int32()), pa.array(kinds, pa.int32()), pa.array([chunk] * len(kinds), pa.int64()), pa.array([len(ids), int((run > 1).sum()), *counts], pa.int32()), pa.array([members, recurring, *payloads], pa.binary())],
+        names=["bucket", "kind", "chunk", "n", "payload"],
+    )
+
+
+def chunked(rows: DataFrame, words: int, buckets: int) -> DataFrame:
+    """chunk_rows() of rows (doc_id, text), some CHUNK_SHINGLES at a time; the only pass over texts."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        task, nth = TaskContext.get().partitionId() << 32, 0
+
+        def closed() -> pa.RecordBatch:
+            ids, named, shingles, sizes = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            return chunk_rows(task + nth, buckets, ids, named, shingles, np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64))
 
-    def post(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: set[int] = set()
         for batch in batches:
-            shingles, starts = shingle_sets(batch.column(0), words)
-            key = set_keys(shingles, starts)[0]
-            parts, sizes = _posting_rows(shingles, starts, key, shared.value, most_small, percent, known)
-            for token, owner, need, count in parts:
-                # frequent shingles: as many parts as it takes for a part to stay near PART_ROWS
-                split = np.maximum(1, count // PART_ROWS).astype(np.int64)
-                salt = np.where(split > 1, (key[owner].view(np.uint64) >> np.uint64(3)).astype(np.int64) % split, 0)
-                columns = [token.view(np.int64), np.where(split > 1, salt, -1), need, key[owner], sizes[owner]]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["token", "salt", "need", "id", "size"])
+            # slices of some TEXT_BYTES: what a text's words need in arrays is many times the text
+            before = np.concatenate([[0], np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(1)), 0)).astype(np.int64))])
+            at = 0
+            while at < batch.num_rows:
+                to = max(at + 1, int(np.searchsorted(before, before[at] + TEXT_BYTES)) - 1)
+                part = batch.slice(at, min(to - at, CHUNK_ROWS))
+                at += part.num_rows
+                if held and sum(len(h[0]) for h in held) + part.num_rows > CHUNK_ROWS:
+                    yield closed()
+                    nth += 1
+                shingles, starts = shingle_sets(part.column(1), words)
+                held.append((np.asarray(pc.fill_null(part.column(0), 0)), np.asarray(part.column(0).is_valid()), shingles, np.diff(starts)))
+                if sum(len(h[2]) for h in held) > CHUNK_SHINGLES:
+                    yield closed()
+                    nth += 1
+        if held:
+            yield closed()
+
+    return rows.mapInArrow(tidied(run), ROWS)
+
+
+def answered(told: DataFrame) -> DataFrame:
+    """For each chunk the shingles that other chunks have too, with their numbers of sets; members and recurring ones pass through.
+
+    A bucket's entries are those of one range of shingles; buckets stream by, one at a time is held.
+    """
+
+    def answers(entries: list[tuple[int, int, np.ndarray]]) -> pa.RecordBatch:
+        keys, owners, counts = [], [], []
+        for _, n, data in entries:
+            keys.append(keys_of(data, n))
+            owner = data[n * KEY_BYTES : n * (KEY_BYTES + 2)].view(np.uint16)
+            count = np.ones(n, np.int64)
+            count[owner == RECURS] = data[n * (KEY_BYTES + 2) :].copy().view(np.uint32)
+            owners.append(owner)
+            counts.append(count)
+        key, count = np.concatenate(keys), np.concatenate(counts)
+        order = np.argsort(key, kind="stable")
+        ranked = key[order]
+        first = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1]))
+        run = np.diff(np.append(first, len(key)))
+        sets, shared = np.empty(len(key), np.int64), np.empty(len(key), bool)
+        sets[order] = np.repeat(np.add.reduceat(count[order], first), run)
+        shared[order] = np.repeat(run > 1, run)
+        chunks, numbers, payloads, at = [], [], [], 0
+        for (chunk, n, _), k, o in zip(entries, keys, owners, strict=True):
+            here, in_sets = shared[at : at + n], sets[at : at + n]
+            at += n
+            if here.any():
+                chunks.append(chunk)
+                numbers.append(int(here.sum()))
+                payloads.append(planes(k[here]) + o[here].tobytes() + np.minimum(in_sets[here], 0xFFFFFFFF).astype(np.uint32).tobytes())
+        return pa.RecordBatch.from_arrays(
+            [pa.array(chunks, pa.int64()), pa.array([ANSWERS] * len(chunks), pa.int32()), pa.array(numbers, pa.int32()), pa.array(payloads, pa.binary())], names=["chunk", "kind", "n", "payload"]
+        )
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, entries = None, []
+        for batch in batches:
+            numbers, kinds = batch.column(0).to_pylist(), np.asarray(batch.column(1))
+            yield batch.select(["chunk", "kind", "n", "payload"]).filter(pa.array(kinds != ENTRIES))
+            chunks, counts = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            for i in np.flatnonzero(kinds == ENTRIES).tolist():
+                if numbers[i] != bucket and entries:
+                    yield answers(entries)
+                    entries = []
+                bucket = numbers[i]
+                entries.append((chunks[i], counts[i], raw(batch.column(4)[i]).copy()))
+        if entries:
+            yield answers(entries)
+
+    return told.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(tidied(run), "chunk long, kind int, n int, payload binary")
 
-    return docs.select("text").mapInArrow(post, "token long, salt long, need long, id long, size long")
 
+def members_of(told: DataFrame) -> DataFrame:
+    """doc_id, n, id and other (two digests of the set) of all documents."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for value in batch.column(0):
+                ids, named, n, one, two = raw(value).view(np.int64).reshape(5, -1)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, mask=named == 0), pa.array(n), pa.array(one), pa.array(two)], names=["doc_id", "n", "id", "other"])
 
-def scan_lists(postings: DataFrame, percent: int) -> DataFrame:
-    """(token, salt, need, hub, hub_size, id, size) for each member of a list behind its hub, the first by size and id.
+    return told.where(F.col("kind") == MEMBERS).select("payload").mapInArrow(run, "doc_id long, n long, id long, other long")
 
-    Rows stream in order of lists; only the hub is held. A hub that heads a salted part is also given alone (id null).
+
+def shared_sets(told: DataFrame, percent: int, twins: list[int]) -> DataFrame:
+    """Sets that can link with another one, by what they share with any other set.
+
+    A row has the set's size, how many of its shingles no other set has, the others sorted (items), those of them that
+    belong to its prefix, rarest first, and in how many sets those are. Sets whose prefix is all their own are left out.
+    A sketch has a bit for each of SKETCH_BITS groups of shingles: whether the set holds an odd number of its items.
     """
-    placed = postings.repartition("token", "salt", "need").sortWithinPartitions("token", "salt", "need", "size", "id")
+
+    def assemble(parts: list[tuple[int, int, np.ndarray]]) -> pa.RecordBatch:
+        by_kind = {kind: [(n, data) for k, n, data in parts if k == kind] for kind in (MEMBERS, RECURRING, ANSWERS)}
+        ids, named, sizes, one, two = by_kind[MEMBERS][0][1].view(np.int64).reshape(5, -1)
+        many, flat = by_kind[RECURRING][0]
+        flat = flat.view(np.int64)
+        repeated, times, owners = flat[:many], flat[many : 2 * many].copy(), flat[2 * many :]
+        runs = times.copy()
+        keys, own, sets = [], [], []
+        for n, data in by_kind[ANSWERS]:
+            keys.append(keys_of(data, n))
+            own.append(data[n * KEY_BYTES : n * (KEY_BYTES + 2)].view(np.uint16).astype(np.int64))
+            sets.append(data[n * (KEY_BYTES + 2) :].copy().view(np.uint32).astype(np.int64))
+        key, owner, count = (np.concatenate([np.empty(0, np.int64), *x]) for x in (keys, own, sets))
+        recurs = owner == RECURS
+        times[np.searchsorted(repeated, key[recurs])] = count[recurs]
+        key = np.concatenate([key[~recurs], np.repeat(repeated, runs)])
+        owner = np.concatenate([owner[~recurs], owners])
+        count = np.concatenate([count[~recurs], np.repeat(times, runs)])
+        held = np.bincount(owner, minlength=len(sizes))
+        unique = sizes - held
+        room = prefix_length(sizes, percent) - unique  # places of the prefix that shared shingles take
+        able = np.flatnonzero((held > 0) & (room > 0))
+        fine = (room > 0)[owner]
+        key, owner, count = key[fine], owner[fine], count[fine]
+        order = np.lexsort((key, owner))
+        items, ends = key[order], np.cumsum(held[able])
+        order = np.lexsort((key, count, owner))
+        nth = np.arange(len(order)) - np.repeat(ends - held[able], held[able])
+        order = order[nth < room[owner[order]]]
+        prefix, count = key[order], count[order]
+        cuts = np.cumsum(np.minimum(held, room)[able])
+
+        def blobs(values: np.ndarray, upto: np.ndarray) -> pa.Array:
+            places = pa.py_buffer((np.concatenate([[0], upto]) * 8).astype(np.int32))
+            return pa.Array.from_buffers(pa.binary(), len(upto), [None, places, pa.py_buffer(np.ascontiguousarray(values.astype(np.int64)))])
+
+        place = np.repeat(np.arange(len(able)), held[able]) * SKETCH_BITS + (finished(items.view(np.uint64)) >> np.uint64(64 - SKETCH_BITS.bit_length() + 1)).astype(np.int64)
+        sketches = np.packbits((np.bincount(place, minlength=len(able) * SKETCH_BITS) & 1).astype(np.uint8))
+        digest = np.where(np.isin(one, np.array(twins, np.int64)), two, one)[able]
+        columns = [pa.array(ids[able], mask=named[able] == 0), pa.array(digest), pa.array(sizes[able].astype(np.int32)), pa.array(unique[able].astype(np.int32))]
+        return pa.RecordBatch.from_arrays([*columns, blobs(items, ends), blobs(prefix, cuts), blobs(count, cuts), blobs(sketches.view(np.int64), np.arange(1, len(able) + 1) * (SKETCH_BITS // 64))], names=["doc_id", "id", "size", "unique", "items", "prefix", "sets", "sketch"])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, parts = None, []
+        for batch in batches:
+            chunks, kinds, counts = (batch.column(i).to_pylist() for i in range(3))
+            for i, c in enumerate(chunks):
+                if c != chunk and parts:
+                    yield assemble(parts)
+                    parts = []
+                chunk = c
+                parts.append((kinds[i], counts[i], raw(batch.column(3)[i]).copy()))
+        if parts:
+            yield assemble(parts)
+
+    placed = told.repartition("chunk").sortWithinPartitions("chunk")
+    return placed.mapInArrow(tidied(run), "doc_id long, id long, size int, unique int, items binary, prefix binary, sets binary, sketch binary")
+
+
+def subset_postings(items: np.ndarray, n: int, percent: int) -> Iterator[tuple[np.ndarray, int]]:
+    """(tokens, need) for each size of a partner of a small set: its subsets of the size of their least intersection.
+
+    n is the set's size, items what it shares with any other set: no other shingle can be in an intersection. need is
+    the smaller size of the two.
+    """
+    with np.errstate(over="ignore"):
+        for m in partner_sizes(n, percent):
+            c = overlap(n, m, percent)
+            parts = np.array(list(combinations(range(len(items)), c)), np.int64).reshape(-1, c)
+            tag = np.uint64((min(m, n) << 20) + max(m, n))
+            yield finished(finished(items.view(np.uint64)[parts]).sum(axis=1, dtype=np.uint64) * MIX + tag).view(np.int64), min(m, n)
+
+
+def candidate_lists(sets: DataFrame, most_small: int, percent: int) -> DataFrame:
+    """Postings (token, part, size, id, position): part is -need for subsets, 0 for a whole list, 1, 2... for parts of one."""
+
+    def post(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[list[np.ndarray]] = [[] for _ in range(5)]
+
+            def add(token, part, size, ident, position) -> None:
+                ones = np.ones(len(token), np.int64)
+                for held, x in zip(out, (token, part * ones, size * ones, ident * ones, position * ones), strict=True):
+                    held.append(x)
+
+            numbers = zip(*(batch.column(i).to_pylist() for i in range(3)), *(batch.column(i) for i in range(3, 6)), strict=True)
+            for ident, size, unique, items, prefix, counts in numbers:
+                if size <= most_small:
+                    for token, need in subset_postings(np.frombuffer(items.as_buffer(), np.int64), size, percent):
+                        add(token, -need, size, ident, 0)
+                # sets that no larger partner can reach need no list; a partner of size n + 1 or more needs n >= percent of it
+                if 100 * size >= percent * (most_small + 1):
+                    token = np.frombuffer(prefix.as_buffer(), np.int64)
+                    # frequent shingles: as many parts as it takes for a part to stay near PART_ROWS
+                    split = np.frombuffer(counts.as_buffer(), np.int64) // PART_ROWS
+                    add(token, np.where(split > 1, 1 + (ident & (1 << 60) - 1) % np.maximum(split, 1), 0), size, ident, unique + np.arange(len(token)))
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.int64), *x]), t) for x, t in zip(out, kinds, strict=True)], names=["token", "part", "size", "id", "position"])
+
+    return sets.select("id", "size", "unique", "items", "prefix", "sets").mapInArrow(post, POSTING)
+
+
+def scan_lists(postings: DataFrame) -> DataFrame:
+    """The distinct members of each list of two or more, each with the list's hub: its first by size and id.
+
+    Rows stream in order of lists; only the hub and one row are held. The hub of a part is given even where it is alone.
+    """
+    placed = postings.repartition("token", "part").sortWithinPartitions("token", "part", "size", "id")
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None  # token, salt, need, hub, hub size, id
+        held, hub = None, None  # the last row, and the hub of its list, not given while it may be alone
         for batch in batches:
-            if not batch.num_rows:
+            rows = [np.asarray(batch.column(i)) for i in range(5)]
+            if held is not None:
+                rows = [np.concatenate([[h], x]).astype(x.dtype) for h, x in zip(held, rows, strict=True)]
+            if not len(rows[0]):
                 continue
-            token, salt, need, ident, size = (np.asarray(batch.column(i)) for i in range(5))
+            token, part, size, ident, position = rows
             new = np.ones(len(token), bool)
-            new[1:] = (token[1:] != token[:-1]) | (salt[1:] != salt[:-1]) | (need[1:] != need[:-1])
+            new[1:] = (token[1:] != token[:-1]) | (part[1:] != part[:-1])
             again = np.zeros(len(token), bool)
             again[1:] = ~new[1:] & (ident[1:] == ident[:-1])
-            if last is not None and (token[0], salt[0], need[0]) == last[:3]:
-                new[0] = False
-                again[0] = ident[0] == last[5]
-            at = np.where(new, np.arange(len(token)), -1)
-            at = np.maximum.accumulate(at)
-            hub, hub_size = ident[np.maximum(at, 0)].copy(), size[np.maximum(at, 0)].copy()
-            if last is not None:
-                hub[at < 0], hub_size[at < 0] = last[3], last[4]
-            last = (token[-1], salt[-1], need[-1], hub[-1], hub_size[-1], ident[-1])
-            kept = np.flatnonzero((~new & ~again) | (new & (salt >= 0)))
-            alone = new[kept]
-            arrays = [pa.array(x[kept]) for x in (token, salt, need, hub, hub_size)]
-            yield pa.RecordBatch.from_arrays(
-                [*arrays, pa.array(ident[kept], mask=alone), pa.array(size[kept], mask=alone)], names=["token", "salt", "need", "hub", "hub_size", "id", "size"]
-            )
-
-    return placed.mapInArrow(scan, "token long, salt long, need long, hub long, hub_size long, id long, size long")
-
-
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of sets that link, tested on whole sets (id, items binary); sets are exchanged once for both sides."""
-    left, right = (sets.select(F.col("id").alias(s), F.col("items").alias(f"{s}_items")) for s in ("a", "b"))
+            rows = [x[~again] for x in rows]
+            token, part, size, ident, position = rows
+            new = new[~again]
+            going = held is not None and hub is not None
+            first = np.maximum.accumulate(np.where(new, np.arange(len(token)), 0))
+            heads = [x[first] for x in (ident, size, position)]
+            if going:
+                for x, h in zip(heads, hub, strict=True):
+                    x[first == 0] = h
+            last = np.append(new[1:], False)  # ends its list, as far as this batch shows
+            alone = new & last & (part <= 0)
+            if going:
+                alone[0] = False
+            given = ~alone
+            given[-1] = False  # the last row waits for the next batch
+            yield pa.RecordBatch.from_arrays([pa.array(x[given]) for x in (*rows, *heads)], names=LISTED)
+            held, hub = [x[-1] for x in rows], None if new[-1] and not (going and len(token) == 1) else [x[-1] for x in heads]
+        if held is not None and (hub is not None or held[1] > 0):
+            hub = hub or [held[3], held[2], held[4]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.array([x])) for x in (*held, *hub)], names=LISTED)
+
+    return placed.mapInArrow(scan, POSTING + ", hub long, hub_size int, hub_position int")
+
+
+def may_link(size_a, place_a, size_b, place_b, percent: int):
+    """Whether sets of these sizes whose first common shingle is at these positions can link; works on numbers and columns.
+
+    What comes before the first common shingle in either is not common, so min(size - position) bounds the intersection.
+    """
+    least = percent * (size_a + size_b)
+    return ((100 + percent) * (size_a - place_a) >= least) & ((100 + percent) * (size_b - place_b) >= least) & (100 * size_a >= percent * size_b) & (100 * size_b >= percent * size_a)
+
+
+def ordered_pairs(rows: DataFrame, left: tuple[str, str], right: tuple[str, str]) -> DataFrame:
+    """Distinct pairs (a, b): a the set that is smaller by size and id; left and right name id and size columns."""
+    x, y = F.struct(F.col(left[1]).alias("s"), F.col(left[0]).alias("i")), F.struct(F.col(right[1]).alias("s"), F.col(right[0]).alias("i"))
+    return rows.select(F.least(x, y)["i"].alias("a"), F.greatest(x, y)["i"].alias("b")).where("a <> b").distinct()
+
+
+def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that link, tested on sets (id, size, items). The b sides come to the set of a, in parts where a has many."""
+    parts = pairs.groupBy("a").agg(F.expr(f"cast(ceil(count(*) / {HUB_ROWS}) as int)").alias("parts"))
+    own = sets.select("id", "size", "items")
+    sides = pairs.join(parts, "a").join(own.withColumnRenamed("id", "b"), "b").select("a", F.expr("cast(pmod(xxhash64(b), parts) as int)").alias("part"), "b", "size", "items")
+    heads = parts.join(own.withColumnRenamed("id", "a"), "a").select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("b"), "size", "items")
+    placed = heads.unionByName(sides).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
 
     def test(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head, most = np.empty(0, np.int64), 0
         for batch in batches:
-            kept = []
-            for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
-                both = np.concatenate([unpacked(x.as_buffer()), unpacked(y.as_buffer())])
-                total = len(both)
+            heads, sizes, kept = batch.column(2).is_null().to_pylist(), batch.column(3).to_pylist(), []
+            for i, items in enumerate(batch.column(4)):
+                mine = np.frombuffer(items.as_buffer(), np.int64)
+                if heads[i]:
+                    head, most = mine.copy(), sizes[i]
+                    continue
+                both = np.concatenate([head, mine])
                 both.sort(kind="stable")
                 common = int((both[1:] == both[:-1]).sum())
-                if 100 * common >= percent * (total - common):
+                if 100 * common >= percent * (most + sizes[i] - common):
                     kept.append(i)
             yield batch.select(["a", "b"]).take(pa.array(kept, pa.int64()))
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "a_items", "b_items").mapInArrow(test, "a long, b long")
-
+    return placed.mapInArrow(test, "a long, b long")
 
-def packed(shingles: np.ndarray) -> bytes:
-    """The low 48 bits of each hash: equal by chance in about one of 1e8 pairs of sets of a thousand shingles."""
-    return shingles.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEPT_BYTES].tobytes()
 
+def marked(rows: DataFrame, ids: DataFrame, flag: str) -> DataFrame:
+    """rows with a flag that is true for every doc_id in ids and, by chance, for some others.
 
-def unpacked(data) -> np.ndarray:
-    raw = np.frombuffer(data, np.uint8).reshape(-1, KEPT_BYTES)
-    out = np.zeros((len(raw), 8), np.uint8)
-    out[:, :KEPT_BYTES] = raw
-    return out.view("<u8").ravel()
-
+    The flags lie in a bitmap of 2^MARK_BITS bits, broadcast as rows of 64: 2^(MARK_BITS - 6) rows at most.
+    """
+    spot, word, bits = (own_name(rows, n) for n in ("mark_place", "mark_word", "mark_bits"))
+    place = F.shiftrightunsigned(F.xxhash64("doc_id"), 64 - MARK_BITS)
+    bit = F.expr(f"shiftleft(cast(1 as bigint), cast({spot} & 63 as int))")
+    marks = ids.select(place.alias(spot)).select(F.shiftright(spot, 6).alias(word), bit.alias("bit")).groupBy(word).agg(F.bit_or("bit").alias(bits))
+    placed = rows.withColumn(spot, place).withColumn(word, F.shiftright(spot, 6)).join(F.broadcast(marks), word, "left")
+    return placed.withColumn(flag, F.coalesce(F.col(bits).bitwiseAND(bit) != 0, F.lit(False))).select(*rows.columns, flag)
 
-def mark_of(ids: np.ndarray) -> np.ndarray:
-    """Places of ids in a bitmap of 2^MARK_BITS bits."""
-    with np.errstate(over="ignore"):
-        return (finished(ids.astype(np.int64).view(np.uint64) * MIX) >> np.uint64(64 - MARK_BITS)).astype(np.int64)
 
+def merged(parts: DataFrame, links: DataFrame) -> DataFrame:
+    """parts (id, component) after links (a, b) of ids, through the components of links between components."""
+    left, right = (parts.select(F.col("id").alias(s), F.col("component").alias(f"{s}_part")) for s in ("a", "b"))
+    between = links.join(left, "a").join(right, "b").where("a_part <> b_part").select(F.col("a_part").alias("a"), F.col("b_part").alias("b"))
+    roots = components(between).select(F.col("node").alias("component"), F.col("component").alias("root"))
+    return materialise(parts.join(roots, "component", "left").select("id", F.coalesce("root", "component").alias("component")), "parts")
 
-def sets_of(rows: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """Whole sets (id, items) of the documents in wanted (doc_id), and of some others, made anew from their texts.
 
-    While wanted is small against a bitmap of fixed size, the bitmap tells tasks which texts to read; beyond that texts
-    are joined with wanted.
-    """
-    spark = rows.sparkSession
-    wanted = materialise(wanted.distinct(), "wanted")
+def sketches_allow(size_a, held_a, sketch_a, size_b, held_b, sketch_b, percent: int) -> np.ndarray:
+    """Whether pairs of sets (size, number of items, sketch) can link: each bit that differs is an item of only one."""
+    apart = np.bitwise_count(sketch_a ^ sketch_b).sum(axis=1, dtype=np.int64)
+    return (100 + percent) * (held_a + held_b - apart) >= 2 * percent * (size_a + size_b)
 
-    def sets(texts: pa.Array) -> pa.RecordBatch:
-        shingles, starts = shingle_sets(texts, words)
-        one, _ = set_keys(shingles, starts)
-        raw = [packed(shingles[a:b]) for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array(one), pa.array(raw, pa.binary())], names=["id", "items"])
 
-    if wanted.count() <= 1 << (MARK_BITS - 3):
-        marked = np.zeros(1 << MARK_BITS, bool)
+def open_lists(listed: DataFrame, parts: DataFrame) -> DataFrame:
+    """Rows of the lists whose members are in several components; main tells the members of the list's largest one."""
+    rows = listed.join(parts, "id")
+    shares = rows.groupBy("token", "component").agg(F.count("*").alias("n"))
+    chief = shares.groupBy("token").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("rows")).where("top.n < rows")
+    joined = rows.join(chief.select("token", F.col("top.component").alias("chief"), "rows"), "token")
+    return joined.select("token", "id", "size", "position", "component", (F.col("component") == F.col("chief")).alias("main"), "rows")
 
-        def places(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                yield pa.RecordBatch.from_arrays([pa.array(np.unique(mark_of(np.asarray(batch.column(0)))))], names=["place"])
 
-        for r in wanted.mapInArrow(places, "place long").distinct().toLocalIterator():  # at most an eighth of the bitmap
-            marked[r["place"]] = True
-        shared = spark.sparkContext.broadcast(np.packbits(marked))
+def chained(listed: DataFrame, percent: int) -> DataFrame:
+    """Pairs of near neighbours, the members of each list in a random order of its own."""
+    placed = listed.select("token", "id", "size", "position").withColumn("turn", F.xxhash64("token", "id")).repartition("token").sortWithinPartitions("token", "turn")
 
-        def chosen(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            bits = np.unpackbits(shared.value).astype(bool)
-            for batch in batches:
-                known = batch.filter(batch.column(0).is_valid())
-                yield sets(known.filter(pa.array(bits[mark_of(np.asarray(known.column(0)))])).column(1))
+    def neighbours(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            rows = [np.asarray(batch.column(n)) for n in ("token", "id", "size", "position")]
+            if held is not None:
+                rows = [np.concatenate([h, x]) for h, x in zip(held, rows, strict=True)]
+            token, ident, size, position = rows
+            found = []
+            for step in range(1, NEIGHBOURS + 1):
+                x, y = slice(None, -step), slice(step, None)
+                fine = (token[x] == token[y]) & may_link(size[x].astype(np.int64), position[x], size[y].astype(np.int64), position[y], percent)
+                found.append([z[s][fine] for s in (x, y) for z in (ident, size)])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], names=["x", "x_size", "y", "y_size"])
+            held = [z[-NEIGHBOURS:] for z in rows]
 
-        return rows.mapInArrow(chosen, "id long, items binary")
+    return ordered_pairs(placed.mapInArrow(neighbours, PAIR), ("x", "x_size"), ("y", "y_size"))
 
-    def every(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield sets(batch.column(0))
 
-    return rows.join(wanted, "doc_id").select("text").mapInArrow(every, "id long, items binary")
+def crossed(opened: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """All pairs of different components that a list's sizes, positions and sketches allow.
 
+    Long lists go in parts: a member of the largest component in one, any other in all, and it meets the members at home there.
+    """
+    parts = F.ceil(F.col("rows") / BLOCK_ROWS).cast("int")
+    home = F.expr(f"cast(pmod(xxhash64(id), cast(ceil(rows / {BLOCK_ROWS}) as int)) as int)")
+    opened = opened.join(sets.select("id", (F.col("size") - F.col("unique")).alias("held"), "sketch"), "id")
+    dealt = opened.withColumn("home", home).withColumn("part", F.explode(F.when(F.col("main"), F.array("home")).otherwise(F.sequence(F.lit(0), parts - 1))))
+    placed = dealt.select("token", "part", "id", "size", "position", "component", "main", (F.col("home") == F.col("part")).alias("home"), "held", "sketch").repartition("token", "part").sortWithinPartitions("token", "part")
+
+    def cross(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, names = None, ["token", "part", "id", "size", "position", "component", "main", "home", "held"]
+        found: list[np.ndarray] = []
+
+        def pairs(rows) -> None:
+            _, _, ident, size, position, component, main, home, held, sketch = rows
+            size, held = size.astype(np.int64), held.astype(np.int64)
+            others, own = np.flatnonzero(~main), np.flatnonzero(home)
+            for at in range(0, len(others), step := max(1, PAIRS_AT_ONCE // max(1, len(own)))):
+                x, y = others[at : at + step, None], own[None, :]
+                fine = (component[x] != component[y]) & may_link(size[x], position[x], size[y], position[y], percent)
+                i, j = np.nonzero(fine)
+                i, j = others[at + i], own[j]
+                fine = sketches_allow(size[i], held[i], sketch[i], size[j], held[j], sketch[j], percent)
+                i, j = i[fine], j[fine]
+                swap = (size[i] > size[j]) | ((size[i] == size[j]) & (ident[i] > ident[j]))
+                found.append(np.stack([ident[np.where(swap, j, i)], ident[np.where(swap, i, j)]], axis=1))
+
+        def given() -> pa.RecordBatch:
+            both = np.unique(np.concatenate([np.empty((0, 2), np.int64), *found]), axis=0)
+            found.clear()
+            return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
 
-def _fits(percent: int):
-    """Whether sizes alone allow a link."""
-    return 100 * F.least("hub_size", "size") >= percent * F.greatest("hub_size", "size")
+        for batch in batches:
+            rows = [np.asarray(batch.column(n).to_numpy(zero_copy_only=False)) for n in names]
+            rows.append(np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint64).reshape(-1, SKETCH_BITS // 64))
+            if held is not None:
+                rows = [np.concatenate([h, x]) for h, x in zip(held, rows, strict=True)]
+            cuts = np.flatnonzero((rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1])) + 1
+            bounds = [0, *cuts.tolist()]
+            for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+                pairs([x[a:b] for x in rows])
+            held = [x[bounds[-1] :] for x in rows]
+            if sum(map(len, found)) > PAIRS_HELD:
+                yield given()
+        if held is not None:
+            pairs(held)
+        yield given()
+
+    return placed.mapInArrow(cross, "a long, b long").distinct()
 
 
 def ngram_components(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
@@ -312,80 +613,40 @@ def ngram_components(docs: DataFrame, percent: int = PERCENT, words: int = WORDS
     small_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
-    def measure(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "n", "id", "other", "token"]
-
-        def recurring(held: list[np.ndarray], known: set[int]) -> pa.RecordBatch:
-            tokens, n = np.unique(np.concatenate([np.empty(0, np.uint64), *held]), return_counts=True)
-            tokens, n = tokens[n > 1].view(np.int64), n[n > 1]
-            held.clear()
-            known.clear()
-            nothing = pa.nulls(len(n), pa.int64())
-            return pa.RecordBatch.from_arrays([nothing, pa.array(n, pa.int64()), nothing, nothing, pa.array(tokens)], names=names)
-
-        held: list[np.ndarray] = []
-        known: set[int] = set()
-        for batch in batches:
-            shingles, starts = shingle_sets(batch.column(1), words)
-            one, two = set_keys(shingles, starts)
-            for k, a, b in zip(one.tolist(), starts[:-1].tolist(), starts[1:].tolist(), strict=True):
-                if k not in known:  # equal sets are collapsed later and count once here
-                    known.add(k)
-                    held.append(shingles[a:b])
-            nothing = pa.nulls(batch.num_rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(starts)), pa.array(one), pa.array(two), nothing], names=names)
-            if sum(map(len, held)) > FLUSH:
-                yield recurring(held, known)
-        yield recurring(held, known)
-
-    measured = materialise(rows.mapInArrow(measure, "doc_id long, n long, id long, other long, token long"), "shingles")
-    frequent = measured.where("token is not null").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT)
-    place = F.shiftrightunsigned("token", 64 - COUNT_BITS)
-    counts = np.zeros(1 << COUNT_BITS, np.int64)
-    found = frequent.groupBy(place.alias("place")).agg(F.max("n").alias("n")).toPandas()  # 2^COUNT_BITS rows at most
-    counts[found["place"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
-    members = measured.where("token is null").select("doc_id", "n", "id", "other")
-    groups = members.where("n > 0").groupBy("id", "other", "n").agg(F.min("doc_id").alias("rep"))
-    sizes = {r["n"]: r["sets"] for r in groups.where(F.col("n") <= LARGEST_SMALL).groupBy("n").agg(F.count("*").alias("sets")).collect()}
-    typical = float(counts[counts > 0].mean()) if counts.any() else 1.0
-    most_small = boundary(sizes, typical, percent)
-
-    listed = materialise(scan_lists(candidate_lists(rows, counts, most_small, percent, words), percent), "lists")
-    # the hubs of a frequent shingle's parts form a list of their own
-    hubs = listed.where("salt >= 0").select("token", F.lit(-1).cast("long").alias("salt"), "need", F.col("hub").alias("id"), F.col("hub_size").alias("size"))
-    listed = listed.where("id is not null").unionByName(scan_lists(hubs, percent).where("id is not null"))
-    sure = listed.where("need > 0 and hub_size = need").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
-    maybe = listed.where("need = 0").where(_fits(percent)).select(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b")).where("a <> b").distinct()
-    maybe = materialise(maybe, "candidates")
-
-    def tested(pairs: DataFrame) -> DataFrame:
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        # a set can be made of several documents where ids repeat; one row of each is enough
-        found = sets_of(rows, ids.join(groups, "id").select(F.col("rep").alias("doc_id")), words)
-        return _linked(pairs, found, percent)
-
-    links = materialise(sure.unionByName(tested(maybe)), "set_links")
-    parts = components(links)
-
-    # lists whose members are still in several components: members of different ones are tested against each other
-    root = parts.select(F.col("node").alias("id"), "component")
-    inside = listed.where("need = 0").select("token", "id", "size").unionByName(listed.where("need = 0").select("token", F.col("hub").alias("id"), F.col("hub_size").alias("size")))
-    inside = inside.join(root, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = inside.groupBy("token").agg(F.min("component").alias("first"), F.max("component").alias("last"), F.count("*").alias("rows"))
-    # a list of two members is one pair, which its hub has tested; each member behind a hub gives two rows here
-    mixed = mixed.where("first <> last and rows >= 4").select("token")
-    open_lists = materialise(inside.join(mixed, "token").distinct(), "open_lists")
-    left, right = (open_lists.select("token", *[F.col(c).alias(f"{s}_{c}") for c in ("id", "size", "component")]) for s in ("a", "b"))
-    rest = left.join(right, "token").where("a_id < b_id and a_component <> b_component").where(100 * F.least("a_size", "b_size") >= percent * F.greatest("a_size", "b_size"))
-    rest = materialise(rest.select(F.col("a_id").alias("a"), F.col("b_id").alias("b")).distinct().join(maybe, ["a", "b"], "left_anti"), "rest")
-    if rest.limit(1).count():
-        links = links.unionByName(tested(rest))
-        parts = components(links)
-
-    by_set = groups.join(parts.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    buckets = max(LEAST_BUCKETS, estimated_bytes(rows) // BUCKET_BYTES)
+    told = materialise(answered(chunked(rows, words, buckets)), "shingles")
+
+    members = materialise(members_of(told), "members")
+    # different sets of one first digest go by their second one; among 1e10 sets some three pairs are expected
+    twins = [r["id"] for r in members.where("n > 0").groupBy("id").agg(F.min("other").alias("low"), F.max("other").alias("high")).where("low <> high").select("id").toLocalIterator()]
+    members = members.select("doc_id", "n", F.when(F.col("id").isin(twins), F.col("other")).otherwise(F.col("id")).alias("id"))
+    groups = materialise(members.where("n > 0").groupBy("id").agg(F.min("doc_id").alias("rep")), "groups")
+    found = shared_sets(told, percent, twins).join(groups.withColumnRenamed("id", "same"), F.col("id") == F.col("same"))
+    sets = materialise(found.where(F.col("doc_id").eqNullSafe(F.col("rep"))).drop("doc_id", "same", "rep").dropDuplicates(["id"]), "sets")
+    small = {r["size"]: r["n"] for r in sets.where(F.col("size") <= LARGEST_SMALL).groupBy("size").agg(F.count("*").alias("n")).collect()}
+    shares = sets.agg(F.sum(F.octet_length("prefix") / 8).alias("rows"), F.count("*").alias("sets")).first()
+    most_small = boundary(small, float(shares["rows"] or 0) / max(1, shares["sets"]), percent)
+
+    listed = materialise(scan_lists(candidate_lists(sets, most_small, percent)), "lists")
+    sure = listed.where("part < 0 and hub_size = -part").select(F.col("hub").alias("a"), F.col("id").alias("b")).where("a <> b").distinct()
+    # the hubs of a shingle's parts meet in a list of their own
+    hubs = listed.where("part > 0 and id = hub").select("token", F.lit(0).alias("part"), "size", "id", "position")
+    near = may_link(*(F.col(c).cast("long") for c in ("hub_size", "hub_position", "size", "position")), percent)
+    full = listed.where("part >= 0")
+    tried = ordered_pairs(full.unionByName(scan_lists(hubs)).where("id <> hub").where(near), ("hub", "hub_size"), ("id", "size"))
+    tried = materialise(tried.unionByName(chained(full, percent)).distinct(), "candidates")
+    parts = listed.select("id").distinct().select("id", F.col("id").alias("component"))
+    parts = merged(parts, sure.unionByName(linked(tried, sets, percent)))
+
+    # members that their hub and their neighbours leave in other components meet all others that sketches allow
+    opened = open_lists(full.select("token", "id", "size", "position"), parts)
+    rest = materialise(crossed(opened, sets, percent).join(tried, ["a", "b"], "left_anti"), "candidates")
+    parts = merged(parts, linked(rest, sets, percent))
+
+    by_set = groups.join(parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
     smallest = by_set.groupBy("component").agg(F.min("rep").alias("component_id"))
-    named = by_set.join(smallest, "component").select("id", "other", "n", "component_id")
-    out = members.join(named, ["id", "other", "n"], "left")
+    named = by_set.join(smallest, "component").select("id", "component_id")
+    out = members.join(named, "id", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
@@ -397,9 +658,10 @@ def one_of_each(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) ->
     named = docs.where("doc_id is not null")
     found = materialise(ngram_components(named, percent, words).select("doc_id", "component_id"), "components")
     gone = found.groupBy("doc_id").agg(F.max("component_id").alias("c")).where("c <> doc_id").select("doc_id")
-    if gone.count() <= BROADCAST_IDS:
-        gone = F.broadcast(gone)
-    kept = named.join(gone, "doc_id", "left_anti")
+    flag = own_name(docs, "doubtful")
+    told = marked(named, gone, flag)
+    # rows outside the bitmap stay without an exchange of texts; the others are looked up
+    kept = told.where(~F.col(flag)).unionByName(told.where(flag).join(gone, "doc_id", "left_anti")).select(*docs.columns)
     if found.groupBy("doc_id").count().where("count > 1").limit(1).count():
         kept = kept.dropDuplicates(["doc_id", "text"])
-    return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    return kept.unionByName(docs.where("doc_id is null"))

@@ -1,6 +1,7 @@
 """What the operators of this package share: the shared folder, materialised tables, word counts."""
 from __future__ import annotations
 
+import atexit
 import contextlib
 import ctypes
 import tempfile
@@ -34,9 +35,26 @@ def fresh_path(spark: SparkSession, kind: str) -> str:
     return f"{shared_folder(spark)}/{kind}-{uuid.uuid4().hex}"
 
 
+_made: list[tuple[SparkSession, str]] = []
+
+
+@atexit.register
+def sweep() -> None:
+    """Deletes the folders that this driver has made; results are read from them until then."""
+    while _made:
+        spark, path = _made.pop()
+        with contextlib.suppress(Exception):  # the session may be gone
+            own = spark._jvm.org.apache.hadoop.fs.Path(path)
+            own.getFileSystem(spark._jsc.hadoopConfiguration()).delete(own, True)
+
+
 def materialise(df: DataFrame, kind: str) -> DataFrame:
-    """Writes df as Parquet into the shared folder and reads it back: lineage ends here and any executor can reread it."""
+    """Writes df as Parquet into the shared folder and reads it back: lineage ends here and any executor can reread it.
+
+    The folder is deleted when the driver ends.
+    """
     path = fresh_path(df.sparkSession, kind)
+    _made.append((df.sparkSession, path))
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
