@@ -24,12 +24,12 @@ import regex
 from pyspark.sql import DataFrame
 
 from mendframe.llm.pieces import gather, split_pieces
-from mendframe.llm.shared import small_batches
+from mendframe.llm.shared import small_batches, tidied
 
 # fixed values of byte-level BPE: the word pattern
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 NO_PAIR = np.iinfo(np.int64).max
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 500_000
 
 
 def byte_symbols() -> list[str]:
@@ -203,7 +203,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(ids, pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["doc_id", "tokens"])
 
-    return docs.select(docs["doc_id"].cast("long"), "text").mapInArrow(run, "doc_id long, tokens array<int>")
+    return docs.select(docs["doc_id"].cast("long"), "text").mapInArrow(tidied(run), "doc_id long, tokens array<int>")
 
 
 def decode(tokens: DataFrame, path: str) -> DataFrame:
@@ -238,4 +238,4 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
-    return docs.select(docs["doc_id"].cast("long"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(docs["doc_id"].cast("long"), "text").mapInArrow(tidied(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

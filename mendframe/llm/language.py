@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mendframe.llm.shared import small_batches
+from mendframe.llm.shared import small_batches, tidied
 
 ORDER = 4
 CHUNK = 400
@@ -252,8 +252,9 @@ def sample_chunks(docs: DataFrame, chunks: int = CHUNKS, most: int = ALL_CHUNKS)
 
 
 def identify(docs: DataFrame, models: Models) -> DataFrame:
-    """Adds lang_pred string, score double and rejected boolean to docs, from text alone."""
+    """Adds lang_pred string, score double and rejected boolean to docs, from text alone; columns of these names are replaced."""
     small_batches(docs.sparkSession)
+    docs = docs.drop("lang_pred", "score", "rejected")
     shared = docs.sparkSession.sparkContext.broadcast(models)
     where = docs.columns.index("text")
 
@@ -279,7 +280,7 @@ def identify(docs: DataFrame, models: Models) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, "lang_pred", "score", "rejected"])
 
     more = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())]
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *more]))
+    return docs.mapInArrow(tidied(run), T.StructType([*docs.schema.fields, *more]))
 
 
 def accepted(docs: DataFrame, models: Models) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mendframe.llm.shared import small_batches
+from mendframe.llm.shared import small_batches, tidied
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[int, int, str]
@@ -305,7 +305,7 @@ def find_pii(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), *counts, base, spans], names=["doc_id", *(f"n_{k}" for k in KINDS), "base_spans", "spans"])
 
     schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_spans string, spans string"
-    return docs.select(docs["doc_id"].cast("long"), "text").mapInArrow(run, schema)
+    return docs.select(docs["doc_id"].cast("long"), "text").mapInArrow(tidied(run), schema)
 
 
 def redacted(text: str, spans: list[Span]) -> str:
@@ -330,5 +330,5 @@ def redact(docs: DataFrame) -> DataFrame:
                 texts = pa.array([redacted(t.as_py(), f[1]) if f[1] else t.as_py() for t, f in zip(texts, found, strict=True)], pa.string())
             yield pa.RecordBatch.from_arrays([texts if i == where else c for i, c in enumerate(batch.columns)], names=batch.schema.names)
 
-    out = docs.mapInArrow(run, docs.schema)
+    out = docs.mapInArrow(tidied(run), docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
