@@ -9,7 +9,8 @@ links that span its components, not all its pairs, so that a large group of near
 
 Defined cases: null, empty and zero vectors and vectors with null or non-finite components link with nothing and keep
 their row; vectors of another length than most never link with those; equal vectors link with each other; vec_id is
-meant to be unique, repeated rows count as vectors of their own that share an id; an empty table gives an empty result.
+meant to be unique, repeated rows count as vectors of their own that share an id; vectors without
+vec_id link with nothing; an empty table gives an empty result.
 """
 from __future__ import annotations
 
@@ -18,19 +19,19 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mendframe.llm.components import components
-from mendframe.llm.shared import materialise, small_batches
+from mendframe.llm.shared import materialise, small_batches, tidied
 
 THRESHOLD = 0.95
 TILE = 4096
 BLOCK = 1024
-PIVOTS = 64
+PIVOTS = 1024
 SLACK = 1e-6
-MOST_TASKS = 2000
-BROADCAST_BYTES = 32 << 20
+EXACT_WIDTH = 1024
+CAP_BLOCK = 256
 
 
 def usable(vector):
@@ -54,6 +55,17 @@ def quantised(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     return codes, step, np.linalg.norm(coded, axis=1), np.linalg.norm(rest, axis=1)
 
 
+def products(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Inner products of codes held as float32, exact for any width: sums over 1024 components stay below 2^24."""
+    width = left.shape[1]
+    if width <= EXACT_WIDTH:
+        return left @ right.T
+    total = np.zeros((len(left), len(right)))
+    for k in range(0, width, EXACT_WIDTH):
+        total += left[:, k : k + EXACT_WIDTH] @ right[:, k : k + EXACT_WIDTH].T
+    return total
+
+
 class Forest:
     """Union-find over positions."""
 
@@ -95,8 +107,7 @@ def compare_tiles(left: np.ndarray, right: np.ndarray | None, threshold: float,
         a = slice(i, min(i + BLOCK, n))
         for j in range(i if same else 0, m, BLOCK):
             b = slice(j, min(j + BLOCK, m))
-            # products of int8 codes are whole numbers below 2^24 for up to 1040 components, so float32 sums are exact
-            dots = floats_l[a] @ floats_r[b].T
+            dots = products(floats_l[a], floats_r[b])
             # no pair of the block can reach the threshold with a product below this
             most = len_l[a].max() * rest_r[b].max() + rest_l[a].max() * (len_r[b].max() + rest_r[b].max()) + SLACK
             least = (threshold - most) / (step_l[a].max() * step_r[b].max())
@@ -141,13 +152,35 @@ def packer(width: int, kind: np.dtype) -> Callable[[pd.DataFrame], pd.DataFrame]
     return pack
 
 
-def near_tiles(spark: SparkSession, caps: list, threshold: float) -> DataFrame:
-    """Pairs of tiles (left, right), each once, whose caps come within the threshold angle of each other."""
-    names = np.array([r["tile"] for r in caps], np.int64)
-    shared = spark.sparkContext.broadcast((names, np.array([np.frombuffer(r["centre"]) for r in caps]), np.array([r["radius"] for r in caps])))
+def cap_packer(frame: pd.DataFrame) -> pd.DataFrame:
+    """Makes one row of up to CAP_BLOCK caps or so, with a cap around them all."""
+    frame = frame.sort_values("tile")
+    centres, radii = np.array([np.frombuffer(c) for c in frame["centre"]]), frame["radius"].to_numpy()
+    centre = unit(centres.mean(axis=0, keepdims=True) + 1e-12)[0]
+    radius = float((np.arccos(np.clip(centres @ centre, -1, 1)) + radii).max())
+    return pd.DataFrame({
+        "block": [int(frame["block"].iloc[0])], "centre": [centre.tobytes()], "radius": [radius],
+        "tiles": [frame["tile"].to_numpy(np.int64).tobytes()], "centres": [centres.tobytes()], "radii": [radii.tobytes()],
+    })
+
+
+def near_tiles(tiles: DataFrame, width: int, threshold: float) -> DataFrame:
+    """Pairs of tiles (left, right), each once, whose caps come within the threshold angle of each other.
+
+    Caps lie in blocks with a cap of their own. Only block caps reach the driver, one for some CAP_BLOCK * TILE vectors
+    (a million); caps of tiles meet only for blocks that are near.
+    """
+    spark = tiles.sparkSession
     angle = float(np.arccos(threshold)) + SLACK
+    # tiles of a cell lie together: a block is some CAP_BLOCK pieces of one cell
+    placed = tiles.select("tile", "centre", "radius", F.shiftright("tile", 32).alias("cell"), F.expr(f"(tile & {(1 << 32) - 1}) div {CAP_BLOCK}").alias("nth"))
+    placed = placed.select("tile", "centre", "radius", F.expr("(cell << 32) | nth").alias("block"))
+    blocks = materialise(placed.groupBy("block").applyInPandas(cap_packer, "block long, centre binary, radius double, tiles binary, centres binary, radii binary"), "caps")
+    caps = blocks.select("block", "centre", "radius").orderBy("block").collect()
+    names = np.array([r["block"] for r in caps], np.int64)
+    shared = spark.sparkContext.broadcast((names, np.array([np.frombuffer(r["centre"]) for r in caps]), np.array([r["radius"] for r in caps])))
 
-    def pair(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def block_pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, centres, radii = shared.value
         for batch in batches:
             for i in batch.column(0).to_pylist():
@@ -155,7 +188,21 @@ def near_tiles(spark: SparkSession, caps: list, threshold: float) -> DataFrame:
                 j = i + np.flatnonzero(between <= radii[i] + radii[i:] + angle)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(j), names[i])), pa.array(names[j])], names=["left", "right"])
 
-    return spark.range(0, len(caps), 1, max(1, min(len(caps) // 64, MOST_TASKS))).mapInArrow(pair, "left long, right long")
+    def tile_pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                (names, centres, radii), (others, around, reach) = (
+                    (np.frombuffer(r[f"{s}_tiles"], np.int64), np.frombuffer(r[f"{s}_centres"]).reshape(-1, width), np.frombuffer(r[f"{s}_radii"])) for s in ("left", "right")
+                )
+                between = np.arccos(np.clip(centres @ around.T, -1, 1))
+                i, j = np.nonzero(between <= radii[:, None] + reach[None, :] + angle)
+                if r["left"] == r["right"]:
+                    i, j = i[i <= j], j[i <= j]
+                yield pa.RecordBatch.from_arrays([pa.array(names[i]), pa.array(others[j])], names=["left", "right"])
+
+    near = spark.range(0, len(caps), 1, max(1, len(caps) // 16)).mapInArrow(block_pairs, "left long, right long")
+    ends = [blocks.select(F.col("block").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in ("tiles", "centres", "radii")]) for s in ("left", "right")]
+    return near.join(ends[0], "left").join(ends[1], "right").mapInArrow(tile_pairs, "left long, right long")
 
 
 def link_vectors(rows: DataFrame, threshold: float = THRESHOLD, tile: int = TILE, pivots: int = PIVOTS) -> DataFrame:
@@ -164,8 +211,12 @@ def link_vectors(rows: DataFrame, threshold: float = THRESHOLD, tile: int = TILE
     small_batches(spark)
     kind = np.dtype("f4" if "array<float>" in rows.select("embedding").dtypes[0][1] else "f8")
     vectors = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    fine = vectors.where(usable(F.col("embedding")))
-    groups = materialise(fine.groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight")), "vectors")
+    vectors = vectors.withColumn("fine", usable(F.col("embedding")) & F.col("vec_id").isNotNull())
+    fine = vectors.where("fine")
+    # equal vectors share 128 bits of hashes, which stand for them in exchanges
+    keys = {"key_a": F.xxhash64("embedding"), "key_b": F.xxhash64(F.lit(1), "embedding")}
+    found_groups = fine.withColumns(keys).groupBy(*keys).agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"), F.first("embedding").alias("embedding"))
+    groups = materialise(found_groups, "vectors")
     sizes = groups.groupBy(F.size("embedding").alias("width")).agg(F.count("*").alias("n")).collect()  # a row a width
     found = []
     for width, n in ((r["width"], r["n"]) for r in sizes):
@@ -180,19 +231,15 @@ def link_vectors(rows: DataFrame, threshold: float = THRESHOLD, tile: int = TILE
                 payload = pa.array([r.tobytes() for r in raw], pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(near, pa.int32()), payload], names=["rep", "weight", "cell", "raw"])
 
-        dealt = own.mapInArrow(deal, "rep long, weight long, cell int, raw binary")
-        per_cell = {r["cell"]: r["n"] for r in dealt.groupBy("cell").agg(F.count("*").alias("n")).collect()}  # a row a pivot
-        splits = F.create_map(*[F.lit(x) for c, k in per_cell.items() for x in (c, -(-k // tile))])
-        dealt = dealt.withColumn("piece", F.pmod(F.xxhash64("rep"), F.element_at(splits, F.col("cell"))))
+        dealt = own.select("embedding", "rep", "weight").mapInArrow(deal, "rep long, weight long, cell int, raw binary")
+        per_cell = dealt.groupBy("cell").agg(F.ceil(F.count("*") / tile).alias("pieces"))  # a row a pivot
+        dealt = dealt.join(F.broadcast(per_cell), "cell").withColumn("piece", F.expr("pmod(xxhash64(rep), pieces)")).drop("pieces")
 
         tiles = materialise(dealt.groupBy("cell", "piece").applyInPandas(packer(width, kind), "tile long, centre binary, radius double, reps binary, weights binary, rows binary"), "tiles")
-        caps = tiles.select("tile", "centre", "radius").orderBy("tile").collect()  # one row for each 4096 vectors or so
-        near = near_tiles(spark, caps, threshold)
+        near = materialise(near_tiles(tiles, width, threshold), "near")
         ends = [tiles.select(F.col("tile").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in ("reps", "weights", "rows")]) for s in ("left", "right")]
-        near = near.repartition(max(1, min(len(caps) * (len(caps) + 1) // 2, MOST_TASKS)), "left", "right")
-        if n * (width * kind.itemsize + 16) <= BROADCAST_BYTES:
-            ends = [F.broadcast(e) for e in ends]
-        joined = near.join(ends[0], "left").join(ends[1], "right")
+        # a comparison is much work for one row, so rows are dealt out once more, a tile's comparisons over many tasks
+        joined = near.join(ends[0], "left").join(ends[1], "right").repartition(F.xxhash64("left", "right"))
 
         def compare(batches: Iterable[pa.RecordBatch], width=width) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -211,8 +258,7 @@ def link_vectors(rows: DataFrame, threshold: float = THRESHOLD, tile: int = TILE
                         names=["rep", "n", "other"],
                     )
 
-        found.append(joined.mapInArrow(compare, "rep long, n long, other long"))
-    vectors = vectors.withColumn("fine", usable(F.col("embedding")))
+        found.append(joined.mapInArrow(tidied(compare), "rep long, n long, other long"))
     if not found:
         return vectors.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     seen = found[0]
@@ -222,8 +268,9 @@ def link_vectors(rows: DataFrame, threshold: float = THRESHOLD, tile: int = TILE
     linked = seen.where("n > 0").groupBy(F.col("rep").alias("of")).agg(F.sum("n").alias("near"))
     roots = components(seen.where("n = 0 and other <> -1").select(F.col("rep").alias("a"), F.col("other").alias("b")))
     per_group = groups.join(linked, groups.rep == linked.of, "left").join(roots, F.col("rep") == F.col("node"), "left").select(
-        F.col("embedding").alias("same"), (F.coalesce("near", F.lit(0)) + F.col("weight") - 1).alias("links"), F.coalesce("component", "rep").alias("root")
+        *[F.col(k).alias(f"of_{k}") for k in keys], (F.coalesce("near", F.lit(0)) + F.col("weight") - 1).alias("links"), F.coalesce("component", "rep").alias("root")
     )
-    out = vectors.join(per_group, F.col("fine") & (F.col("embedding") == F.col("same")), "left")
+    hashed = vectors.withColumns(keys).select("vec_id", *[F.when(F.col("fine"), F.col(k)).alias(k) for k in keys])
+    out = hashed.join(per_group, (F.col("key_a") == F.col("of_key_a")) & (F.col("key_b") == F.col("of_key_b")), "left")
     root = F.coalesce("root", "vec_id")
-    return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), root.alias("component_id"), (root == F.col("vec_id")).alias("kept"))
+    return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), root.alias("component_id"), root.eqNullSafe(F.col("vec_id")).alias("kept"))
