@@ -18,19 +18,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from mendframe.llm.shared import materialise, word_count, words
+from mendframe.llm.shared import materialise, own_name, word_count, words
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST_EPOCHS = 2
 KEY_BUCKETS = 1024
+QUALITIES = (1.0, 0.25)
 TWO_52 = 1 << 52
 
 
 def word_length_quality(text: Column, size: Column) -> Column:
     """Documents whose mean word has 3 to 12 characters weigh 1, others a quarter."""
     mean = F.length(F.coalesce(text, F.lit(""))) / F.greatest(size, F.lit(1))
-    return F.when((mean >= 3) & (mean <= 13), 1.0).otherwise(0.25)
+    return F.when((mean >= 3) & (mean <= 13), QUALITIES[0]).otherwise(QUALITIES[1])
 
 
 def uniform(doc_id: Column, text: Column) -> Column:
@@ -64,34 +65,42 @@ def targets(totals: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float
     )
 
 
-def key_bucket(key: Column, buckets: int) -> Column:
-    """Buckets in the order of keys: the quantile of an exponential variable of rate 1/2."""
-    return F.least(F.floor((1.0 - F.exp(-key / 2.0)) * buckets), F.lit(buckets - 1)).cast("int")
+def key_bucket(key: Column, buckets: int, qualities: tuple[float, ...] = QUALITIES) -> Column:
+    """Buckets in the order of keys: the quantile among equal shares of all qualities.
+
+    Whatever the real shares, a bucket expects at most len(qualities) / buckets of a source's documents.
+    """
+    beyond = sum((F.exp(-key * q) for q in qualities), F.lit(0.0)) / len(qualities)
+    return F.least(F.floor((1.0 - beyond) * buckets), F.lit(buckets - 1)).cast("int")
 
 
 def mix(rows: DataFrame, share: float = SHARE, weights: tuple[int, ...] = WEIGHTS, buckets: int = KEY_BUCKETS) -> DataFrame:
-    """Adds source_size, target, epochs, selected and taken to rows (source, size, key and any others).
+    """Adds source_size, target, epochs, selected and taken to rows (source, size, key and any others); these are replaced.
 
     epochs is how often the document comes whole, taken the words of all its copies.
     """
-    kept = materialise(rows.withColumn("bucket", key_bucket(F.col("key"), buckets)), "mix")
-    per_bucket = kept.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
-    goals = targets(per_bucket.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share)
-    earlier = W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
-    places = per_bucket.select("source", "bucket", F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("before"))
+    bucket, before, key = (own_name(rows, n) for n in ("bucket", "before", "source_key"))
+    rows = rows.drop("source_size", "target", "epochs", "selected", "taken")
+    # a key without nulls, by which the join and the window below share one exchange
+    keyed = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))
+    kept = materialise(rows.withColumn(bucket, key_bucket(F.col("key"), buckets)), "mix").withColumn(key, keyed)
+    per_bucket = kept.groupBy("source", F.col(key).alias("plan_key"), F.col(bucket).alias("plan_bucket")).agg(F.sum("size").alias("words"))
+    goals = targets(per_bucket.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share).withColumn("goal_key", keyed).drop("source")
+    earlier = W.partitionBy("plan_key").orderBy("plan_bucket").rowsBetween(W.unboundedPreceding, -1)
+    places = per_bucket.select("plan_key", "plan_bucket", F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("plan_before"))
     # one row a source and bucket at most, so the size of this side is that of sources, not documents
-    plan = places.join(goals, places.source.eqNullSafe(goals.source)).select(places.source, "bucket", "before", "source_size", "target")
-    plan = plan.withColumnsRenamed({"source": "plan_source", "bucket": "plan_bucket"})
-    found = kept.join(plan, kept.source.eqNullSafe(F.col("plan_source")) & (F.col("bucket") == F.col("plan_bucket"))).drop("plan_source", "plan_bucket")
-    within = W.partitionBy("source", "bucket").orderBy("key", "size", "doc_id").rowsBetween(W.unboundedPreceding, -1)
+    plan = places.join(goals, F.col("plan_key") == F.col("goal_key")).select("plan_key", "plan_bucket", "plan_before", "source_size", "target")
+    found = kept.join(plan, (kept[key] == plan.plan_key) & (kept[bucket] == plan.plan_bucket))
+    found = found.select(*[kept[c] for c in kept.columns], plan.plan_before.alias(before), plan.source_size, plan.target)
+    within = W.partitionBy(key, bucket).orderBy("key", "size", "doc_id").rowsBetween(W.unboundedPreceding, -1)
     goal = F.floor(F.col("target") + 0.5).cast("long")
     size = F.greatest(F.col("source_size"), F.lit(1))
     return (
-        found.withColumn("before", F.col("before") + F.coalesce(F.sum("size").over(within), F.lit(0)))
+        found.withColumn(before, F.col(before) + F.coalesce(F.sum("size").over(within), F.lit(0)))
         .withColumn("epochs", F.floor(goal / size).cast("long"))
-        .withColumn("selected", F.greatest(F.lit(0), F.least(F.col("size"), goal - F.col("epochs") * size - F.col("before"))))
+        .withColumn("selected", F.greatest(F.lit(0), F.least(F.col("size"), goal - F.col("epochs") * size - F.col(before))))
         .withColumn("taken", F.col("epochs") * F.col("size") + F.col("selected"))
-        .drop("before", "bucket")
+        .drop(before, bucket, key)
     )
 
 
@@ -108,7 +117,7 @@ def sized(docs: DataFrame, *keep: str) -> DataFrame:
 def repeat_documents(docs: DataFrame, share: float = SHARE) -> DataFrame:
     """The mix itself: documents as often as the mix takes them, the last copy cut to its leading words that are left.
 
-    A cut copy has its words joined by single blanks; whole copies are unchanged. Columns are those of docs.
+    A cut copy has its words joined by single blanks, and n_chars of its own; whole copies are unchanged. Columns are those of docs.
     """
     names = {c: f"of_{i}" for i, c in enumerate(docs.columns)}
     carried = docs.select("*", *[F.col(c).alias(n) for c, n in names.items()])
@@ -121,5 +130,7 @@ def repeat_documents(docs: DataFrame, share: float = SHARE) -> DataFrame:
     out = mixed.withColumn("cut", F.explode(copies))
     is_cut = (F.col("cut") >= 0) & (F.col("cut") < F.col("size"))
     lead = F.array_join(F.slice(words(text), F.lit(1), F.greatest(F.col("cut"), F.lit(0)).cast("int")), " ")
-    shown = {c: F.when(is_cut, lead).otherwise(text) if c == "text" else F.col(n) for c, n in names.items()}
+    shown = {c: F.col(n) for c, n in names.items()} | {"text": F.when(is_cut, lead).otherwise(text)}
+    if "n_chars" in names:
+        shown["n_chars"] = F.when(is_cut, F.length(lead).cast(docs.schema["n_chars"].dataType)).otherwise(F.col(names["n_chars"]))
     return out.select(*[v.alias(c) for c, v in shown.items()])
