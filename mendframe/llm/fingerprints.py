@@ -20,13 +20,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from mendframe.llm.shared import words
+from mendframe.llm.shared import own_name, words
 
 SHINGLE = 5
 BIN_BITS = 7
 LOW_BITS = 8
 RANGE_ROWS = 400
-MOST_RANGES = 20_000
+MOST_RANGES = 100_000  # from 40 million documents on ranges grow, to some 100,000 documents at 1e10
 
 
 def bin_of(hashed: Column, bits: int = BIN_BITS) -> Column:
@@ -89,18 +89,22 @@ def with_signature(docs: DataFrame, text: str, name: str) -> DataFrame:
 
 
 def fingerprint(docs: DataFrame) -> DataFrame:
-    """Adds fingerprint string to documents."""
-    return with_signature(docs, "text", "signature").withColumn("fingerprint", packed(F.col("signature"))).drop("signature")
+    """Adds fingerprint string to documents; a column of this name is replaced."""
+    held = own_name(docs, "signature")
+    return with_signature(docs, "text", held).withColumn("fingerprint", packed(F.col(held))).drop(held)
+
+
+def constants(numbers: list[int]) -> Column:
+    """Numbers as one constant array, which is written as a single literal however many there are."""
+    return F.split(F.lit(",".join(map(str, numbers))), ",").cast("array<bigint>") if numbers else F.array().cast("array<bigint>")
 
 
 def range_of(doc_id: Column, bounds: list[int]) -> Column:
     """How many of the ascending bounds lie below doc_id, in two short scans instead of one long one."""
     step = max(1, int(len(bounds) ** 0.5))
-    every = F.array(*[F.lit(b) for b in bounds]) if bounds else F.array().cast("array<bigint>")
-    coarse = F.array(*[F.lit(b) for b in bounds[::step]]) if bounds else F.array().cast("array<bigint>")
-    jumps = F.size(F.filter(coarse, lambda b: b < doc_id))
+    jumps = F.size(F.filter(constants(bounds[::step]), lambda b: b < doc_id))
     start = F.greatest(jumps - 1, F.lit(0)) * step
-    return (start + F.size(F.filter(F.slice(every, start + 1, step), lambda b: b < doc_id))).cast("int")
+    return (start + F.size(F.filter(F.slice(constants(bounds), start + 1, step), lambda b: b < doc_id))).cast("int")
 
 
 def with_next(docs: DataFrame, *carried: str) -> DataFrame:
@@ -113,7 +117,7 @@ def with_next(docs: DataFrame, *carried: str) -> DataFrame:
     own = range_of(F.col("doc_id"), bounds) if bounds else F.lit(0)
     # range k holds ids above bound k - 1 up to bound k: that bound is its first document and follows range k + 1
     follows = F.when(F.col("doc_id").eqNullSafe(F.lit(summary["largest"])), 0)
-    for_bound = F.when(F.col("doc_id").isin(bounds), F.col("own_range") + 1) if bounds else F.lit(None).cast("int")
+    for_bound = F.when(F.get(constants(bounds), F.col("own_range")) == F.col("doc_id"), F.col("own_range") + 1) if bounds else F.lit(None).cast("int")
     dealt = docs.withColumn("own_range", own)
     dealt = dealt.withColumn("place", F.explode(F.array_compact(F.array(
         F.struct(F.col("own_range").alias("range"), F.lit(False).alias("guest")),
