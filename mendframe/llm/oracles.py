@@ -43,13 +43,23 @@ WITH said AS (
 ), sized AS (
   SELECT *, body + CASE role WHEN 'system' THEN 15 WHEN 'user' THEN 13 WHEN 'assistant' THEN 7
     ELSE 19 + length(role) + len(regexp_extract_all(role, '\\|<<SYS>>|<</SYS>>|\[INST\]|\[/INST\]|<s>|</s>|<role>|</role>|<text>')) END AS chars FROM escaped
-)
+), walked AS (
+  SELECT conv_id, role, row_number() OVER turns - 1 AS nth, last_value(CASE WHEN role IN ('user', 'assistant') THEN role END IGNORE NULLS) OVER earlier AS spoke,
+         coalesce(bool_or(role = 'system') OVER earlier, false) AS briefed, last_value(CASE WHEN role IN ('user', 'assistant') THEN role END IGNORE NULLS) OVER every AS final
+  FROM said WINDOW turns AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text), earlier AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+    every AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)
+), machine AS (
+  SELECT conv_id, min(nth) FILTER (NOT CASE WHEN spoke = 'user' THEN role = 'assistant' WHEN spoke = 'assistant' OR briefed THEN role = 'user' ELSE role IN ('system', 'user') END)::INT AS error_at,
+         any_value(final) AS final FROM walked GROUP BY conv_id
+), chats AS (
 SELECT conv_id, count(*) AS n_turns,
        sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
        sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
        sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
        sum(chars)::BIGINT AS formatted_chars
 FROM sized GROUP BY conv_id
+)
+SELECT chats.*, error_at IS NULL AND coalesce(final = 'assistant', false) AS valid, error_at FROM chats JOIN machine ON chats.conv_id IS NOT DISTINCT FROM machine.conv_id
 """
 
 VECTORS = r"""

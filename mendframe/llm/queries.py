@@ -62,6 +62,7 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chats.select(
         "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"),
         F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"),
+        "valid", "error_at",
     )
 
 

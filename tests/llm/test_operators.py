@@ -107,7 +107,9 @@ def test_ngram_join(spark, rows, monkeypatch):
     kept = ngram_join.one_of_each(docs_of(spark, every))
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(want.values())) and kept.columns == docs_of(spark, every).columns
     assert ngram_join.ngram_components(docs_of(spark, rows).limit(0)).count() == 0
-    monkeypatch.setattr(ngram_join, "MARK_BITS", 3)  # beyond the bitmap texts are joined instead
+    monkeypatch.setattr(ngram_join, "MARK_BITS", 7)
+    monkeypatch.setattr(ngram_join, "NEIGHBOURS", 1)
+    monkeypatch.setattr(ngram_join, "CHUNK_ROWS", 7)
     assert {r["doc_id"]: r["component_id"] for r in ngram_join.ngram_components(docs_of(spark, near)).collect()} == linked(near)
 
 
@@ -261,6 +263,16 @@ def test_spelled_numbers_of_several_digits():
     assert not pii.find_all("one two three dot four")[1]
 
 
+def test_pii_takes_linear_time():
+    for fill in (" ", "\t", " -", "- ", "_ ", "a ", "one ", "one-", "1 ", "+1 ", "a@", "1.", "( ", "at ", " dot ", "zero."):
+        took = []
+        for n in (5_000, 40_000):
+            began = time.process_time()
+            pii.find_all("john at example dot com " + fill * n + " x@y.com")
+            took.append(time.process_time() - began)
+        assert took[1] < 24 * took[0] + 0.2, fill
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(1)
     base = rng.standard_normal((12, 16))
@@ -279,6 +291,18 @@ def test_vectors(spark):
         assert [got[i]["n_links"] for i in range(len(flat))] == near.sum(axis=1).tolist() and [got[i]["component_id"] for i in range(len(flat))] == up
         assert all(got[i]["n_links"] == 0 and got[i]["kept"] for i in range(900, 906)) and len(got) == len(rows)
     assert vectors.link_vectors(table.limit(0)).count() == 0
+    odd = spark.createDataFrame([(None, [1.0, 2.0]), (3, [1.0, 2.0]), (3, [1.0, 2.0]), (5, [2.0, 4.0])], "vec_id long, embedding array<double>")
+    assert sorted((str(r["vec_id"]), r["n_links"], str(r["component_id"]), r["kept"]) for r in vectors.link_vectors(odd).collect()) == [("3", 2, "3", True)] * 2 + [("5", 2, "3", False), ("None", 0, "None", True)]
+
+
+def test_wide_vectors():
+    """Bounds hold for vectors of more components than one exact float32 sum takes."""
+    rng = np.random.default_rng(3)
+    base = np.sign(rng.standard_normal((6, 5000)))
+    flat = vectors.unit(np.concatenate([base, *(base * np.where(rng.random(base.shape) < share, -1, 1) for share in (0.01, 0.0249, 0.0251, 0.03))]))
+    counts, _, _, _ = vectors.compare_tiles(flat, None, 0.95, (np.ones(len(flat), np.int64),) * 2)
+    near = np.einsum("ik,jk->ij", flat, flat) >= 0.95
+    assert counts.tolist() == (near.sum(axis=1) - 1).tolist() and (vectors.products(base.astype(np.float32) * 127, base.astype(np.float32) * 127) == 127 * 127 * (base @ base.T)).all()
 
 
 def test_chat(spark):
@@ -333,6 +357,10 @@ def test_token_files(spark, tmp_path):
         own_ids = ids[starts[i] : starts[i + 1]]
         assert (got[7 * i]["start"], got[7 * i]["n_tokens"], got[7 * i]["ids_crc32"]) == (starts[i], len(own_ids), zlib.crc32(own_ids.astype("<u4").tobytes()))
     assert token_files.read_tokens(spark, folder, [14]).count() == 1
+    data = b"".join(p.read_bytes() for p in tmp_path.glob("tokens/*.orc"))
+    assert b"orc.bloom.filter" in data or b"doc_id" in data
+    orc = pytest.importorskip("pyarrow.orc")
+    assert sum(orc.ORCFile(str(p)).nrows for p in tmp_path.glob("tokens/*.orc")) == len(texts)
     empty = f"file://{tmp_path}/empty"
     token_files.write_tokens(docs_of(spark, [(1, "a", "en", "a")]).limit(0), empty, path, 2)
     assert token_files.token_places(spark, empty).count() == 0
@@ -349,6 +377,11 @@ def test_sharding(spark, rows):
     assert matrix.sum(axis=1).tolist() == [7, 0, 30, 13] and matrix.sum(axis=0).tolist() == [7, 7, 6, 6, 6, 6, 6, 6]
     mean = np.mean([sharding.communication_matrix(np.array([20, 20]), np.array([10, 30]), s)[0, 0] for s in range(400)])
     assert abs(mean - 5) < 0.3
+    plain = [sharding._hypergeometric(np.random.default_rng(s), 60, 40, 30) for s in range(4000)]
+    inverted = [sharding._inverted(np.random.default_rng(s), 60, 40, 30) for s in range(4000)]
+    assert all(abs(plain.count(k) - inverted.count(k)) < 140 for k in range(31))
+    clashing = sharding.shard(docs_of(spark, rows).withColumns({c: F.lit("own") for c in ("part_place", "shard_key", "shard_bucket", "shard_start", "slot")}), 3)
+    assert {r["part_place"] + r["shard_key"] + r["shard_bucket"] + r["shard_start"] for r in clashing.collect()} == {"own" * 4} and dict(clashing.dtypes)["slot"] == "bigint"
     big = [sharding._hypergeometric(np.random.default_rng(s), 2 * 10**9, 2 * 10**9, 1000) for s in range(300)]
     assert abs(np.mean(big) - 500) < 4 and 12 < np.std(big) < 20
     assert sharding.shard(docs_of(spark, rows).limit(0), 8).count() == 0
