@@ -3,6 +3,11 @@
 Each stage is (name, function of (spark, docs, sf_dir)); its result is written as Parquet and read again as the next
 one's docs. All but the last return the columns of documents; the last returns the token ids of each document of the
 mix. Documents that the mix takes several times come several times.
+
+Defined cases: null and empty texts, and those without letters, go with the first stage; equal rows become one, and rows
+without doc_id stay; a null source is a source of its own; ties in the mix follow a hash of the document; texts of any
+length are taken whole, but for the copy at the end of a source's target, of which the mix takes the leading words that
+are left; extra columns stay up to the last stage, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
