@@ -8,7 +8,8 @@ Each distinct blank-separated piece of a batch is encoded once: a pattern match
 into white space, so a piece that neither begins nor ends with white space is encoded alone as it is in its text; texts
 with other pieces are encoded as a whole. A bounded cache keeps pieces between batches.
 
-Defined cases: null and empty texts have no ids and decode to ""; repeated and tied rows are separate rows; an empty
+Defined cases: null and empty texts have no ids and decode to ""; a null doc_id stays null; words of any length take
+time in proportion to it, but for a logarithm; repeated and tied rows are separate rows; an empty
 table gives an empty result; extra columns stay out of the way, as only id and text columns are read.
 """
 from __future__ import annotations
@@ -17,6 +18,7 @@ import hashlib
 import json
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +32,7 @@ from mendframe.llm.shared import small_batches, tidied
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 NO_PAIR = np.iinfo(np.int64).max
 CACHED_WORDS = 500_000
+LONG_WORD = 1000
 
 
 def byte_symbols() -> list[str]:
@@ -60,6 +63,7 @@ class Codec:
         pieces = [texts.get(i, b"") for i in range(max(texts) + 1)]
         self.token_starts = np.concatenate([[0], np.cumsum([len(p) for p in pieces])]).astype(np.int64)
         self.token_bytes = np.frombuffer(b"".join(pieces), np.uint8)
+        self.rank_of: dict[int, int] | None = None  # made for the first long word
         self.pattern = regex.compile(WORDS)
         self.cuts = regex.compile("|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True))) if self.special else None
         self._forget()
@@ -74,7 +78,43 @@ class Codec:
         return rank
 
     def merge_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all words in one array, and where each word begins (one more at the end)."""
+        """Ids of all words in one array, and where each word begins (one more at the end).
+
+        A round costs the length of what is still open, so the few words of over LONG_WORD bytes, which would keep rounds
+        open for long, are merged place by place instead.
+        """
+        long = [i for i, w in enumerate(words) if len(w) > LONG_WORD]
+        if not long:
+            return self._merge_rounds(words)
+        ids, starts = self._merge_rounds([w if len(w) <= LONG_WORD else b"" for w in words])
+        parts = [ids[a:b] for a, b in zip(starts[:-1], starts[1:], strict=True)]
+        for i in long:
+            parts[i] = self._merge_places(words[i])
+        return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
+
+    def _merge_places(self, word: bytes) -> np.ndarray:
+        """Ids of one word: its places by rank from a heap, each merge with the symbols around it as they then are."""
+        if self.rank_of is None:
+            self.rank_of = dict(zip(self.pair_keys.tolist(), self.ranks.tolist(), strict=True))
+        ids, rank_of = self.byte_ids[np.frombuffer(word, np.uint8)].tolist(), self.rank_of
+        n = len(ids)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(rank_of[k], i) for i in range(n - 1) if (k := ids[i] << 32 | ids[i + 1]) in rank_of]
+        heapify(heap)
+        while heap:
+            rank, i = heappop(heap)
+            j = after[i]
+            if ids[i] < 0 or j >= n or rank_of.get(ids[i] << 32 | ids[j]) != rank:
+                continue  # one of the two has gone into another symbol
+            ids[i], ids[j], after[i] = int(self.merged_of_rank[rank]), -1, after[j]
+            if after[i] < n:
+                before[after[i]] = i
+            for a, b in ((before[i], i), (i, after[i])):
+                if a >= 0 and b < n and (k := ids[a] << 32 | ids[b]) in rank_of:
+                    heappush(heap, (rank_of[k], a))
+        return np.array([x for x in ids if x >= 0], np.int64)
+
+    def _merge_rounds(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         flat = np.frombuffer(b"".join(words), np.uint8)
         ids = self.byte_ids[flat]
         word = np.repeat(np.arange(len(words), dtype=np.int64), [len(w) for w in words])

@@ -10,7 +10,7 @@ pre-tokenizer drops white space and parts letters from signs, and whose normaliz
 canonical composition, gives the same ids for a text as for its words one after the other; the constructor checks that
 the vocabulary is one.
 
-Defined cases: null and empty texts have the end id alone; rows that tie in doc_id are ordered by a hash of the text;
+Defined cases: null and empty texts have the end id alone; rows without doc_id come first; rows that tie in doc_id are ordered by a hash of the text;
 equal rows are adjacent; an empty table gives an empty folder and an empty result; extra columns are not written.
 """
 from __future__ import annotations

@@ -337,6 +337,13 @@ def test_bpe(spark):
     for i, text in enumerate(texts):
         want = library.encode(text or "", add_special_tokens=False).ids
         assert ids[starts[i] : starts[i + 1]].tolist() == want and back[i] == library.decode(want, skip_special_tokens=False)
+    rnd = random.Random(9)
+    for text in ("".join(rnd.choice("abcdeé日") for _ in range(30_000)), "ab" * 20_000, "aaa" * 9_999 + "b", "the" * 700 + " " + "nation" * 900):
+        (ids, starts), began = own.encode_batch(pa.array([text])), time.process_time()
+        assert ids.tolist() == library.encode(text, add_special_tokens=False).ids
+    own._forget()
+    own.encode_batch(pa.array(["".join(rnd.choice("abcdefgh") for _ in range(200_000))]))
+    assert time.process_time() - began < 8
     docs = docs_of(spark, [(i, t, "en", "a") for i, t in enumerate(TEXTS)])
     assert {r["doc_id"]: r["text"] for r in bpe.decode(bpe.encode(docs, path), path).collect()} == {i: t or "" for i, t in enumerate(TEXTS)}
     assert bpe.round_trip(docs.limit(0), path).count() == 0
@@ -363,6 +370,9 @@ def test_token_files(spark, tmp_path):
     assert sum(orc.ORCFile(str(p)).nrows for p in tmp_path.glob("tokens/*.orc")) == len(texts)
     empty = f"file://{tmp_path}/empty"
     token_files.write_tokens(docs_of(spark, [(1, "a", "en", "a")]).limit(0), empty, path, 2)
+    odd = f"file://{tmp_path}/odd"
+    token_files.write_tokens(docs_of(spark, [(None, "a b", "en", "a"), (3, "c", "en", "a"), (3, "c", "en", "a")]), odd, path, 2)
+    assert sorted((r["start"], str(r["doc_id"])) for r in token_files.token_places(spark, odd).collect()) == [(0, "None"), (3, "3"), (5, "3")]
     assert token_files.token_places(spark, empty).count() == 0
 
 
