@@ -359,6 +359,42 @@ def legacy(kind: str) -> str:
     return query(payload_hash(), positions(sets, "found_at"), ranked(" UNION ALL ".join([raw, *rows]), order=LEGACY_ORDER))
 
 
+def legacy_jpeg() -> str:
+    """The plans of the older engine's JPEG lanes."""
+    x_rows = "(SELECT doc_id FROM x)"
+    few = lambda name: f"(SELECT doc_id, unnest({sample('pos', 12)})::BIGINT AS p FROM found_at WHERE name = '{name}')"
+    ends = "JOIN (SELECT doc_id, pos AS ends FROM found_at WHERE name = 'eoi') USING (doc_id)"
+    soi, backs = few("soi"), "CROSS JOIN (VALUES (0, 0), (128, 1), (512, 2), (2048, 3), (8192, 4), (32768, 5)) t(b, nth)"
+    after = f"(SELECT *, list_filter(ends, lambda e: e > p) AS es FROM {soi} {ends})"
+    tails = f"(SELECT s.doc_id, p, n, least(size, p + n) AS e FROM {soi} s JOIN x USING (doc_id) CROSS JOIN (VALUES (65536), (262144), (1048576), (4194304)) t(n) WHERE least(size, p + n) - p >= 128)"
+    around = f"(SELECT doc_id, p, base, b, nth FROM bases {backs})"
+    around_ends = f"(SELECT doc_id, p, base, b, nth, unnest({later(4)}) AS e FROM {around} {ends})"
+    inner = f"(SELECT doc_id, p, b, nth FROM inners {backs})"
+    inner_ends = f"(SELECT doc_id, p, b, nth, unnest({later(3)}) AS e FROM {inner} {ends})"
+    order, start = "(p * 100000000 + base) * 10 + nth", "greatest(0, base - b)"
+    rows = [
+        plan_rows(x_rows, "'jpeg_raw_file'", 100, "slice", "0"), plan_rows(x_rows, "'jpeg_prepend_soi_whole'", 99, "slice", "0", prepend=K.SOI), plan_rows(x_rows, "'jpeg_prepend_soi_whole_append_eoi'", 98, "slice", "0", prepend=K.SOI, append=K.EOI),
+        plan_rows(f"(SELECT doc_id, p, unnest({later(6)}) AS e FROM {soi} {ends})", "'jpeg_soi_to_sampled_eoi'", 97, "slice", "p", "e + 2"),
+        plan_rows(f"{after} WHERE len(es) > 0", "'jpeg_soi_to_first_eoi'", 96, "slice", "p", "es[1] + 2"), plan_rows(f"{after} WHERE len(es) > 0", "'jpeg_soi_to_last_eoi'", 95, "slice", "p", "es[-1] + 2"),
+        plan_rows(soi, "'jpeg_soi_to_end'", 94, "slice", "p"), plan_rows(soi, "'jpeg_soi_to_end_append_eoi'", 93, "slice", "p", append=K.EOI),
+        plan_rows(tails, "'jpeg_soi_tail_' || n", 92, "slice", "p", "e", made="p * 10000000 + n"), plan_rows(tails, "'jpeg_soi_tail_' || n || '_append_eoi'", 91, "slice", "p", "e", append=K.EOI, made="p * 10000000 + n"),
+        plan_rows(around_ends, "'jpeg_sos_cluster_back_' || b || '_to_eoi'", 90, "slice", start, "e + 2", prepend=K.SOI, made=order), plan_rows(around, "'jpeg_sos_cluster_back_' || b || '_to_end'", 89, "slice", start, prepend=K.SOI, made=order),
+        plan_rows(around, "'jpeg_sos_cluster_back_' || b || '_to_end_append_eoi'", 88, "slice", start, prepend=K.SOI, append=K.EOI, made=order),
+        plan_rows(inner, "'jpeg_synthetic_soi_marker_back_' || b", 87, "slice", BEFORE, prepend=K.SOI, made="p * 10 + nth"), plan_rows(inner, "'jpeg_synthetic_soi_marker_back_' || b || '_append_eoi'", 86, "slice", BEFORE, prepend=K.SOI, append=K.EOI, made="p * 10 + nth"),
+        plan_rows(inner_ends, "'jpeg_synthetic_soi_marker_back_' || b || '_to_eoi'", 85, "slice", BEFORE, "e + 2", prepend=K.SOI, made="p * 10 + nth"),
+    ]
+    pools = f"""pools AS (
+  SELECT doc_id, list_sort(list_distinct(list_concat(coalesce(s.held, []), t.pos))) AS pool, t.pos AS structure FROM (SELECT doc_id, pos FROM found_at WHERE name = 'structure') t LEFT JOIN (SELECT doc_id, list(p) AS held FROM {soi} GROUP BY doc_id) s USING (doc_id)
+), bases AS (
+  SELECT doc_id, p, unnest(list_distinct(list_filter([p, list_max(list_filter(pool, lambda m: m <= p)), list_min(list_filter(pool, lambda m: m <= p AND p - m <= 131072))], lambda m: m IS NOT NULL))) AS base FROM {few("sos")} JOIN pools USING (doc_id)
+), inners AS (
+  SELECT doc_id, unnest({sample("pos", 18)})::BIGINT AS p FROM (SELECT doc_id, list_sort(list_distinct(list_concat(structure, coalesce(s.held, [])))) AS pos FROM pools LEFT JOIN (SELECT doc_id, list(p) AS held FROM {few("sos")} GROUP BY doc_id) s USING (doc_id))
+)"""
+    sets = {"soi": [K.SOI], "eoi": [K.EOI], "sos": [K.SOS], "structure": [K.APP0, K.APP1, K.DQT, K.DHT, *K.SOF]}
+    columns = "doc_id, ord, family, strategy, priority, kind, start, \"end\", prepend, append"
+    return query(f"SELECT {columns} FROM plans", positions(sets, "found_at"), pools, ranked(" UNION ALL ".join(rows), order=LEGACY_ORDER))
+
+
 ATTEMPTS = f"""probed AS (
   SELECT p.*, c.family AS class_family, c.label, (p.doc_id * 7 + ord * 3) % 5 <> 0 AS ok, 4 + (p.doc_id * 31 + ord * 17) % 4000 AS width, 4 + (p.doc_id * 13 + ord * 29) % 3000 AS height,
          CASE WHEN c.family IN {VIDEO} THEN (p.doc_id * 97) % 700000 ELSE 0 END AS duration_ms, CASE WHEN c.family IN {VIDEO} THEN p.doc_id % 400 ELSE 0 END AS frame_count,

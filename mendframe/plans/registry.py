@@ -144,7 +144,7 @@ def register(catalog: Catalog) -> None:
         add(f"candidates_{name}", on_evidence(lambda e, f=build: f(e.with_content(), digest=True).select(*PLAN, "payload_sha256")), O.query(O.payload_hash(), *O.ALL, O.OFFSETS, O.SYNCS, sql))
     for kind in ("png", "gif", "bmp", "tiff", "webp"):
         add(f"candidates_{kind}_legacy", on_blobs(lambda b, k=kind: candidates.legacy(b, k, digest=True).select(*PLAN, "payload_sha256")), O.legacy(kind))
-    add("candidates_jpeg_legacy", on_blobs(lambda b: candidates.legacy(b, "jpeg").select(*PLAN)))
+    add("candidates_jpeg_legacy", on_blobs(lambda b: candidates.legacy(b, "jpeg").select(*PLAN)), O.legacy_jpeg())
     for name, lane, sql in (("whole", candidates.jpeg_whole, O.WHOLE), ("soi_eoi", candidates.jpeg_soi, O.FROM_SOI), ("synthetic_soi", candidates.jpeg_synthetic_soi, O.FROM_MARK), ("hints", candidates.jpeg_hints, O.HINTS)):
         add(f"candidates_jpeg_{name}", on_evidence(lambda e, f=lane: candidates.jpeg(e.with_content(), f).select(*PLAN)), O.query(f"SELECT {PLAN_SQL} FROM plans", *O.ALL, O.ANCHORS, O.ranked(sql)))
     add("candidates_jpeg_rebuild", on_evidence(lambda e: rebuild.rebuild_plans(e.with_content())), O.query(O.REBUILT_ROWS, *O.ALL, *O.REBUILD))
