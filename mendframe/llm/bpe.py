@@ -26,12 +26,12 @@ import regex
 from pyspark.sql import DataFrame
 
 from mendframe.llm.pieces import gather, split_pieces
-from mendframe.llm.shared import small_batches, tidied
+from mendframe.llm.shared import slices, small_batches, tidied
 
 # fixed values of byte-level BPE: the word pattern
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 NO_PAIR = np.iinfo(np.int64).max
-CACHED_WORDS = 500_000
+CACHED_WORDS = 300_000
 LONG_WORD = 1000
 
 
@@ -238,7 +238,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     small_batches(docs.sparkSession)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1)):
             ids, starts = codec(path).encode_batch(batch.column(1))
             lists = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(ids, pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["doc_id", "tokens"])
@@ -266,7 +266,7 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1)):
             ids, starts = own.encode_batch(batch.column(1))
             little = memoryview(ids.astype("<u4")).cast("B")
             at = starts.tolist()

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mendframe.llm.shared import small_batches, tidied
+from mendframe.llm.shared import slices, small_batches, tidied
 
 ORDER = 4
 CHUNK = 400
@@ -38,7 +38,7 @@ HELD_BACK = 10
 DEVIATIONS = 8.0
 WIDEST = 1.5
 MARGIN = 0.5
-SCORED_AT_ONCE = 1 << 20
+SCORED_AT_ONCE = 1 << 18
 UNDETERMINED = "und"
 BLANK = 32
 
@@ -260,7 +260,7 @@ def identify(docs: DataFrame, models: Models) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         models = shared.value
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, where)):
             symbols, starts, letters = symbols_of(batch.column(where))
             names = np.array([*models.languages, UNDETERMINED], object)
             n = batch.num_rows

@@ -40,13 +40,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mendframe.llm.components import components
-from mendframe.llm.shared import estimated_bytes, materialise, own_name, small_batches, tidied
+from mendframe.llm.shared import estimated_bytes, materialise, own_name, slices, small_batches, tidied
 
 WORDS = 5
 PERCENT = 80
 KEY_BYTES = 6
 CHUNK_SHINGLES = 1_000_000
-TEXT_BYTES = 2 << 20
 CHUNK_ROWS = 60_000
 RECURS = 65_535
 LEAST_BUCKETS = 128
@@ -214,13 +213,7 @@ def chunked(rows: DataFrame, words: int, buckets: int) -> DataFrame:
             return chunk_rows(task + nth, buckets, ids, named, shingles, np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64))
 
         for batch in batches:
-            # slices of some TEXT_BYTES: what a text's words need in arrays is many times the text
-            before = np.concatenate([[0], np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(1)), 0)).astype(np.int64))])
-            at = 0
-            while at < batch.num_rows:
-                to = max(at + 1, int(np.searchsorted(before, before[at] + TEXT_BYTES)) - 1)
-                part = batch.slice(at, min(to - at, CHUNK_ROWS))
-                at += part.num_rows
+            for part in slices(batch, 1, CHUNK_ROWS):
                 if held and sum(len(h[0]) for h in held) + part.num_rows > CHUNK_ROWS:
                     yield closed()
                     nth += 1

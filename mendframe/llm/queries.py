@@ -88,7 +88,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def register(catalog: Catalog) -> None:
     """Adds the queries of this package to the catalog."""
     catalog.add("op1_mixing", op1_mixing, oracles.MIXING)
-    catalog.add("op2_ngram_join", op2_ngram_join)
+    catalog.add("op2_ngram_join", op2_ngram_join, oracles.NGRAM_JOIN)
     catalog.add("op3_fingerprints", op3_fingerprints)
     catalog.add("op4_language", op4_language)
     catalog.add("op5_pii", op5_pii)

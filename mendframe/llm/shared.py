@@ -8,12 +8,16 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WHITE_SPACE = "[\\x20\\x09-\\x0D]+"
 ARROW_BATCH_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
+SLICE_ROWS = 10_000
 MMAP_THRESHOLD, LARGE_ARRAY = -3, 2 << 20  # M_MMAP_THRESHOLD of the C library's mallopt
 
 
@@ -86,6 +90,16 @@ def tidied(run: Callable) -> Callable:
     return inner
 
 
+def slices(batch: pa.RecordBatch, column: int, rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with some bytes of text and so many rows at most: what a text needs in arrays is many times the text."""
+    sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0)).astype(np.int64)
+    before, at = np.concatenate([[0], np.cumsum(sizes)]), 0
+    while at < batch.num_rows:
+        to = max(at + 1, min(at + rows, int(np.searchsorted(before, before[at] + SLICE_BYTES)) - 1))
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def estimated_bytes(df: DataFrame) -> int:
     """Spark's estimate of a plan's size; 0 where it knows none, which reads as the largest long."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

@@ -273,7 +273,7 @@ def test_pii_takes_linear_time():
         assert took[1] < 24 * took[0] + 0.2, fill
 
 
-def test_vectors(spark):
+def test_vectors(spark, monkeypatch):
     rng = np.random.default_rng(1)
     base = rng.standard_normal((12, 16))
     flat = [(base[rng.integers(12)] + 0.15 * rng.standard_normal(16)).astype(np.float32) for _ in range(150)] + [base[0].astype(np.float32)] * 3
@@ -286,7 +286,8 @@ def test_vectors(spark):
     for _ in range(len(flat)):
         up = [min([up[i], *(up[j] for j in np.flatnonzero(near[i]))]) for i in range(len(flat))]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
-    for tile in (4096, 40):
+    for tile, block in ((4096, 256), (40, 256), (10, 2)):
+        monkeypatch.setattr(vectors, "CAP_BLOCK", block)
         got = {r["vec_id"]: r for r in vectors.link_vectors(table, tile=tile).collect()}
         assert [got[i]["n_links"] for i in range(len(flat))] == near.sum(axis=1).tolist() and [got[i]["component_id"] for i in range(len(flat))] == up
         assert all(got[i]["n_links"] == 0 and got[i]["kept"] for i in range(900, 906)) and len(got) == len(rows)
