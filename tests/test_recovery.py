@@ -153,6 +153,11 @@ def test_workspace_and_blobs(spark, tmp_path):
     store = Store(spark, f"file://{tmp_path}/store")
     store.files.claim(f"{store.root}/_claims/run-000001")  # another writer has taken it
     assert store.start_run("scan", "jpeg-v1") == 2 and store.latest_run() == 2
+    store.append("signatures", spark.createDataFrame([(2, 1, "png")], "run_id long, doc_id long, family string"))
+    store.append("signatures", spark.createDataFrame([(2, 2, "gif", 0.5)], "run_id long, doc_id long, family string, confidence double"))  # a column more
+    assert {(r["doc_id"], r["confidence"]) for r in store.of_run("signatures").collect()} == {(1, None), (2, 0.5)}
+    with pytest.raises(ValueError, match="Run 0 not found"):
+        store.of_run("signatures", 0)
 
 
 FAKE = """#!/usr/bin/env python3
