@@ -19,9 +19,11 @@ import json
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
@@ -31,7 +33,7 @@ from mendframe.llm.shared import slices, small_batches, tidied
 # fixed values of byte-level BPE: the word pattern
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 NO_PAIR = np.iinfo(np.int64).max
-CACHED_WORDS = 300_000
+CACHED_WORDS = 500_000
 LONG_WORD = 1000
 
 
@@ -156,9 +158,10 @@ class Codec:
 
     def _known(self, words: list[bytes | int]) -> np.ndarray:
         """Rows of the store for words; new ones are merged in one go. The caller keeps the store from growing too far."""
-        rows = self.rows
-        new = [w for w in dict.fromkeys(words) if w not in rows]
-        if new:
+        rows = np.fromiter(map(self.rows.get, words, repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(rows < 0)
+        if len(missing):
+            new = list(dict.fromkeys(words[i] for i in missing.tolist()))
             merged = [w for w in new if isinstance(w, bytes)]
             ids, starts = self.merge_words(merged)
             special = np.array([w for w in new if not isinstance(w, bytes)], np.int64)
@@ -166,8 +169,39 @@ class Codec:
             self.store_ids = np.concatenate([self.store_ids, ids, special])
             ends = np.concatenate([starts[1:], len(ids) + 1 + np.arange(len(special))])
             self.store_starts = np.concatenate([self.store_starts, base + ends])
-            rows.update(zip(merged + special.tolist(), range(n, n + len(new)), strict=True))
-        return np.fromiter(map(rows.__getitem__, words), np.int64, len(words))
+            self.rows.update(zip(merged + special.tolist(), range(n, n + len(new)), strict=True))
+            rows[missing] = np.fromiter((self.rows[words[i]] for i in missing.tolist()), np.int64, len(missing))
+        return rows
+
+    def _piece_rows(self, pieces: pa.Array, blank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of the store for the words of pieces, led by a blank where `blank` says so, and where each piece begins.
+
+        Letters alone are one word, and so are a comma or full stop behind them; other pieces go through the pattern.
+        """
+        tail, stem = pc.utf8_slice_codeunits(pieces, -1), pc.utf8_slice_codeunits(pieces, 0, -1)
+        comma = pc.equal(tail, ",")
+        cut = pc.and_(pc.or_(comma, pc.equal(tail, ".")), pc.utf8_is_alpha(stem))
+        lead = pc.if_else(pa.array(blank), " ", "").cast(pieces.type)
+        whole = pc.binary_join_element_wise(lead, pc.if_else(cut, stem, pieces), pa.scalar("", pieces.type))
+        plain = np.asarray(pc.or_(cut, pc.utf8_is_alpha(pieces)))
+        cut, comma = np.asarray(cut), np.asarray(comma)
+        coded = pc.dictionary_encode(whole.filter(pa.array(plain)))
+        own = self._known(coded.dictionary.cast(pa.large_binary()).to_pylist())[np.asarray(coded.indices).astype(np.int64)]
+        signs = self._known([b",", b"."])
+        hard: list[bytes | int] = []
+        sizes = [0]
+        for text in whole.filter(pa.array(~plain)).to_pylist():
+            self._words(text, hard)
+            sizes.append(len(hard))
+        count = (1 + cut).astype(np.int64)
+        count[~plain] = np.diff(sizes)
+        ends = np.concatenate([[0], np.cumsum(count)])
+        rows = np.empty(ends[-1], np.int64)
+        of_plain = np.repeat(plain, count)
+        rows[~of_plain] = self._known(hard)
+        rows[ends[:-1][plain]] = own
+        rows[ends[1:][cut] - 1] = np.where(comma[cut], signs[0], signs[1])
+        return rows, ends
 
     def _forget(self) -> None:
         self.rows: dict[bytes | int, int] = {}
@@ -180,9 +214,8 @@ class Codec:
         if len(self.rows) > CACHED_WORDS:
             self._forget()
         pieces, codes, offsets = split_pieces(texts)
-        named = pieces.to_pylist()
-        n, sizes = len(named), np.diff(offsets)
-        loose = np.fromiter((not p or p[0].isspace() or p[-1].isspace() for p in named), bool, n)
+        n, sizes = len(pieces), np.diff(offsets)
+        loose = blanks(pc.utf8_slice_codeunits(pieces, 0, 1)) | blanks(pc.utf8_slice_codeunits(pieces, -1))
         whole = np.add.reduceat(loose[codes].astype(np.int64), offsets[:-1]) > 0
         # codes from n on are pieces at the start of a text; the others have their blank before them
         leads = np.zeros(len(codes), np.int64)
@@ -191,24 +224,14 @@ class Codec:
         used = np.flatnonzero(np.bincount(shifted, minlength=2 * n))
         place = np.zeros(2 * n, np.int64)
         place[used] = np.arange(len(used))
+        rows, word_starts = self._piece_rows(pieces.take(pa.array(used % n)), used < n)
         words: list[bytes | int] = []
         ends = []
-        for c in used.tolist():
-            piece = named[c - n] if c >= n else named[c]
-            lead = "" if c >= n else " "
-            if piece.isalpha():
-                words.append((lead + piece).encode())
-            elif piece[-1] in ",." and piece[:-1].isalpha():
-                words.append((lead + piece[:-1]).encode())
-                words.append(piece[-1].encode())
-            else:
-                self._words(lead + piece, words)
-            ends.append(len(words))
         for i in np.flatnonzero(whole).tolist():
             self._words(texts[i].as_py() or "", words)
-            ends.append(len(words))
-        rows = self._known(words)
-        word_starts = np.concatenate([[0], np.array(ends, np.int64)])
+            ends.append(len(rows) + len(words))
+        rows = np.concatenate([rows, self._known(words)])
+        word_starts = np.concatenate([word_starts, np.array(ends, np.int64)])
         order = np.empty(len(shifted) + int(whole.sum()), np.int64)
         begins = np.concatenate([[0], np.cumsum(np.where(whole, 1, sizes))])
         single = np.zeros(len(order), bool)
@@ -228,6 +251,12 @@ class Codec:
         return [raw[a:b].decode("utf-8", "replace") for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
+def blanks(characters: pa.Array) -> np.ndarray:
+    """Which of the characters are blank, or missing."""
+    coded = pc.dictionary_encode(characters)
+    return np.array([not c or c.isspace() for c in coded.dictionary.to_pylist()], bool)[np.asarray(coded.indices)]
+
+
 @lru_cache(maxsize=4)
 def codec(path: str) -> Codec:
     return Codec(path)
@@ -238,7 +267,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     small_batches(docs.sparkSession)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for whole in batches for part in slices(whole, 1)):
+        for batch in (part for whole in batches for part in slices(whole, 1, most=4 << 20)):
             ids, starts = codec(path).encode_batch(batch.column(1))
             lists = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(ids, pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["doc_id", "tokens"])
@@ -266,7 +295,7 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
-        for batch in (part for whole in batches for part in slices(whole, 1)):
+        for batch in (part for whole in batches for part in slices(whole, 1, most=4 << 20)):
             ids, starts = own.encode_batch(batch.column(1))
             little = memoryview(ids.astype("<u4")).cast("B")
             at = starts.tolist()

@@ -90,12 +90,12 @@ def tidied(run: Callable) -> Callable:
     return inner
 
 
-def slices(batch: pa.RecordBatch, column: int, rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: int, rows: int = SLICE_ROWS, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with some bytes of text and so many rows at most: what a text needs in arrays is many times the text."""
     sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0)).astype(np.int64)
     before, at = np.concatenate([[0], np.cumsum(sizes)]), 0
     while at < batch.num_rows:
-        to = max(at + 1, min(at + rows, int(np.searchsorted(before, before[at] + SLICE_BYTES)) - 1))
+        to = max(at + 1, min(at + rows, int(np.searchsorted(before, before[at] + most)) - 1))
         yield batch.slice(at, to - at)
         at = to
 
