@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WHITE_SPACE = "[\\x20\\x09-\\x0D]+"
-ARROW_BATCH_BYTES = 8 << 20
+ARROW_BATCH_BYTES = 4 << 20
 SLICE_BYTES = 2 << 20
 SLICE_ROWS = 10_000
 MMAP_THRESHOLD, LARGE_ARRAY = -3, 2 << 20  # M_MMAP_THRESHOLD of the C library's mallopt
@@ -63,14 +63,14 @@ def materialise(df: DataFrame, kind: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession) -> None:
+def small_batches(spark: SparkSession, most: int = ARROW_BATCH_BYTES) -> None:
     """Bounds Arrow batches by bytes, so that long texts don't pile up in a Python worker.
 
     Plans read the setting when they run, so it stays for the session; a smaller one is kept.
     """
     now = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None)
-    if not (now or "").isdigit() or not 0 < int(now) <= ARROW_BATCH_BYTES:
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BATCH_BYTES))
+    if not (now or "").isdigit() or not 0 < int(now) <= most:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most))
 
 
 def tidied(run: Callable) -> Callable:
@@ -90,12 +90,12 @@ def tidied(run: Callable) -> Callable:
     return inner
 
 
-def slices(batch: pa.RecordBatch, column: int, rows: int = SLICE_ROWS, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: int, rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with some bytes of text and so many rows at most: what a text needs in arrays is many times the text."""
     sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0)).astype(np.int64)
     before, at = np.concatenate([[0], np.cumsum(sizes)]), 0
     while at < batch.num_rows:
-        to = max(at + 1, min(at + rows, int(np.searchsorted(before, before[at] + most)) - 1))
+        to = max(at + 1, min(at + rows, int(np.searchsorted(before, before[at] + SLICE_BYTES)) - 1))
         yield batch.slice(at, to - at)
         at = to
 

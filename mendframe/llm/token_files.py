@@ -41,6 +41,7 @@ CACHED_WORDS = 600_000
 ENCODED_AT_ONCE = 5_000
 JOINED = 500
 FILE_BYTES = 256 << 20
+BATCH_BYTES = 8 << 20
 
 
 class PieceEncoder:
@@ -148,7 +149,7 @@ def encoder(path: str) -> PieceEncoder:
 
 def write_tokens(docs: DataFrame, folder: str, path: str, end_id: int) -> None:
     """Encodes documents and writes them to folder as ORC in ascending doc_id order."""
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, BATCH_BYTES)  # larger ones repeat fewer pieces
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     files = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), estimated_bytes(rows) // FILE_BYTES)
     placed = rows.repartitionByRange(files, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
@@ -177,7 +178,7 @@ def read_tokens(spark: SparkSession, folder: str, doc_ids: list[int] | None = No
 
 def token_places(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of every row of the files."""
-    small_batches(spark)
+    small_batches(spark, BATCH_BYTES)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
