@@ -1,18 +1,22 @@
-"""Reading pictures without a decoder library: sizes, modes, errors, and the entropy of grey values.
+"""Reading and writing pictures without a decoder library: sizes, modes, pixels, errors, and the entropy of grey values.
 
-PNG, GIF, BMP and uncompressed TIFF are decoded whole. Of a JPEG the header, its tables and the coded data are read; grey
-values are the means of its 8 x 8 blocks, which is the picture at an eighth of its size (progressive ones: their first
-scan). Pictures that break off count as read, as far as they go. WebP, HEIF, AVIF and JPEG 2000 have no reader here.
+PNG, GIF, BMP, uncompressed TIFF and sequential JPEG are decoded whole. Of progressive JPEGs the first scan is read; their
+grey values are the means of 8 x 8 blocks, the picture at an eighth of its size. Pictures that break off count as read,
+as far as they go. WebP, HEIF, AVIF and JPEG 2000 have no reader here. PNG, BMP, TIFF and JPEG can be written.
 """
 from __future__ import annotations
 
+import re
 import struct
 import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 
+from mendframe.functions import jpeg_tables as J
 from mendframe.functions import kinds as K
 
 
@@ -254,9 +258,15 @@ class Frame:
 
 @dataclass
 class Tables:
-    steps: dict[int, int] = field(default_factory=dict)  # table number: the step of block means
+    steps: dict[int, list[int]] = field(default_factory=dict)  # table number: steps in the order of diagonals
     codes: dict[int, dict] = field(default_factory=dict)  # class and number: (length, code) -> value
     restart: int = 0
+    plain_rgb: bool = False
+
+
+ZIGZAG = J.zigzag()
+#: row u holds the values of the u-th cosine at 8 places
+COSINES = np.array([[np.sqrt((1 if u == 0 else 2) / 8) * np.cos((2 * x + 1) * u * np.pi / 16) for x in range(8)] for u in range(8)])
 
 
 def huffman_codes(body: bytes) -> dict[int, dict]:
@@ -275,123 +285,201 @@ def huffman_codes(body: bytes) -> dict[int, dict]:
     return out
 
 
+@lru_cache(maxsize=64)
+def lookup(codes: tuple[tuple[tuple[int, int], int], ...]) -> list[tuple[int, int]]:
+    """For each 16 bits the length and value of the code that they begin with; length 17 where there is none."""
+    out = [(17, 0)] * 65536
+    for (length, code), value in codes:
+        first, n = code << 16 - length, 1 << 16 - length
+        out[first : first + n] = [(length, value)] * n
+    return out
+
+
 class Bits:
     """Bits of coded data, without stuffed bytes."""
 
     def __init__(self, data: bytes) -> None:
         self.data, self.at, self.held, self.left = data.replace(b"\xff\0", b"\xff"), 0, 0, 0
 
-    def take(self, n: int) -> int:
-        while self.left < n:
-            if self.at >= len(self.data):
-                raise EOFError
-            self.held = (self.held << 8 | self.data[self.at]) & 0xFFFFFFFF
-            self.at += 1
-            self.left += 8
-        self.left -= n
-        return self.held >> self.left & (1 << n) - 1
-
-    def value(self, codes: dict) -> int:
-        code = 0
-        for length in range(1, 17):
-            code = code << 1 | self.take(1)
-            if (length, code) in codes:
-                return codes[length, code]
-        raise EOFError  # no such code: what follows can't be read
+    def fill(self) -> None:
+        """Takes up six more bytes, or what there is."""
+        more = self.data[self.at : self.at + 6]
+        self.at += len(more)
+        self.held = (self.held & (1 << self.left) - 1) << 8 * len(more) | int.from_bytes(more, "big")
+        self.left += 8 * len(more)
+
+    def value(self, table: list[tuple[int, int]]) -> int:
+        if self.left < 16:
+            self.fill()
+        peek = self.held >> self.left - 16 if self.left >= 16 else self.held << 16 - self.left
+        length, value = table[peek & 65535]
+        if length > self.left:
+            raise EOFError  # no such code, or no more data: what follows can't be read
+        self.left -= length
+        return value
 
     def signed(self, size: int) -> int:
-        bits = self.take(size) if size else 0
-        return bits if not size or bits >> size - 1 else bits - (1 << size) + 1
-
-
-def block_means(frame: Frame, tables: Tables, scan: bytes, parts: list[tuple[int, int, int]], only_means: bool, shift: int) -> list[int]:
-    """Means of the first component's blocks in coded order, as far as the data go; the rest are mid-grey."""
-    widest, tallest = (max(p[i] for p in frame.parts.values()) for i in (0, 1))
-    units = -(-frame.width // (8 * widest)) * -(-frame.height // (8 * tallest))
-    first = parts[0][0]
-    per_unit = frame.parts[first][0] * frame.parts[first][1] if len(parts) > 1 else 1
-    if len(parts) == 1:
-        across, down, _ = frame.parts[first]
-        units = -(-frame.width * across // (8 * widest)) * -(-frame.height * down // (8 * tallest))
-    pieces, at = [], 0
-    for i in range(len(scan) - 1):
-        if scan[i] == 0xFF and 0xD0 <= scan[i + 1] <= 0xD7:
-            pieces.append(scan[at:i])
-            at = i + 2
-    pieces.append(scan[at:])
-    out: list[int] = []
-    step = tables.steps[frame.parts[first][2]]
-    for nth, piece in enumerate(pieces):
-        bits, held = Bits(piece), dict.fromkeys(frame.parts, 0)
-        todo = min(tables.restart or units, units - nth * tables.restart) if tables.restart else units
-        try:
-            for _ in range(todo):
-                for number, means, others in parts:
-                    across, down, _ = frame.parts[number]
-                    for _ in range(across * down if len(parts) > 1 else 1):
-                        held[number] += bits.signed(bits.value(tables.codes[means])) << shift
+        if not size:
+            return 0
+        if self.left < size:
+            self.fill()
+            if self.left < size:
+                raise EOFError
+        self.left -= size
+        bits = self.held >> self.left & (1 << size) - 1
+        return bits if bits >> size - 1 else bits - (1 << size) + 1
+
+
+class Coefficients:
+    """Dequantised coefficients of all blocks of a frame, by component; blocks that no data reach stay zero, mid-grey."""
+
+    def __init__(self, frame: Frame) -> None:
+        self.frame = frame
+        self.widest, self.tallest = (max(p[i] for p in frame.parts.values()) for i in (0, 1))
+        self.units = -(-frame.width // (8 * self.widest)), -(-frame.height // (8 * self.tallest))
+        need(self.units[0] * self.units[1] * sum(a * b for a, b, _ in frame.parts.values()) < 1 << 24, "size beyond what a blob can hold")
+        self.blocks = {n: np.zeros((self.units[1] * b, self.units[0] * a, 64), np.int32) for n, (a, b, _) in frame.parts.items()}
+
+    def places(self, parts: list[tuple[int, int, int]]) -> Iterator[list[tuple[int, int, int]]]:
+        """The blocks (place in parts, row, column) of each unit of a scan, in coded order."""
+        if len(parts) == 1:
+            across, down, _ = self.frame.parts[parts[0][0]]
+            wide, high = -(-self.frame.width * across // (8 * self.widest)), -(-self.frame.height * down // (8 * self.tallest))
+            yield from ([(0, y, x)] for y in range(high) for x in range(wide))
+            return
+        for uy in range(self.units[1]):
+            for ux in range(self.units[0]):
+                yield [(i, uy * self.frame.parts[n][1] + v, ux * self.frame.parts[n][0] + h) for i, (n, _, _) in enumerate(parts) for v in range(self.frame.parts[n][1]) for h in range(self.frame.parts[n][0])]
+
+    def decode(self, tables: Tables, scan: bytes, parts: list[tuple[int, int, int]], only_means: bool, shift: int) -> None:
+        """Fills in the blocks of a scan, as far as its data go."""
+        pieces, at = [], 0
+        for mark in RESTARTS.finditer(scan):
+            pieces.append(scan[at : mark.start()])
+            at = mark.end()
+        pieces.append(scan[at:])
+        looks = {n: lookup(tuple(tables.codes[n].items())) for _, means, others in parts for n in (means, 0x10 | others) if n in tables.codes}
+        units = self.places(parts)
+        for piece in pieces:
+            bits, held = Bits(piece), [0] * len(parts)
+            todo = islice(units, tables.restart) if tables.restart else units
+            for unit in todo:
+                try:
+                    for i, y, x in unit:
+                        number, means, others = parts[i]
+                        steps, block = tables.steps[self.frame.parts[number][2]], [0] * 64
+                        held[i] += bits.signed(bits.value(looks[means])) << shift
+                        block[0] = held[i] * steps[0]
                         k = 1
                         while k < 64 and not only_means:
-                            value = bits.value(tables.codes[0x10 | others])
+                            value = bits.value(looks[0x10 | others])
                             if not value & 15 and value != 0xF0:
                                 break
-                            k += (value >> 4) + 1
-                            bits.signed(value & 15)
-                        if number == first:
-                            out.append(min(255, max(0, held[number] * step // 8 + 128)))
-        except EOFError:
-            pass
-        if not tables.restart:
-            break
-    return (out + [128] * (units * per_unit - len(out)))[: units * per_unit]
+                            k += value >> 4
+                            if value & 15 and k < 64:
+                                block[ZIGZAG[k]] = bits.signed(value & 15) * steps[k]
+                            k += 1
+                        self.blocks[number][y, x] = np.clip(block, -(1 << 20), 1 << 20)
+                except EOFError:
+                    break
+            for _ in todo if tables.restart else ():
+                pass  # what a broken piece leaves out keeps its place
+
+    def plane(self, number: int) -> np.ndarray:
+        """Values of a component, at its own size."""
+        blocks = self.blocks[number]
+        values = np.einsum("uy,abuv,vx->aybx", COSINES, blocks.reshape(*blocks.shape[:2], 8, 8).astype(np.float64), COSINES, optimize=True)
+        return np.clip(np.rint(values.reshape(blocks.shape[0] * 8, blocks.shape[1] * 8) + 128), 0, 255).astype(np.uint8)
+
+    def pixels(self, plain_rgb: bool) -> np.ndarray:
+        """Pixels of one or three channels, parts of fewer samples spread out."""
+        planes = []
+        for number, (across, down, _) in self.frame.parts.items():
+            own = self.plane(number)
+            rows, columns = (np.arange(n) * part // most for n, part, most in ((self.frame.height, down, self.tallest), (self.frame.width, across, self.widest)))
+            planes.append(own[rows][:, columns])
+        out = np.stack(planes, axis=2)
+        if len(planes) < 3 or plain_rgb:
+            return out
+        y, cb, cr = (out[:, :, i].astype(np.float64) - (128 if i else 0) for i in range(3))
+        return np.clip(np.rint(np.stack([y + 1.402 * cr, y - 0.344136 * cb - 0.714136 * cr, y + 1.772 * cb], axis=2)), 0, 255).astype(np.uint8)
+
+
+RESTARTS = re.compile(b"\xff[\xd0-\xd7]")
+SCAN_END = re.compile(b"\xff[^\x00\xd0-\xd7\xff]")
+
+
+def frame_of(marker: int, body: bytes) -> Frame:
+    need(len(body) >= 6 and len(body) >= 6 + 3 * body[5] and body[5] in (1, 3, 4), "bad frame header")
+    parts = {body[6 + 3 * i]: (body[7 + 3 * i] >> 4, body[7 + 3 * i] & 15, body[8 + 3 * i]) for i in range(body[5])}
+    need(len(parts) == body[5] and all(0 < a < 5 and 0 < b < 5 for a, b, _ in parts.values()), "bad frame header")
+    frame = Frame(int.from_bytes(body[3:5], "big"), int.from_bytes(body[1:3], "big"), marker == 0xC2, marker in (0xC0, 0xC1, 0xC2) and body[0] == 8, parts)
+    need(frame.width and frame.height, "empty picture")
+    need(frame.readable, f"frame {marker:02X} of {body[0]} bits is not read")
+    return frame
+
+
+def scan_parts(frame: Frame, tables: Tables, body: bytes) -> list[tuple[int, int, int]]:
+    """Components of a scan with the numbers of their Huffman tables."""
+    need(body and len(body) == 4 + 2 * body[0] and body[0], "bad start of scan")
+    parts = [(body[1 + 2 * i], body[2 + 2 * i] >> 4, body[2 + 2 * i] & 15) for i in range(body[0])]
+    need(all(p[0] in frame.parts for p in parts), "a scan of unknown components")
+    for number, first, other in parts:
+        need(frame.parts[number][2] in tables.steps, f"quantisation table {frame.parts[number][2]} is not defined")
+        need(first in tables.codes and (frame.progressive or 0x10 | other in tables.codes), f"Huffman table {other} is not defined")
+    return parts
 
 
 def read_jpeg(data: bytes) -> Picture:
-    at, frame, tables, means = 2, None, Tables(), None
-    while means is None:
-        at = data.find(b"\xff", at)
-        need(0 <= at < len(data) - 1, "no start of scan" if frame else "no frame header")
-        marker, at = data[at + 1], at + 1
-        if marker in (0, 0xFF) or 0xD0 <= marker <= 0xD8 or marker == 1:
-            at += marker != 0xFF
-            continue
-        need(marker != 0xD9, "no start of scan")
-        size = int.from_bytes(data[at + 1 : at + 3], "big")
-        body, at = data[at + 3 : at + 1 + size], at + 1 + size
-        need(size >= 2 and len(body) == size - 2, "a segment is cut off")
-        if marker == 0xDB:
-            place = 0
-            while place < len(body):
-                wide = 2 if body[place] >> 4 else 1
-                need(place + 64 * wide < len(body), "a quantisation table is cut off")
-                tables.steps[body[place] & 15] = int.from_bytes(body[place + 1 : place + 1 + wide], "big")
-                place += 1 + 64 * wide
-        elif marker == 0xC4:
-            tables.codes |= huffman_codes(body)
-        elif marker == 0xDD:
-            tables.restart = int.from_bytes(body[:2], "big")
-        elif f"FF{marker:02X}" in K.SOF:
-            need(len(body) >= 6 and len(body) >= 6 + 3 * body[5] and body[5] in (1, 3, 4), "bad frame header")
-            parts = {body[6 + 3 * i]: (body[7 + 3 * i] >> 4, body[7 + 3 * i] & 15, body[8 + 3 * i]) for i in range(body[5])}
-            need(len(parts) == body[5] and all(0 < a < 5 and 0 < b < 5 for a, b, _ in parts.values()), "bad frame header")
-            frame = Frame(int.from_bytes(body[3:5], "big"), int.from_bytes(body[1:3], "big"), marker == 0xC2, marker in (0xC0, 0xC1, 0xC2) and body[0] == 8, parts)
-            need(frame.width and frame.height, "empty picture")
-            need(frame.readable, f"frame {marker:02X} of {body[0]} bits is not read")
-        elif marker == 0xDA:
-            need(frame, "no frame header")
-            need(body and len(body) == 4 + 2 * body[0] and body[0], "bad start of scan")
-            parts = [(body[1 + 2 * i], body[2 + 2 * i] >> 4, body[2 + 2 * i] & 15) for i in range(body[0])]
-            need(all(p[0] in frame.parts for p in parts), "a scan of unknown components")
-            for number, first, other in parts:
-                need(frame.parts[number][2] in tables.steps, f"quantisation table {frame.parts[number][2]} is not defined")
-                need(first in tables.codes and (frame.progressive or 0x10 | other in tables.codes), f"Huffman table {other} is not defined")
-            end = at
-            while 0 <= end < len(data) - 1 and not (data[end] == 0xFF and data[end + 1] and not 0xD0 <= data[end + 1] <= 0xD7):
-                end = data.find(b"\xff", end + 1 + (data[end] == 0xFF))
-            scan = data[at : end if 0 <= end < len(data) - 1 else len(data)]
-            need(not frame.progressive or body[-3] == 0, "no scan of block means")
-            means = block_means(frame, tables, scan, parts, frame.progressive, body[-1] & 15 if frame.progressive else 0)
-    return Picture(frame.width, frame.height, {1: "L", 3: "RGB", 4: "CMYK"}[len(frame.parts)], "JPEG", np.array(means, np.uint8))
+    at, frame, tables, held = 2, None, Tables(), None
+    try:
+        while True:
+            at = data.find(b"\xff", at)
+            need(0 <= at < len(data) - 1, "no start of scan" if frame else "no frame header")
+            marker, at = data[at + 1], at + 1
+            if marker in (0, 0xFF) or 0xD0 <= marker <= 0xD8 or marker == 1:
+                at += marker != 0xFF
+                continue
+            need(marker != 0xD9, "no start of scan")
+            size = int.from_bytes(data[at + 1 : at + 3], "big")
+            body, at = data[at + 3 : at + 1 + size], at + 1 + size
+            need(size >= 2 and len(body) == size - 2, "a segment is cut off")
+            if marker == 0xDB:
+                place = 0
+                while place < len(body):
+                    wide = 2 if body[place] >> 4 else 1
+                    need(place + 64 * wide < len(body), "a quantisation table is cut off")
+                    tables.steps[body[place] & 15] = [int.from_bytes(body[i : i + wide], "big") for i in range(place + 1, place + 1 + 64 * wide, wide)]
+                    place += 1 + 64 * wide
+            elif marker == 0xC4:
+                tables.codes |= huffman_codes(body)
+            elif marker == 0xDD:
+                tables.restart = int.from_bytes(body[:2], "big")
+            elif marker == 0xEE and body[:5] == b"Adobe" and len(body) > 11:
+                tables.plain_rgb = body[11] == 0
+            elif f"FF{marker:02X}" in K.SOF:
+                need(frame is None, "a second frame header")
+                frame = frame_of(marker, body)
+            elif marker == 0xDA:
+                need(frame, "no frame header")
+                parts = scan_parts(frame, tables, body)
+                end = SCAN_END.search(data, at)
+                scan, at = data[at : end.start() if end else len(data)], end.start() if end else len(data)
+                need(held or not frame.progressive or body[-3] == 0, "no scan of block means")
+                if held is None:
+                    held = Coefficients(frame)
+                elif frame.progressive:
+                    break
+                held.decode(tables, scan, parts, frame.progressive, body[-1] & 15 if frame.progressive else 0)
+    except Broken:
+        if held is None:
+            raise
+    mode = {1: "L", 3: "RGB", 4: "CMYK"}[len(frame.parts)]
+    if frame.progressive or len(frame.parts) == 4:
+        first = next(iter(held.blocks.values()))
+        return Picture(frame.width, frame.height, mode, "JPEG", np.clip(first[:, :, 0] // 8 + 128, 0, 255).astype(np.uint8))
+    pixels = held.pixels(tables.plain_rgb)
+    return Picture(frame.width, frame.height, mode, "JPEG", greys(pixels), pixels)
 
 
 READERS: list[tuple[str, Callable[[bytes], Picture]]] = [
@@ -432,3 +520,94 @@ def write_bmp(pixels: np.ndarray) -> bytes:
     rows[:, : 3 * width] = rgb[::-1, :, ::-1].reshape(height, -1)
     header = struct.pack("<IiiHHIIiiII", 40, width, height, 1, 24, 0, rows.size, 2835, 2835, 0, 0)
     return b"BM" + struct.pack("<IHHI", 54 + rows.size, 0, 0, 54) + header + rows.tobytes()
+
+
+def write_tiff(pixels: np.ndarray) -> bytes:
+    """An uncompressed TIFF of 8-bit pixels in one strip; grey with transparency becomes grey."""
+    pixels = pixels[:, :, :1] if pixels.shape[2] == 2 else pixels
+    height, width, channels = pixels.shape
+    depths = struct.pack("<4H", *[8] * 4)
+    entries = [
+        (256, 4, 1, width), (257, 4, 1, height), (258, 3, channels, 8), (259, 3, 1, 1), (262, 3, 1, 1 if channels == 1 else 2), (273, 4, 1, 16), (277, 3, 1, channels), (278, 4, 1, height), (279, 4, 1, pixels.size),
+    ] + ([(338, 3, 1, 2)] if channels == 4 else [])
+    body = pixels.tobytes() + b"\0" * (pixels.size % 2)
+    table = struct.pack("<H", len(entries)) + b"".join(struct.pack("<HHII", *(e if e[0] != 258 or channels < 3 else (258, 3, channels, 8))) for e in entries) + struct.pack("<I", 0)
+    return b"II*\0" + struct.pack("<I", 16 + len(body)) + depths + body + table
+
+
+class BitWriter:
+    """Coded data of a scan, with bytes stuffed."""
+
+    def __init__(self) -> None:
+        self.out, self.held, self.left = bytearray(), 0, 0
+
+    def put(self, value: int, n: int) -> None:
+        self.held, self.left = self.held << n | value, self.left + n
+        while self.left >= 8:
+            byte = self.held >> self.left - 8 & 255
+            self.out += bytes([byte, 0]) if byte == 255 else bytes([byte])
+            self.left -= 8
+        self.held &= (1 << self.left) - 1
+
+    def number(self, value: int) -> None:
+        """The bits of a number of its own size; negative ones are one less."""
+        n = abs(value).bit_length()
+        if n:
+            self.put(value if value > 0 else value + (1 << n) - 1, n)
+
+    def done(self) -> bytes:
+        self.put((1 << -self.left % 8) - 1, -self.left % 8)
+        return bytes(self.out)
+
+
+def write_jpeg(pixels: np.ndarray, quality: int = 95) -> bytes:
+    """A sequential JPEG of grey pixels or of colours without subsampling, with the standard's tables."""
+    grey = pixels.shape[2] < 3
+    parts = 1 if grey else 3
+    height, width, _ = pixels.shape
+    rgb = pixels[:, :, :parts].astype(np.float64)
+    if grey:
+        planes = [rgb[:, :, 0]]
+    else:
+        r, g, b = (rgb[:, :, i] for i in range(3))
+        planes = [0.299 * r + 0.587 * g + 0.114 * b, 128 - 0.168736 * r - 0.331264 * g + 0.5 * b, 128 + 0.5 * r - 0.418688 * g - 0.081312 * b]
+    segments = J.quantisation(parts, quality)
+    steps = [list(segments[5 + 69 * i : 69 * (i + 1)]) for i in range(min(2, parts))]
+    coded = []
+    for i, plane in enumerate(planes):
+        whole = np.pad(plane, ((0, -height % 8), (0, -width % 8)), mode="edge") - 128
+        blocks = np.einsum("uy,aybx,vx->abuv", COSINES, whole.reshape(whole.shape[0] // 8, 8, whole.shape[1] // 8, 8), COSINES, optimize=True).reshape(whole.shape[0] // 8, whole.shape[1] // 8, 64)
+        coded.append(np.rint(blocks[:, :, ZIGZAG] / np.array(steps[min(i, 1)])).astype(int).tolist())
+    tables = J.huffman(parts)
+    codes, at = {}, 0
+    while at < len(tables):
+        size = int.from_bytes(tables[at + 2 : at + 4], "big")
+        for number, own in huffman_codes(tables[at + 4 : at + 2 + size]).items():
+            codes[number] = {value: key for key, value in own.items()}
+        at += 2 + size
+    bits, before = BitWriter(), [0] * parts
+    for y in range(len(coded[0])):
+        for x in range(len(coded[0][0])):
+            for i in range(parts):
+                block, table = coded[i][y][x], min(i, 1)
+                change, before[i] = block[0] - before[i], block[0]
+                bits.put(*reversed(codes[table][abs(change).bit_length()]))
+                bits.number(change)
+                zeros, last = 0, max((k for k in range(1, 64) if block[k]), default=0)
+                for value in block[1 : last + 1]:
+                    if not value:
+                        zeros += 1
+                        continue
+                    for _ in range(zeros // 16):
+                        bits.put(*reversed(codes[0x10 | table][0xF0]))
+                    bits.put(*reversed(codes[0x10 | table][zeros % 16 << 4 | abs(value).bit_length()]))
+                    bits.number(value)
+                    zeros = 0
+                if last < 63:
+                    bits.put(*reversed(codes[0x10 | table][0]))
+    frame = struct.pack(">BHHB", 8, height, width, parts) + b"".join(bytes([i + 1, 0x11, min(i, 1)]) for i in range(parts))
+    sof = J.segment("FFC0", frame)
+    return bytes.fromhex(K.SOI) + J.JFIF + segments + sof + tables + J.scan_header(sof) + bits.done() + bytes.fromhex(K.EOI)
+
+
+WRITERS: dict[str, Callable[[np.ndarray], bytes]] = {"png": write_png, "bmp": write_bmp, "tiff": write_tiff, "jpeg": write_jpeg}

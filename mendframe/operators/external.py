@@ -180,11 +180,11 @@ def video_artifacts(data: bytes, kind: str) -> list[dict]:
 
 
 def saved_image(data: bytes, kind: str, output_kind: str) -> dict:
-    """A picture that only the program reads, saved as PNG or BMP."""
+    """A picture that only the program reads, in a kind of file that can be written."""
     with tempfile.TemporaryDirectory() as folder:
         body, error = frame(folder, placed(folder, data, kind), SECONDS["image"])
-    if error or output_kind not in ("png", "bmp"):
+    if error or output_kind not in pictures.WRITERS:
         return {"decoder": IMAGE, "error": error or f"no writer for {output_kind}"}
     seen = pictures.read(body)
-    body = body if output_kind == "png" else pictures.write_bmp(seen.pixels)
+    body = body if output_kind == "png" else pictures.WRITERS[output_kind](seen.pixels)
     return {"ok": True, "decoder": IMAGE, "output_type": "image", "width": seen.width, "height": seen.height, "mode": seen.mode, "decoded_format": output_kind.upper(), "entropy": seen.entropy} | digest(body)

@@ -21,7 +21,7 @@ from mendframe.functions import pictures
 from mendframe.operators import candidates, external, rebuild, scoring
 
 ATTEMPT = pa.schema([
-    ("doc_id", pa.int64()), ("ord", pa.int32()), ("family", pa.string()), ("strategy", pa.string()), ("priority", pa.int32()), ("kind", pa.string()),
+    ("doc_id", pa.int64()), ("ord", pa.int32()), ("family", pa.string()), ("label", pa.string()), ("strategy", pa.string()), ("priority", pa.int32()), ("kind", pa.string()),
     ("start", pa.int64()), ("end", pa.int64()), ("payload_sha256", pa.string()), ("decoder", pa.string()), ("phase", pa.string()), ("ok", pa.bool_()),
     ("width", pa.int32()), ("height", pa.int32()), ("mode", pa.string()), ("decoded_format", pa.string()), ("duration_ms", pa.int32()), ("frame_count", pa.int32()),
     ("entropy", pa.float64()), ("error", pa.string()), ("telemetry", pa.string()),
@@ -91,7 +91,7 @@ def attempts(classified: DataFrame, most_external: int = scoring.FALLBACK) -> Da
             if digest not in known:
                 known[digest] = probe(data)
             head = dict(zip(("strategy", "priority", "kind", "start", "end"), plan[:5], strict=True))
-            return {"doc_id": row["doc_id"], "ord": nth, "family": family, "payload_sha256": digest, "decoder": decoder, "phase": phase} | head | known[digest]
+            return {"doc_id": row["doc_id"], "ord": nth, "family": family, "label": row["label"], "payload_sha256": digest, "decoder": decoder, "phase": phase} | head | known[digest]
 
         for nth, plan in enumerate(made, 1):
             if video:
@@ -111,14 +111,14 @@ def attempts(classified: DataFrame, most_external: int = scoring.FALLBACK) -> Da
                 try:
                     rows = list(one(row))
                 except Exception as error:  # noqa: BLE001  one blob's failure is a row of the report, not the end of the run
-                    rows = [dict.fromkeys(ATTEMPT.names) | NO_PROBE | {"doc_id": row["doc_id"], "ord": 0, "family": row["family"], "strategy": "none", "priority": 0, "kind": "none", "start": 0, "decoder": "none", "phase": "error", "error": RUN_FAILED + compact(error)}]
+                    rows = [dict.fromkeys(ATTEMPT.names) | NO_PROBE | {"doc_id": row["doc_id"], "ord": 0, "family": row["family"], "label": row["label"], "strategy": "none", "priority": 0, "kind": "none", "start": 0, "decoder": "none", "phase": "error", "error": RUN_FAILED + compact(error)}]
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema=ATTEMPT)
 
     columns = ["doc_id", "family", "label", "content", "offsets"]
     found = candidates.scanned(classified).select(*columns).mapInArrow(run, ddl(ATTEMPT))
-    named = found.join(classified.select("doc_id", F.col("family").alias("class_family"), "label"), "doc_id")
-    return named.withColumn("score", scoring.score())
+    # a plan's family is that of its blob's class
+    return found.withColumn("class_family", F.col("family")).withColumn("score", scoring.score())
 
 
 # fixed values: what each kind of file may hold, and into what other modes are turned
@@ -140,15 +140,13 @@ ARTIFACT = pa.schema([
 
 
 def saved(data: bytes, kind: str) -> tuple[pictures.Picture, bytes]:
-    """A picture in a kind of file: pixels are written anew as PNG or BMP; files of the kind itself stay as they are."""
+    """A picture in a kind of file: PNG and BMP are written anew, others stay as they are where they are of the kind."""
     found = pictures.read(data)
-    if kind == "png" and found.pixels is not None:
-        return found, pictures.write_png(found.pixels)
-    if kind == "bmp" and found.pixels is not None:
-        return found, pictures.write_bmp(found.pixels)
-    if found.decoded_format.lower() != kind:
+    if found.decoded_format.lower() == kind and kind not in ("png", "bmp"):
+        return found, data
+    if found.pixels is None or kind not in pictures.WRITERS:
         raise pictures.Broken(f"no writer turns {found.decoded_format} into {kind}")
-    return found, data
+    return found, pictures.WRITERS[kind](found.pixels)
 
 
 def save(winners: DataFrame, classified: DataFrame, keep_raw: bool = False) -> DataFrame:

@@ -190,7 +190,7 @@ def register(catalog: Catalog) -> None:
     add("top_errors_legacy", on_evidence(lambda e: report.by(e.outputs(), "error", "success = 0").limit(legacy.MOST_ERRORS)), O.query(by.format("error", "outputs WHERE success = 0") + f" ORDER BY n DESC, key LIMIT {legacy.MOST_ERRORS}", *O.RUN))
     add("one_pass_counts", on_classified(one_pass_counts), O.query("SELECT label, family, anywhere_kind, count(*) AS n FROM classified GROUP BY GROUPING SETS ((label), (family), (anywhere_kind))", *O.ALL))
     shown = ["path", "ord", "strategy", "family", "priority", "phase", "decoder", "ok", "width", "height", "duration_ms", "frame_count", "score", "error"]
-    add("attempts_report", on_evidence(lambda e: (lambda a: report.attempt_rows(a, e.classified(), a).withColumn("score", F.round("score", 4)))(e.attempts())), O.query(
+    add("attempts_report", on_evidence(lambda e: (lambda a: report.attempt_rows(a, e.classified(), e.plans()).withColumn("score", F.round("score", 4)))(e.attempts())), O.query(
         f"SELECT {', '.join('a.ok::INT AS ok' if s == 'ok' else 'c.path' if s == 'path' else 'round(a.score, 4) AS score' if s == 'score' else 'a.' + s for s in shown)} FROM attempts a JOIN classified c ON c.doc_id = a.doc_id", *O.RUN))
     add("recommendations", on_evidence(lambda e: legacy.recommendations(e.told())), O.query(O.ADVICE, *O.RUN, O.STATE))
     add("next_ideas", on_evidence(lambda e: legacy.next_ideas(e.told())), O.query(O.ideas(chosen), *O.RUN, O.STATE, policy, ranks))
